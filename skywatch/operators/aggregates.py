@@ -9,14 +9,31 @@
 * ``avg_days_diff``: mean of ``report - posted`` in days over rows where both
   day texts parse.
 
-Plan shape: with two exact distinct counts Catalyst expands each row into
-three (plain aggregates, city, shape), pre-aggregates map-side on
-(key, city, shape, group id), shuffles on that, merges, then shuffles only
-the partial rows on the key. A hot key is therefore spread over its cities
-and shapes in the first shuffle and arrives as one row per map task in the
-second, so a key holding a third of the input does not land in one task.
-``approx_distinct=True`` replaces the exact counts by sketches, which drops
-the expansion and one shuffle, for very large inputs.
+Plan shape. Written as one ``agg`` call, the two exact distinct counts make
+Catalyst expand every row three ways and aggregate on (key, city, shape,
+group id); the text extremes and the percentile sketch then force that wide
+aggregate onto the sort-based or object-hash path, which allocates a sketch
+per (key, city, shape) group and falls back to sorting every expanded row.
+So the summary is built from two aggregates over the same input instead:
+
+* the *value* aggregate groups by the key alone (extremes, percentile sketch,
+  mean): a map-side partial per task and key, then one small shuffle;
+* the *distinct* aggregate expands only city and shape, deduplicates
+  map-side on (key, value) with fixed-width hash aggregation, shuffles the
+  deduplicated pairs, and counts per key.
+
+A hot key is spread over its cities and shapes in the distinct shuffle and
+arrives as one partial row per map task in the value shuffle, so a key
+holding a third of the input never lands whole in one task. The two results
+have one row per key value and are joined with a NULL-safe equality. When
+the caller can bound the number of key values (years: at most 10,001), the
+distinct side is broadcast; otherwise adaptive execution picks the join
+from the measured size. Over a columnar source each branch reads only its
+own columns; over CSV each branch parses the files, which measured faster
+than the single wide aggregate (see README).
+
+``approx_distinct=True`` replaces the exact counts by sketches in the value
+aggregate: one scan, one small shuffle, for very large inputs.
 """
 
 from __future__ import annotations
@@ -28,6 +45,17 @@ from skywatch.functions.dates import lag_days, parse_month
 
 DEFAULT_ACCURACY = 10000
 
+# Output column order after the key (fixed by the reference's job).
+_ORDER = (
+    "max_date",
+    "min_date",
+    "unique_cities",
+    "unique_shapes",
+    "median_month_count",
+    "avg_days_diff",
+)
+_JOIN_KEY = "__summary_key"
+
 
 def month_extremes(date_col: str = "date", chronological: bool = False) -> tuple[Column, Column]:
     """(max, min) of the month text, by text order or by the parsed month.
@@ -43,32 +71,51 @@ def month_extremes(date_col: str = "date", chronological: bool = False) -> tuple
     return F.max(ordered).getField("t"), F.min(ordered).getField("t")
 
 
-def summary_columns(
+def value_columns(
     *,
     date_col: str = "date",
     chronological: bool = False,
-    approx_distinct: bool = False,
-    rsd: float = 0.05,
     accuracy: int = DEFAULT_ACCURACY,
 ) -> list[Column]:
-    """The six summary aggregates, aliased to their output names."""
+    """Extremes, median and mean lag: aggregates that need no distinct step."""
     max_date, min_date = month_extremes(date_col, chronological)
-    if approx_distinct:
-        cities = F.approx_count_distinct("city", rsd)
-        shapes = F.approx_count_distinct("shape", rsd)
-    else:
-        cities = F.count_distinct(F.col("city"))
-        shapes = F.count_distinct(F.col("shape"))
     return [
         max_date.alias("max_date"),
         min_date.alias("min_date"),
-        cities.alias("unique_cities"),
-        shapes.alias("unique_shapes"),
         F.percentile_approx("month_count", 0.5, accuracy).alias("median_month_count"),
         F.avg(lag_days("report_date", "posted_date")).alias("avg_days_diff"),
     ]
 
 
+def distinct_columns(approx: bool = False, rsd: float = 0.05) -> list[Column]:
+    """Distinct counts of city and shape (exact, or HyperLogLog++ sketches)."""
+    if approx:
+        return [
+            F.approx_count_distinct("city", rsd).alias("unique_cities"),
+            F.approx_count_distinct("shape", rsd).alias("unique_shapes"),
+        ]
+    return [
+        F.count_distinct(F.col("city")).alias("unique_cities"),
+        F.count_distinct(F.col("shape")).alias("unique_shapes"),
+    ]
+
+
+def summary_columns(
+    *,
+    date_col: str = "date",
+    chronological: bool = False,
+    approx_distinct: bool = False,
+    rsd: float = 0.05,
+    accuracy: int = DEFAULT_ACCURACY,
+) -> list[Column]:
+    """The six summary aggregates for a single ``agg`` call (output order)."""
+    max_date, min_date, median, mean = value_columns(
+        date_col=date_col, chronological=chronological, accuracy=accuracy
+    )
+    cities, shapes = distinct_columns(approx_distinct, rsd)
+    return [max_date, min_date, cities, shapes, median, mean]
+
+
 def summarize(
     df: DataFrame,
     key: str = "year",
@@ -78,16 +125,25 @@ def summarize(
     approx_distinct: bool = False,
     rsd: float = 0.05,
     accuracy: int = DEFAULT_ACCURACY,
+    key_bound: int | None = None,
 ) -> DataFrame:
-    """Group by ``key`` and compute the six summary columns (key first)."""
-    cols = summary_columns(
-        date_col=date_col,
-        chronological=chronological,
-        approx_distinct=approx_distinct,
-        rsd=rsd,
-        accuracy=accuracy,
+    """Group by ``key`` and compute the six summary columns (key first).
+
+    ``key_bound``: an upper bound on the number of distinct key values, if
+    known; below 1,000,000 the distinct-count side of the join is broadcast.
+    """
+    values = value_columns(date_col=date_col, chronological=chronological, accuracy=accuracy)
+    if approx_distinct:
+        out = df.groupBy(key).agg(*values, *distinct_columns(True, rsd))
+        return out.select(key, *_ORDER)
+    value_side = df.groupBy(key).agg(*values)
+    count_side = (
+        df.groupBy(key).agg(*distinct_columns(False)).withColumnRenamed(key, _JOIN_KEY)
     )
-    return df.groupBy(key).agg(*cols)
+    if key_bound is not None and key_bound < 1_000_000:
+        count_side = F.broadcast(count_side)
+    joined = value_side.join(count_side, value_side[key].eqNullSafe(count_side[_JOIN_KEY]), "inner")
+    return joined.select(key, *_ORDER)
 
 
 def row_count(df: DataFrame, name: str = "row_count") -> DataFrame:

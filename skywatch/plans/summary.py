@@ -27,6 +27,9 @@ from skywatch.sources.csv import read_csv
 
 YEAR = "year"
 YEAR_GROUP = "year_group"
+# Years come from four-digit text: at most 10,000 values plus NULL, and
+# buckets are fewer. This bounds every per-key result of a summary.
+YEAR_KEY_BOUND = 10_001
 
 
 def keyed_reports(df: DataFrame, key: str = YEAR, width: int = 2, date_col: str = "date") -> DataFrame:
@@ -54,6 +57,7 @@ def summarize_reports(
         chronological=chronological,
         approx_distinct=approx_distinct,
         accuracy=accuracy,
+        key_bound=YEAR_KEY_BOUND,
     )
 
 
