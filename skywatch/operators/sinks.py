@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _DYNAMIC = ("partitionOverwriteMode", "dynamic")
 
@@ -24,16 +25,29 @@ def _keys(partition_by: str | Sequence[str] | None) -> list[str]:
     return [partition_by] if isinstance(partition_by, str) else list(partition_by)
 
 
-def rebalance(df: DataFrame, partition_by: str | Sequence[str] | None) -> DataFrame:
+def rebalance(
+    df: DataFrame,
+    partition_by: str | Sequence[str] | None,
+    *,
+    salt_buckets: int = 16,
+) -> DataFrame:
     """Cluster rows by the partition key before a partitioned write.
 
     A REBALANCE shuffle puts each key value in few tasks (few files per
     directory) and lets adaptive execution split a key that holds a large
-    share of the rows into several tasks and merge small ones, so neither
-    small files nor one huge writer task occur.
+    share of the rows into several tasks (by ranges of map outputs) and
+    merge small ones, so neither small files nor one huge writer task occur.
+
+    Without adaptive execution REBALANCE is a plain hash shuffle and a hot
+    key would be one task, so rows are then spread over ``salt_buckets``
+    tasks per key by a hash of the whole row: deterministic, so a retried
+    map task sends every row where it went the first time.
     """
     keys = _keys(partition_by)
-    return df.hint("rebalance", *keys) if keys else df.hint("rebalance")
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
+        return df.hint("rebalance", *keys) if keys else df.hint("rebalance")
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
+    return df.repartition(*[F.col(k) for k in keys], salt)
 
 
 def save_csv(

@@ -167,6 +167,7 @@ def oracle_sql() -> dict[str, str]:
         "csv_partitioned_roundtrip": _summary("year"),
         "delimited_load": _raw_select(",", f"SELECT {_RAW_COLS} FROM raw"),
         "delimited_load_pipe": _raw_select("|", f"SELECT {_RAW_COLS} FROM raw"),
+        "streaming_ingest": _raw_select(",", f"SELECT {_RAW_COLS} FROM raw"),
         "partitioned_insert": _raw_select(",", _PARTITIONED),
         # Run 1 inserts the raw rows once; run 2 appends the file to the raw
         # table again and inserts the whole (doubled) raw table: 3 copies.

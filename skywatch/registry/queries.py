@@ -42,6 +42,7 @@ from skywatch.schema import SIGHTING_COLUMNS, raw_table_schema, sighting_schema,
 from skywatch.session import scratch_path, unique_name
 from skywatch.sources import read_csv, read_delimited, read_table, sightings_from_orders
 from skywatch.sources.frames import write_report_csv, write_report_text
+from skywatch.streaming import ingest_new_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -281,6 +282,18 @@ def describe_raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_table(spark, raw)
 
 
+def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly-once incremental load: a second run over the same landing
+    folder finds no new file and leaves the table as it is."""
+    landing = scratch_path(spark, "landing")
+    write_report_text(_reports(spark, sf_dir), f"{landing}/arrival-1", sep=",")
+    db = _database(spark)
+    raw = create_table(spark, f"{db}.sightings_raw", raw_table_schema())
+    ingest_new_files(spark, f"{landing}/*", raw, sep=",")
+    ingest_new_files(spark, f"{landing}/*", raw, sep=",")
+    return read_table(spark, raw)
+
+
 # -- sinks and read-back -------------------------------------------------------------
 
 
@@ -322,6 +335,7 @@ QUERIES: dict[str, Query] = {
     "csv_partitioned_roundtrip": csv_partitioned_roundtrip,
     "delimited_load": delimited_load,
     "delimited_load_pipe": delimited_load_pipe,
+    "streaming_ingest": streaming_ingest,
     "partitioned_insert": partitioned_insert,
     "load_rerun_append": load_rerun_append,
     "load_rerun_overwrite": load_rerun_overwrite,
