@@ -1,43 +1,44 @@
 """Where jobs put intermediate and scratch output.
 
 Library code never builds a session: the caller passes one. Anything a job
-has to materialise (checkpoints, scratch tables for the registered queries)
-goes under the shared folder the cluster names in ``spark.checkpoint.dir``.
-Only when that setting is absent (a bare local session in a test) is a
-local folder chosen and registered as the session's checkpoint directory.
+has to materialise (summary copies, stream checkpoints, scratch tables of
+the registered queries) goes under the shared folder the cluster names in
+``spark.checkpoint.dir``. Only when that setting is absent is a folder
+chosen, and then under the session's warehouse directory (shared storage
+on a cluster, a local folder in a local test session), never under a
+machine-local temporary folder; it is registered as the session's
+checkpoint directory so ``DataFrame.checkpoint`` uses it too.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+WAREHOUSE_CONF = "spark.sql.warehouse.dir"
+FALLBACK_SUBDIR = "_skywatch_checkpoints"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting one only if unset."""
+    """Return the session's checkpoint folder, choosing one only if unset."""
     root = spark.conf.get(CHECKPOINT_CONF, None)
-    if root:
-        _register_checkpoint_dir(spark, root)
-        return root.rstrip("/")
-    sc = _spark_context(spark)
-    current = sc.getCheckpointDir() if sc is not None else None
-    if current:
-        # The context already checkpoints into <root>/<uuid>; reuse its root.
-        return current.rstrip("/").rsplit("/", 1)[0]
-    root = tempfile.mkdtemp(prefix="skywatch-checkpoints-")
+    if not root:
+        sc = _spark_context(spark)
+        current = sc.getCheckpointDir() if sc is not None else None
+        if current:
+            # The context checkpoints into <root>/<uuid>; reuse its root.
+            return current.rstrip("/").rsplit("/", 1)[0]
+        root = spark.conf.get(WAREHOUSE_CONF).rstrip("/") + "/" + FALLBACK_SUBDIR
     _register_checkpoint_dir(spark, root)
-    return root
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new, unique folder path under the checkpoint root (not created)."""
-    root = checkpoint_root(spark)
-    return f"{root}/skywatch/{tag}-{uuid.uuid4().hex[:12]}"
+    return f"{checkpoint_root(spark)}/skywatch/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def unique_name(prefix: str) -> str:
@@ -55,6 +56,8 @@ def _spark_context(spark: SparkSession):
 def _register_checkpoint_dir(spark: SparkSession, root: str) -> None:
     sc = _spark_context(spark)
     if sc is not None and not sc.getCheckpointDir():
-        if "://" not in root:
-            os.makedirs(root, exist_ok=True)
+        head = root.split("/", 1)[0]
+        scheme = head.split(":", 1)[0] if ":" in head else ""
+        if scheme in ("", "file"):  # local path: create it; remote stores need no mkdir
+            os.makedirs(root[len("file:"):] if scheme else root, exist_ok=True)
         sc.setCheckpointDir(root)

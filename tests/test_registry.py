@@ -21,3 +21,31 @@ def test_checkpoint_root_reads_session(spark):
     assert root
     assert scratch_path(spark, "x").startswith(root + "/")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_checkpoint_fallback_is_under_warehouse(spark, monkeypatch):
+    from skywatch import session
+
+    class Conf:
+        def __init__(self, real):
+            self.real = real
+
+        def get(self, key, default=None):
+            if key == session.CHECKPOINT_CONF:
+                return None
+            return self.real.get(key, default) if default is not None else self.real.get(key)
+
+    class FakeContext:
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class FakeSession:
+        conf = Conf(spark.conf)
+        sparkContext = FakeContext()
+
+    root = session.checkpoint_root(FakeSession())
+    assert root.startswith(spark.conf.get("spark.sql.warehouse.dir").rstrip("/"))
+    assert FakeSession.sparkContext.dir.rstrip("/") == root
