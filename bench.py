@@ -21,14 +21,17 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from skywatch.operators import create_database, save_csv, save_table  # noqa: E402
+from skywatch.operators import create_table  # noqa: E402
 from skywatch.plans import (  # noqa: E402
     annual_summary,
+    load_file_into_table,
+    summary_from_table,
     biennial_summary,
     inspect_and_partition_by_year,
     load_and_partition,
     summarize_reports,
 )
-from skywatch.schema import sighting_schema  # noqa: E402
+from skywatch.schema import raw_table_schema, sighting_schema  # noqa: E402
 from skywatch.session import scratch_path, unique_name  # noqa: E402
 from skywatch.sources import read_csv, sightings_from_orders  # noqa: E402
 from skywatch.sources.frames import write_report_csv, write_report_text  # noqa: E402
@@ -67,6 +70,8 @@ def main() -> None:
     text_pipe = write_report_text(reports, scratch_path(spark, "bench-pipe"), sep="|")
     db = create_database(spark, unique_name("bench"), location=scratch_path(spark, "bench-db"))
     out = scratch_path(spark, "bench-out")
+    raw = create_table(spark, f"{db}.loaded_raw", raw_table_schema())
+    load_file_into_table(spark, text_comma, raw, mode="overwrite")
 
     def annual():
         annual_summary(spark, csv_path, output_path=f"{out}/annual", table=f"{db}.annual")
@@ -80,6 +85,9 @@ def main() -> None:
     def biennial_chrono():
         biennial_summary(spark, csv_path, output_path=f"{out}/biennial_c", chronological=True).count()
 
+    def annual_from_table():
+        summary_from_table(spark, raw, "year", output_path=f"{out}/annual_t", summary_table=f"{db}.annual_t")
+
     def load_partition():
         res = load_and_partition(spark, text_comma, db, mode="overwrite")
         res.partitions.collect()
@@ -101,6 +109,7 @@ def main() -> None:
         "annual_summary_explicit_schema": _timed(annual_declared, runs),
         "biennial_summary": _timed(biennial, runs),
         "biennial_summary_chronological": _timed(biennial_chrono, runs),
+        "annual_summary_from_table": _timed(annual_from_table, runs),
         "load_and_partition": _timed(load_partition, runs),
         "load_and_partition_by_year": _timed(load_by_year, runs),
     }

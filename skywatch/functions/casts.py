@@ -32,8 +32,10 @@ _INTEGRAL_TYPES = (
 def tolerant_int(col: ColumnOrName, type_name: str = "int") -> Column:
     """Text -> integral type with text-table rules; malformed -> NULL."""
     digits = F.regexp_extract(as_col(col), INTEGRAL_TEXT, 1)
-    # regexp_extract gives '' on no match; try_cast of '' and overflow give NULL.
-    return digits.try_cast(type_name)
+    # regexp_extract gives '' on no match: answer NULL without a cast attempt
+    # (a failing cast is the slow path); try_cast only sees digit strings and
+    # gives NULL on overflow.
+    return F.when(digits != F.lit(""), digits.try_cast(type_name))
 
 
 def text_field(

@@ -14,6 +14,7 @@ from skywatch.plans.summary import (
     materialize,
     publish_summary,
     summarize_reports,
+    summary_from_table,
     summary_job,
 )
 
@@ -29,5 +30,6 @@ __all__ = [
     "materialize",
     "publish_summary",
     "summarize_reports",
+    "summary_from_table",
     "summary_job",
 ]

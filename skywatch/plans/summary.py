@@ -49,11 +49,16 @@ def summarize_reports(
     chronological: bool = False,
     approx_distinct: bool = False,
     accuracy: int = DEFAULT_ACCURACY,
+    date_col: str = "date",
 ) -> DataFrame:
-    """Key the reports and compute the summary (lazy; key first)."""
+    """Key the reports and compute the summary (lazy; key first).
+
+    ``date_col`` names the month-text column (``datetime`` in the raw table).
+    """
     return summarize(
-        keyed_reports(df, key, width),
+        keyed_reports(df, key, width, date_col),
         key,
+        date_col=date_col,
         chronological=chronological,
         approx_distinct=approx_distinct,
         accuracy=accuracy,
@@ -126,6 +131,37 @@ def summary_job(
     return publish_summary(result, key, output_path=output_path, table=table, header=header, preview=preview)
 
 
+def summary_from_table(
+    spark: SparkSession,
+    table: str,
+    key: str = YEAR,
+    *,
+    output_path: str | None = None,
+    summary_table: str | None = None,
+    date_col: str = "datetime",
+    width: int = 2,
+    chronological: bool = False,
+    approx_distinct: bool = False,
+    accuracy: int = DEFAULT_ACCURACY,
+    header: bool = False,
+) -> DataFrame:
+    """Summarise a loaded report table (Parquet) instead of re-parsing text.
+
+    Load the files once, then summarise as often as needed: each branch of
+    the summary reads only the columns it uses from the columnar table.
+    """
+    result = summarize_reports(
+        spark.table(table),
+        key,
+        width=width,
+        chronological=chronological,
+        approx_distinct=approx_distinct,
+        accuracy=accuracy,
+        date_col=date_col,
+    )
+    return publish_summary(result, key, output_path=output_path, table=summary_table, header=header)
+
+
 def annual_summary(
     spark: SparkSession,
     input_path: str | list[str],

@@ -136,11 +136,25 @@ _BY_YEAR = _raw_select(
 )
 
 
+_RAW_SUMMARY = _raw_select(
+    ",",
+    f"""SELECT {_year('datetime')} AS year,
+  max(datetime) AS max_date,
+  min(datetime) AS min_date,
+  count(DISTINCT city) AS unique_cities,
+  count(DISTINCT shape) AS unique_shapes,
+  quantile_disc(month_count, 0.5) AS median_month_count,
+  avg(CAST(datediff('day', {_day('posted_date')}, {_day('report_date')}) AS INTEGER)) AS avg_days_diff
+FROM raw GROUP BY 1""",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "annual_summary": _summary("year"),
         "annual_summary_explicit_schema": _summary("year"),
         "annual_summary_chronological": _summary("year", chronological=True),
+        "annual_summary_from_raw_table": _RAW_SUMMARY,
         "biennial_summary": _summary("year_group"),
         "biennial_summary_chronological": _summary("year_group", chronological=True),
         "summary_by_state": _summary("state"),

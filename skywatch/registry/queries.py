@@ -35,6 +35,7 @@ from skywatch.plans import (
     inspect_and_partition_by_year,
     load_and_partition,
     summarize_reports,
+    summary_from_table,
 )
 from skywatch.plans.load import load_file_into_table
 from skywatch.operators.catalog import create_table
@@ -113,6 +114,16 @@ def annual_summary_chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarize_reports(_reports(spark, sf_dir), "year", chronological=True)
 
 
+def annual_summary_from_raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load the delimited export into the Parquet raw table, then summarise
+    the table by year (text rules apply: header and shifted rows included,
+    NULL city and shape read as empty text)."""
+    db = _database(spark)
+    raw = create_table(spark, f"{db}.sightings_raw", raw_table_schema())
+    load_file_into_table(spark, _report_text(spark, sf_dir, ","), raw, sep=",")
+    return summary_from_table(spark, raw, "year", summary_table=f"{db}.annual_from_raw")
+
+
 # -- scalar functions ------------------------------------------------------------
 
 
@@ -316,6 +327,7 @@ QUERIES: dict[str, Query] = {
     "annual_summary": annual_summary,
     "annual_summary_explicit_schema": annual_summary_explicit_schema,
     "annual_summary_chronological": annual_summary_chronological,
+    "annual_summary_from_raw_table": annual_summary_from_raw_table,
     "biennial_summary": biennial_summary,
     "biennial_summary_chronological": biennial_summary_chronological,
     "summary_by_state": summary_by_state,
