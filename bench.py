@@ -21,15 +21,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from skywatch.operators import create_database, save_csv, save_table  # noqa: E402
-from skywatch.operators import create_table  # noqa: E402
+from skywatch.operators import create_table, summary_columns  # noqa: E402
 from skywatch.plans import (  # noqa: E402
     annual_summary,
     load_file_into_table,
     summary_from_table,
     biennial_summary,
     inspect_and_partition_by_year,
+    keyed_reports,
     load_and_partition,
-    summarize_reports,
 )
 from skywatch.schema import raw_table_schema, sighting_schema  # noqa: E402
 from skywatch.session import scratch_path, unique_name  # noqa: E402
@@ -37,6 +37,13 @@ from skywatch.sources import read_csv, sightings_from_orders  # noqa: E402
 from skywatch.sources.frames import write_report_csv, write_report_text  # noqa: E402
 
 
+def _folder_bytes(path: str) -> int:
+    local = path[len("file:"):] if path.startswith("file:") else path
+    return sum(
+        os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(local) for f in fs if not f.startswith((".", "_"))
+    )
+
+
 def _timed(fn, runs):
     fn()  # warm-up
     times = []
@@ -68,6 +75,11 @@ def main() -> None:
     csv_path = write_report_csv(reports, scratch_path(spark, "bench-csv"))
     text_comma = write_report_text(reports, scratch_path(spark, "bench-text"), sep=",")
     text_pipe = write_report_text(reports, scratch_path(spark, "bench-pipe"), sep="|")
+    # Size file splits to the input so every core gets a share of each scan
+    # (on a cluster the 128 MB default already yields thousands of splits).
+    input_bytes = _folder_bytes(csv_path)
+    split = max(1 << 20, input_bytes // (2 * cpus))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
     db = create_database(spark, unique_name("bench"), location=scratch_path(spark, "bench-db"))
     out = scratch_path(spark, "bench-out")
     raw = create_table(spark, f"{db}.loaded_raw", raw_table_schema())
@@ -98,8 +110,10 @@ def main() -> None:
         res.partitions.collect()
 
     def reference_form():
-        # Three actions, each recomputing read + aggregate (no persist).
-        result = summarize_reports(read_csv(spark, csv_path), "year")
+        # The reference's shape: one agg call (multi-distinct expansion),
+        # then three actions that each recompute read + aggregate.
+        keyed = keyed_reports(read_csv(spark, csv_path), "year")
+        result = keyed.groupBy("year").agg(*summary_columns())
         result.collect()
         save_csv(result, f"{out}/ref_csv", "year")
         save_table(result, f"{db}.ref_annual", "year")
@@ -127,6 +141,7 @@ def main() -> None:
                 "cpus": cpus,
                 "runs": runs,
                 "shuffle_partitions": cpus,
+                "max_partition_bytes": split,
             }
         )
     )
