@@ -7,9 +7,12 @@ partitioning; then list the partitions. ``inspect_and_partition_by_year``
 is the hand-run variant: a different separator, a DESCRIBE and a row count,
 and a partition key derived from the month text.
 
-Reruns: ``mode="append"`` appends in both steps, as the reference does, so
-a rerun doubles the rows. ``mode="overwrite"`` replaces the raw table and
-the partitioned table, so a rerun gives the same tables.
+Reruns: ``mode="append"`` appends in both steps, as the reference does: a
+rerun appends the file to the raw table again and then inserts the whole
+(now doubled) raw table, so the partitioned table holds three copies.
+``mode="overwrite"`` replaces the raw table and the partitioned table, so a
+rerun gives the same tables. For files that arrive over time, the stream in
+``skywatch.streaming`` appends each file exactly once.
 """
 
 from __future__ import annotations
