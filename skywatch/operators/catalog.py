@@ -84,3 +84,30 @@ def list_partitions(spark: SparkSession, table: str) -> DataFrame:
 def describe_table(spark: SparkSession, table: str) -> DataFrame:
     """DESCRIBE TABLE: column name, type, comment (partition columns listed again)."""
     return spark.sql(f"DESCRIBE TABLE {quote_ident(table)}")
+
+
+STREAM_LOG_DIR = "_spark_metadata"
+
+
+def table_location(spark: SparkSession, table: str) -> str | None:
+    """Storage location of a table (from DESCRIBE TABLE EXTENDED)."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quote_ident(table)}").where("col_name = 'Location'").take(1)
+    return rows[0]["data_type"] if rows else None
+
+
+def is_stream_owned(spark: SparkSession, table: str) -> bool:
+    """True when a streaming file sink writes ``table``.
+
+    Such a folder holds the sink's commit log, and every read of it lists
+    only the files in that log, so rows written by a batch insert would be
+    invisible. Batch inserts check this first.
+    """
+    loc = table_location(spark, table)
+    if not loc:
+        return False
+    try:
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(loc.rstrip("/") + "/" + STREAM_LOG_DIR)
+        return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
+    except Exception:  # no JVM access (Spark Connect): cannot tell, do not block
+        return False

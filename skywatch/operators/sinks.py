@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skywatch.operators.catalog import is_stream_owned
+
 _DYNAMIC = ("partitionOverwriteMode", "dynamic")
 
 
@@ -110,6 +112,11 @@ def insert_into(
     their values pick the directory of each row (dynamic partitioning).
     ``balance`` rebalances row-level data on the partition key first.
     """
+    if is_stream_owned(df.sparkSession, table):
+        raise ValueError(
+            f"{table} is written by a stream (its folder holds the stream's commit log); "
+            "reads would not see batch-inserted files. Feed it with skywatch.streaming.ingest_new_files."
+        )
     keys = _keys(partition_by)
     if balance:
         df = rebalance(df, keys)

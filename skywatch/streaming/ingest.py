@@ -8,6 +8,11 @@ them with the same positional text-table rules, and appends them through
 the file sink, whose commit log makes each file's rows land exactly once,
 also when a run dies half-way and is started again.
 
+The target table becomes stream-owned: its folder holds the sink's commit
+log and every read lists only committed files, so batch inserts into it
+are refused (``operators.sinks.insert_into``); load other files through
+the stream too, by dropping them into the landing folder.
+
 Runs use ``trigger(availableNow=True)``: process everything that has
 arrived, in bounded micro-batches, then stop; call it from a scheduler as
 often as files arrive. The checkpoint lives under the session's checkpoint

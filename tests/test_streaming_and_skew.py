@@ -30,6 +30,28 @@ def test_ingest_is_exactly_once(spark, tmp_path):
     assert len(rows) == 9 and rows["d8"] == 4 and rows["d7"] is None
 
 
+def test_batch_insert_into_stream_owned_table_is_refused(spark, tmp_path):
+    import pytest
+
+    from skywatch.operators.catalog import is_stream_owned
+    from skywatch.plans import load_file_into_table
+
+    landing = tmp_path / "landing" / "a"
+    landing.mkdir(parents=True)
+    write_lines(landing, "f1.txt", SUMMARY_CSV)
+    batch = write_lines(tmp_path, "batch.txt", EXTRA_TEXT)
+    db = create_database(spark, unique_name("s"), location=str(tmp_path / "db"))
+    table = create_table(spark, f"{db}.raw", raw_table_schema())
+    assert not is_stream_owned(spark, table)
+    load_file_into_table(spark, batch, table)  # plain table: batch load works
+    other = create_table(spark, f"{db}.streamed", raw_table_schema())
+    ingest_new_files(spark, str(tmp_path / "landing" / "*"), other, checkpoint=str(tmp_path / "cp"), timeout_seconds=120)
+    assert is_stream_owned(spark, other)
+    with pytest.raises(ValueError, match="written by a stream"):
+        load_file_into_table(spark, batch, other)
+    assert read_table(spark, other).count() == 5
+
+
 def test_ingest_checkpoint_is_stable_per_table(spark):
     assert ingest_checkpoint(spark, "db.T") == ingest_checkpoint(spark, "db.t")
     assert ingest_checkpoint(spark, "db.a") != ingest_checkpoint(spark, "db.b")
