@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skywatch.functions._cols import ColumnOrName, as_col
+from skywatch.functions.dates import parse_date_text
 
 # The null marker of delimited-text tables, the accepted
 # integer text (sign, digits, optional dropped fraction) and the date text.
@@ -53,7 +54,7 @@ def text_field(
         if isinstance(data_type, cls):
             return tolerant_int(c, name)
     if isinstance(data_type, T.DateType):
-        return F.try_to_date(c, TEXT_DATE_PATTERN)
+        return parse_date_text(c, TEXT_DATE_PATTERN)
     if isinstance(data_type, (T.DoubleType, T.FloatType, T.BooleanType)):
         return c.try_cast(data_type.simpleString())
     raise TypeError(f"unsupported text-table column type: {data_type.simpleString()}")

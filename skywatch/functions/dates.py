@@ -3,11 +3,15 @@
 All functions return Column expressions built from Spark built-ins, so they
 stay inside whole-stage codegen. Parsing is strict about the pattern and
 tolerant about failure: text that does not match gives NULL instead of
-raising, whatever ``spark.sql.ansi.enabled`` is set to.
+raising, whatever ``spark.sql.ansi.enabled`` is set to. Years are limited to
+|year| <= 99,999 (see ``max_text_length``), which also bounds the number of
+distinct year keys.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +22,44 @@ MONTH_PATTERN = "MM/yyyy"
 DAY_PATTERN = "MM/dd/yyyy"
 
 
+# Numeric patterns: the fields yyyy, MM, dd and separators only.
+_NUMERIC_FIELDS = {"yyyy", "MM", "dd"}
+_SEPARATORS = set("/-. :")
+
+
+def _is_numeric_pattern(pattern: str) -> bool:
+    runs = [m.group(0) for m in re.finditer(r"([A-Za-z])\1*|.", pattern)]
+    return bool(runs) and all(r in _NUMERIC_FIELDS or r in _SEPARATORS for r in runs)
+
+
+def max_text_length(pattern: str) -> int | None:
+    """Longest text worth parsing with a numeric ``pattern``, else None.
+
+    The year field of a pattern like ``MM/yyyy`` also takes a sign and more
+    than four digits, and a year past the timestamp range (about 290,000)
+    makes ``try_to_date`` fail with a long overflow instead of giving NULL.
+    Allowing two characters beyond the pattern admits signed years of up to
+    five digits (|year| <= 99,999) and nothing that can overflow.
+    """
+    return len(pattern) + 2 if _is_numeric_pattern(pattern) else None
+
+
+def parse_date_text(col: ColumnOrName, pattern: str) -> Column:
+    """Parse text with ``pattern`` to a date; anything malformed gives NULL."""
+    c = as_col(col)
+    limit = max_text_length(pattern)
+    parsed = F.try_to_date(c, pattern)
+    return parsed if limit is None else F.when(F.length(c) <= F.lit(limit), parsed)
+
+
 def parse_month(col: ColumnOrName, pattern: str = MONTH_PATTERN) -> Column:
     """Parse month text (``MM/yyyy``) to the first day of that month, else NULL."""
-    return F.try_to_date(as_col(col), pattern)
+    return parse_date_text(col, pattern)
 
 
 def parse_day(col: ColumnOrName, pattern: str = DAY_PATTERN) -> Column:
     """Parse day text (``MM/dd/yyyy``) to a date, else NULL."""
-    return F.try_to_date(as_col(col), pattern)
+    return parse_date_text(col, pattern)
 
 
 def year_of_month_text(col: ColumnOrName, pattern: str = MONTH_PATTERN) -> Column:

@@ -26,7 +26,7 @@ A hot key is spread over its cities and shapes in the distinct shuffle and
 arrives as one partial row per map task in the value shuffle, so a key
 holding a third of the input never lands whole in one task. The two results
 have one row per key value and are joined with a NULL-safe equality. When
-the caller can bound the number of key values (years: at most 10,001), the
+the caller can bound the number of key values (years: at most 200,000), the
 distinct side is broadcast; otherwise adaptive execution picks the join
 from the measured size. Over a columnar source each branch reads only its
 own columns; over CSV each branch parses the files, which measured faster

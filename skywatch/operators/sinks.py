@@ -48,6 +48,8 @@ def rebalance(
     keys = _keys(partition_by)
     if df.sparkSession.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
         return df.hint("rebalance", *keys) if keys else df.hint("rebalance")
+    if not keys:
+        return df  # nothing to cluster; the input splits already bound the task sizes
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
     return df.repartition(*[F.col(k) for k in keys], salt)
 

@@ -7,8 +7,8 @@ returned frame read that copy back. Losing an executor after the write
 therefore never reruns the scan and aggregate over the input, and the
 sinks see identical rows.
 
-The summary has one row per key value. Years come from four-digit text, so
-there are at most 10,000 of them plus NULL; the result is small whatever
+The summary has one row per key value. Parsed years satisfy |year| <=
+99,999, so there are at most 200,000 keys; the result is small whatever
 the input size. It needs no repartitioning before the partitioned writes:
 the final aggregate is already hash-partitioned on the key, so each key
 value is written by one task into one file.
@@ -27,9 +27,10 @@ from skywatch.sources.csv import read_csv
 
 YEAR = "year"
 YEAR_GROUP = "year_group"
-# Years come from four-digit text: at most 10,000 values plus NULL, and
-# buckets are fewer. This bounds every per-key result of a summary.
-YEAR_KEY_BOUND = 10_001
+# Parsed years satisfy |year| <= 99,999 (functions.dates.max_text_length):
+# at most 199,999 values plus NULL, and buckets are fewer. This bounds every
+# per-key result of a summary (a few MB), whatever the input size.
+YEAR_KEY_BOUND = 200_000
 
 
 def keyed_reports(df: DataFrame, key: str = YEAR, width: int = 2, date_col: str = "date") -> DataFrame:

@@ -62,3 +62,22 @@ def test_text_field_null_marker_and_types(spark):
     assert _one(spark, ["1999-01-05", "01/05/1999"], text_field("s", T.DateType())) == [dt.date(1999, 1, 5), None]
     with pytest.raises(TypeError):
         text_field("s", T.ArrayType(T.StringType()))
+
+
+def test_out_of_range_years_give_null_not_overflow(spark):
+    # Signed years inside the range parse as Spark parses them; years past the
+    # timestamp range used to raise a long overflow inside try_to_date.
+    values = ["12/-1999", "12/+99999", "01/+1000000", "12/-290308", "12/+294247", "01/+9999999999"]
+    got = _one(spark, values, year_of_month_text("s"))
+    assert got == [-1999, 99999, None, None, None, None]
+    assert _one(spark, ["01/05/+1000000", "01/05/1999"], parse_day("s")) == [None, dt.date(1999, 1, 5)]
+    assert _one(spark, ["+1000000-01-01"], text_field("s", T.DateType())) == [None]
+
+
+def test_max_text_length():
+    from skywatch.functions.dates import max_text_length
+
+    assert max_text_length("MM/yyyy") == 9
+    assert max_text_length("MM/dd/yyyy") == 12
+    assert max_text_length("yyyy-MM-dd") == 12
+    assert max_text_length("MMMM yyyy") is None  # month names: no length guard
