@@ -19,9 +19,7 @@ from skywatch.functions import lag_days, parse_day, parse_month, year_bucket, ye
 from skywatch.operators import (
     create_database,
     describe_table,
-    list_partitions,
     project_columns,
-    row_count,
     save_csv,
     save_table,
     split_not_null,
@@ -39,7 +37,7 @@ from skywatch.plans import (
 )
 from skywatch.plans.load import load_file_into_table
 from skywatch.operators.catalog import create_table
-from skywatch.schema import SIGHTING_COLUMNS, raw_table_schema, sighting_schema, summary_csv_schema
+from skywatch.schema import raw_table_schema, sighting_schema, summary_csv_schema
 from skywatch.session import scratch_path, unique_name
 from skywatch.sources import read_csv, read_delimited, read_table, sightings_from_orders
 from skywatch.sources.frames import write_report_csv, write_report_text
@@ -364,4 +362,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annual_summary(spark, sf_dir)
 
 
-__all__ = ["QUERIES", "SIGHTING_COLUMNS", "flagship"]
+__all__ = ["QUERIES", "flagship"]

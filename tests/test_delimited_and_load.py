@@ -2,10 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from skywatch import inspect_and_partition_by_year, load_and_partition, read_delimited, read_table
-from skywatch.operators import list_partitions, split_not_null
+from skywatch.operators import split_not_null
 from skywatch.session import unique_name
 
-from conftest import write_lines, SUMMARY_CSV, EXTRA_TEXT
+from conftest import SUMMARY_CSV, write_lines
 
 
 def test_delimited_rules(spark, text_file):

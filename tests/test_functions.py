@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from skywatch.functions import lag_days, parse_day, parse_month, tolerant_int, year_bucket, year_of_month_text
 from skywatch.functions.casts import text_field

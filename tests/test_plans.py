@@ -2,8 +2,6 @@
 
 import re
 
-from pyspark.sql import functions as F
-
 from skywatch import read_csv, summarize
 from skywatch.plans import summarize_reports
 from skywatch.schema import sighting_schema

@@ -1,5 +1,3 @@
-import os
-
 import __spark_entry__ as entry
 from skywatch.session import checkpoint_root, scratch_path
 from skywatch.schema import summary_schema

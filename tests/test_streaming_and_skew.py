@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from skywatch import create_database, create_table, read_delimited, read_table
+from skywatch import create_database, create_table, read_table
 from skywatch.operators import rebalance
 from skywatch.plans.load import insert_partitioned, partitioned_schema
 from skywatch.schema import raw_table_schema
