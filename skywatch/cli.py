@@ -39,6 +39,7 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--chronological", action="store_true", help="order month extremes by date, not text")
         s.add_argument("--header", action="store_true", help="write a header line in the CSV output")
         s.add_argument("--accuracy", type=int, default=10000)
+        s.add_argument("--approx-distinct", action="store_true", help="sketch the distinct counts (one scan, one small shuffle)")
         s.add_argument("--no-preview", action="store_true")
         if name == "biennial":
             s.add_argument("--width", type=int, default=2)
@@ -69,6 +70,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             schema=sighting_schema() if args.declared_schema else None,
             chronological=args.chronological,
             accuracy=args.accuracy,
+            approx_distinct=args.approx_distinct,
             header=args.header,
         )
         if args.job == "annual":

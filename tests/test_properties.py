@@ -114,3 +114,31 @@ def test_group_counts_add_up_and_buckets_nest(spark, data):
     for y, n in by_year.items():
         regrouped[None if y is None else int(y / 2) * 2] += n
     assert dict(regrouped) == by_group
+
+
+def test_summary_with_hot_year_matches_brute_force(spark):
+    # 3,000 rows over 8 input partitions; one year holds a third of them.
+    data = []
+    for i in range(3000):
+        year = 1999 if i % 3 == 0 else 1990 + i % 11
+        data.append(
+            (
+                f"{1 + i % 12:02d}/{year}",
+                None if i % 17 == 0 else f"c{i % 97}",
+                None if i % 19 == 0 else f"s{i % 5}",
+                f"{1 + i % 12:02d}/{1 + i % 28:02d}/{year}",
+                None if i % 23 == 0 else f"{1 + (i * 7) % 12:02d}/{1 + i % 27:02d}/{year}",
+                None if i % 29 == 0 else i % 13,
+            )
+        )
+    df = _frame(spark, data).repartition(8)
+    for key, width in (("year", None), ("year_group", 2)):
+        got = {
+            r[key]: (r.max_date, r.min_date, r.unique_cities, r.unique_shapes, r.median_month_count, r.avg_days_diff)
+            for r in summarize_reports(df, key).collect()
+        }
+        exp = _expected(data, width)
+        assert got.keys() == exp.keys()
+        for k in exp:
+            assert got[k][:5] == exp[k][:5], (key, k)
+            assert abs(got[k][5] - exp[k][5]) < 1e-9
