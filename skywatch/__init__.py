@@ -44,7 +44,7 @@ from skywatch.plans import (
     publish_summary,
     summarize_reports,
 )
-from skywatch.schema import raw_table_schema, sighting_schema, summary_schema
+from skywatch.schema import dated_schema, raw_table_schema, sighting_schema, summary_schema
 from skywatch.sources import read_csv, read_delimited, read_table, sightings_from_orders
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -22,7 +22,7 @@ from pyspark.sql import SparkSession
 from skywatch.operators.sinks import show_preview
 from skywatch.plans.load import inspect_and_partition_by_year, load_and_partition
 from skywatch.plans.summary import annual_summary, biennial_summary
-from skywatch.schema import raw_table_schema, sighting_schema
+from skywatch.schema import dated_schema, raw_table_schema, sighting_schema
 from skywatch.streaming.ingest import ingest_new_files
 
 
@@ -51,6 +51,8 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--location", help="database location (created if absent)")
         s.add_argument("--sep", default=sep)
         s.add_argument("--mode", choices=("append", "overwrite"), default="append")
+        if name == "inspect":
+            s.add_argument("--date-typed", action="store_true", help="declare the date columns as DATE (yyyy-MM-dd text)")
 
     s = sub.add_parser("ingest", help="append new files of a landing folder exactly once")
     s.add_argument("landing")
@@ -84,7 +86,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         res.partitions.show(truncate=False)
     elif args.job == "inspect":
         res = inspect_and_partition_by_year(
-            spark, args.input, args.database, sep=args.sep, mode=args.mode, location=args.location
+            spark,
+            args.input,
+            args.database,
+            sep=args.sep,
+            mode=args.mode,
+            location=args.location,
+            schema=dated_schema() if args.date_typed else None,
         )
         res.description.show(truncate=False)
         res.raw_count.show()

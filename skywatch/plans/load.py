@@ -20,6 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skywatch.functions.dates import year_of_month_text
@@ -141,23 +142,32 @@ def inspect_and_partition_by_year(
     mode: str = "append",
     location: str | None = None,
     date_col: str = "date",
+    schema: T.StructType | None = None,
 ) -> LoadResult:
     """Hand-run variant: load with ``sep``, describe, count, partition by year.
 
+    ``schema`` is the raw table's schema (default: all text dates); with
+    ``schema.dated_schema()`` the date columns are DATE and the year is taken
+    from the date column directly.
+
     The year is derived from the month text. Every row is inserted; rows
     whose text does not parse have a NULL year and land in the default
     partition (``year=__HIVE_DEFAULT_PARTITION__``).
     """
     create_database(spark, database, location=location)
     raw = f"{database}.{raw_table}"
-    create_table(spark, raw, sighting_schema(date_col))
+    schema = schema or sighting_schema(date_col)
+    create_table(spark, raw, schema)
     description = describe_table(spark, raw)
     load_file_into_table(spark, input_path, raw, sep=sep, mode=mode)
     count = row_count(read_table(spark, raw))
     part = f"{database}.{partitioned_table}"
-    schema = partitioned_schema(sighting_schema(date_col), "year", T.IntegerType())
-    create_table(spark, part, schema, partition_by=["year"])
-    keyed = read_table(spark, raw).withColumn("year", year_of_month_text(date_col))
+    create_table(spark, part, partitioned_schema(schema, "year", T.IntegerType()), partition_by=["year"])
+    if isinstance(schema[date_col].dataType, T.DateType):
+        year = F.year(F.col(date_col))
+    else:
+        year = year_of_month_text(date_col)
+    keyed = read_table(spark, raw).withColumn("year", year)
     insert_partitioned(spark, keyed, part, "year", mode=mode, drop_null=False)
     return LoadResult(raw, part, list_partitions(spark, part), None, description, count)
 

@@ -46,6 +46,20 @@ def sighting_schema(date_column: str = "date") -> T.StructType:
     return T.StructType(fields)
 
 
+def dated_schema(date_column: str = "date") -> T.StructType:
+    """Report schema with the three date columns typed as DATE.
+
+    The hand-run table declares them so; a text table then reads each as
+    ``yyyy-MM-dd`` text (anything else is NULL), and the year comes from the
+    date itself rather than from month text.
+    """
+    fields = list(sighting_schema(date_column).fields)
+    for i, f in enumerate(fields):
+        if f.name in (date_column, "report_date", "posted_date"):
+            fields[i] = T.StructField(f.name, T.DateType(), True)
+    return T.StructType(fields)
+
+
 def raw_table_schema() -> T.StructType:
     """Schema of the delimited-text raw table (column 2 named ``datetime``)."""
     return sighting_schema(RAW_DATE_COLUMN)

@@ -68,6 +68,27 @@ def test_bad_mode(spark, text_file, tmp_path):
         load_and_partition(spark, text_file, unique_name("t"), location=str(tmp_path / "db"), mode="merge")
 
 
+def test_inspect_with_date_typed_columns(spark, tmp_path):
+    import datetime as dt
+
+    from skywatch.schema import dated_schema
+
+    lines = [
+        "a|1999-12-01|Reno|NV|USA|disk|x|1999-12-05|1999-12-28|5",
+        "b|2001-01-01|Reno|NV|USA|orb|x|2001-01-02|2001-01-03|7",
+        "c|12/1999|Yuma|AZ|USA|orb|x|01/05/1999|01/28/1999|9",
+    ]
+    path = write_lines(tmp_path, "dated.txt", lines)
+    res = inspect_and_partition_by_year(
+        spark, path, unique_name("t"), location=str(tmp_path / "db"), schema=dated_schema()
+    )
+    assert sorted(r[0] for r in res.partitions.collect()) == ["year=1999", "year=2001", "year=__HIVE_DEFAULT_PARTITION__"]
+    rows = {r.details: r for r in read_table(spark, res.partitioned_table).collect()}
+    assert rows["a"].report_date == dt.date(1999, 12, 5) and rows["c"].date is None and rows["c"].year is None
+    types = {r.col_name: r.data_type for r in res.description.collect()}
+    assert types["date"] == "date" and types["month_count"] == "int"
+
+
 def test_inspect_and_partition_by_year(spark, tmp_path):
     lines = [l.replace(",", "|") for l in SUMMARY_CSV if '"' not in l]
     path = write_lines(tmp_path, "pipe.txt", lines)
