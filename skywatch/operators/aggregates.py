@@ -55,6 +55,9 @@ _ORDER = (
     "avg_days_diff",
 )
 _JOIN_KEY = "__summary_key"
+# Largest proven key count for which the distinct-count side (a key and two
+# longs per row, about 50 MB as a hashed relation at this size) is broadcast.
+BROADCAST_KEY_LIMIT = 1_000_000
 
 
 def month_extremes(date_col: str = "date", chronological: bool = False) -> tuple[Column, Column]:
@@ -130,7 +133,8 @@ def summarize(
     """Group by ``key`` and compute the six summary columns (key first).
 
     ``key_bound``: an upper bound on the number of distinct key values, if
-    known; below 1,000,000 the distinct-count side of the join is broadcast.
+    known; up to ``BROADCAST_KEY_LIMIT`` the distinct-count side of the join is
+    broadcast, otherwise adaptive execution chooses from the measured size.
     """
     values = value_columns(date_col=date_col, chronological=chronological, accuracy=accuracy)
     if approx_distinct:
@@ -140,7 +144,7 @@ def summarize(
     count_side = (
         df.groupBy(key).agg(*distinct_columns(False)).withColumnRenamed(key, _JOIN_KEY)
     )
-    if key_bound is not None and key_bound < 1_000_000:
+    if key_bound is not None and key_bound <= BROADCAST_KEY_LIMIT:
         count_side = F.broadcast(count_side)
     joined = value_side.join(count_side, value_side[key].eqNullSafe(count_side[_JOIN_KEY]), "inner")
     return joined.select(key, *_ORDER)
