@@ -40,6 +40,7 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--header", action="store_true", help="write a header line in the CSV output")
         s.add_argument("--accuracy", type=int, default=10000)
         s.add_argument("--approx-distinct", action="store_true", help="sketch the distinct counts (one scan, one small shuffle)")
+        s.add_argument("--exact-median", action="store_true", help="distributed exact lower median instead of the sketch")
         s.add_argument("--no-preview", action="store_true")
         if name == "biennial":
             s.add_argument("--width", type=int, default=2)
@@ -73,6 +74,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             chronological=args.chronological,
             accuracy=args.accuracy,
             approx_distinct=args.approx_distinct,
+            median="exact" if args.exact_median else "approx",
             header=args.header,
         )
         if args.job == "annual":

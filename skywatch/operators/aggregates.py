@@ -38,8 +38,9 @@ aggregate: one scan, one small shuffle, for very large inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skywatch.functions.dates import lag_days, parse_month
 
@@ -79,15 +80,66 @@ def value_columns(
     date_col: str = "date",
     chronological: bool = False,
     accuracy: int = DEFAULT_ACCURACY,
+    with_median: bool = True,
 ) -> list[Column]:
     """Extremes, median and mean lag: aggregates that need no distinct step."""
     max_date, min_date = month_extremes(date_col, chronological)
-    return [
-        max_date.alias("max_date"),
-        min_date.alias("min_date"),
-        F.percentile_approx("month_count", 0.5, accuracy).alias("median_month_count"),
-        F.avg(lag_days("report_date", "posted_date")).alias("avg_days_diff"),
-    ]
+    cols = [max_date.alias("max_date"), min_date.alias("min_date")]
+    if with_median:
+        cols.append(F.percentile_approx("month_count", 0.5, accuracy).alias("median_month_count"))
+    cols.append(F.avg(lag_days("report_date", "posted_date")).alias("avg_days_diff"))
+    return cols
+
+
+def lower_median(df: DataFrame, key: str, col: str = "month_count", name: str = "median_month_count") -> DataFrame:
+    """Exact lower median of an integer ``col`` per ``key`` (NULL values ignored).
+
+    The value at rank ceil(n / 2) of the n non-NULL values: what
+    ``percentile_approx(col, 0.5)`` returns when its sketch is exact, and
+    always inside its error bound. Keys whose values are all NULL have no row.
+
+    Computed without sketches, deterministically, and with every window
+    bounded whatever the data:
+
+    1. histogram: count per (key, value), fixed-width and combined map-side,
+       shuffled on (key, value), so a hot key spreads over its values;
+    2. per (key, high 16 bits of the value) the bucket total; a window over a
+       key's buckets (at most 65,536 rows) finds the one bucket holding rank
+       ceil(n / 2) and the count before it;
+    3. only that bucket's histogram rows (at most 65,536 values per key) are
+       walked in value order to find the value where the count reaches it.
+    """
+    if not isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType)):
+        raise TypeError(f"lower_median needs an integer column of at most 32 bits, got {df.schema[col].dataType}")
+    value = F.col(col).cast("int")
+    hist = (
+        df.where(value.isNotNull())
+        .groupBy(key, value.alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_hi", F.shiftright("_v", 16))
+    )
+    buckets = hist.groupBy(key, "_hi").agg(F.sum("_n").alias("_bn"))
+    per_key = Window.partitionBy(key)
+    located = (
+        buckets.select(
+            F.col(key).alias(_JOIN_KEY),
+            F.col("_hi").alias("_bucket"),
+            F.col("_bn"),
+            (F.sum("_bn").over(per_key.orderBy("_hi")) - F.col("_bn")).alias("_before"),
+            F.ceil(F.sum("_bn").over(per_key) / F.lit(2)).alias("_target"),
+        )
+        .where((F.col("_before") < F.col("_target")) & (F.col("_target") <= F.col("_before") + F.col("_bn")))
+        .drop("_bn")
+    )
+    in_bucket = hist.join(
+        located, hist[key].eqNullSafe(located[_JOIN_KEY]) & (hist["_hi"] == located["_bucket"]), "inner"
+    )
+    cumulative = F.col("_before") + F.sum("_n").over(Window.partitionBy(key).orderBy("_v"))
+    return (
+        in_bucket.withColumn("_cum", cumulative)
+        .where((F.col("_cum") >= F.col("_target")) & (F.col("_cum") - F.col("_n") < F.col("_target")))
+        .select(key, F.col("_v").cast(df.schema[col].dataType).alias(name))
+    )
 
 
 def distinct_columns(approx: bool = False, rsd: float = 0.05) -> list[Column]:
@@ -129,25 +181,42 @@ def summarize(
     rsd: float = 0.05,
     accuracy: int = DEFAULT_ACCURACY,
     key_bound: int | None = None,
+    median: str = "approx",
 ) -> DataFrame:
     """Group by ``key`` and compute the six summary columns (key first).
 
     ``key_bound``: an upper bound on the number of distinct key values, if
-    known; up to ``BROADCAST_KEY_LIMIT`` the distinct-count side of the join is
+    known; up to ``BROADCAST_KEY_LIMIT`` the per-key sides of the join are
     broadcast, otherwise adaptive execution chooses from the measured size.
+
+    ``median``: ``"approx"`` (``percentile_approx``, as the reference) or
+    ``"exact"`` (``lower_median``: no sketch merge, for inputs with very
+    many map tasks per key; equal to the sketch whenever the sketch is exact).
     """
-    values = value_columns(date_col=date_col, chronological=chronological, accuracy=accuracy)
+    if median not in ("approx", "exact"):
+        raise ValueError(f"median must be 'approx' or 'exact', got {median!r}")
+    exact = median == "exact"
+    bounded = key_bound is not None and key_bound <= BROADCAST_KEY_LIMIT
+    values = value_columns(
+        date_col=date_col, chronological=chronological, accuracy=accuracy, with_median=not exact
+    )
     if approx_distinct:
         out = df.groupBy(key).agg(*values, *distinct_columns(True, rsd))
-        return out.select(key, *_ORDER)
-    value_side = df.groupBy(key).agg(*values)
-    count_side = (
-        df.groupBy(key).agg(*distinct_columns(False)).withColumnRenamed(key, _JOIN_KEY)
-    )
-    if key_bound is not None and key_bound <= BROADCAST_KEY_LIMIT:
-        count_side = F.broadcast(count_side)
-    joined = value_side.join(count_side, value_side[key].eqNullSafe(count_side[_JOIN_KEY]), "inner")
-    return joined.select(key, *_ORDER)
+    else:
+        count_side = df.groupBy(key).agg(*distinct_columns(False))
+        out = _join_on_key(df.groupBy(key).agg(*values), count_side, key, "inner", bounded)
+    if exact:
+        out = _join_on_key(out, lower_median(df, key), key, "left", bounded)
+    return out.select(key, *_ORDER)
+
+
+def _join_on_key(left: DataFrame, right: DataFrame, key: str, how: str, broadcast: bool) -> DataFrame:
+    """Join two per-key results on ``key``, NULL matching NULL."""
+    right = right.withColumnRenamed(key, _JOIN_KEY)
+    if broadcast:
+        right = F.broadcast(right)
+    joined = left.join(right, left[key].eqNullSafe(right[_JOIN_KEY]), how)
+    return joined.drop(_JOIN_KEY)
 
 
 def row_count(df: DataFrame, name: str = "row_count") -> DataFrame:

@@ -51,6 +51,7 @@ def summarize_reports(
     approx_distinct: bool = False,
     accuracy: int = DEFAULT_ACCURACY,
     date_col: str = "date",
+    median: str = "approx",
 ) -> DataFrame:
     """Key the reports and compute the summary (lazy; key first).
 
@@ -64,6 +65,7 @@ def summarize_reports(
         approx_distinct=approx_distinct,
         accuracy=accuracy,
         key_bound=YEAR_KEY_BOUND,
+        median=median,
     )
 
 
@@ -118,6 +120,7 @@ def summary_job(
     accuracy: int = DEFAULT_ACCURACY,
     header: bool = False,
     preview: bool = False,
+    median: str = "approx",
 ) -> DataFrame:
     """Read a report CSV, summarise by ``key`` and publish (see module doc)."""
     reports = read_csv(spark, input_path, schema=schema)
@@ -128,6 +131,7 @@ def summary_job(
         chronological=chronological,
         approx_distinct=approx_distinct,
         accuracy=accuracy,
+        median=median,
     )
     return publish_summary(result, key, output_path=output_path, table=table, header=header, preview=preview)
 
@@ -145,6 +149,7 @@ def summary_from_table(
     approx_distinct: bool = False,
     accuracy: int = DEFAULT_ACCURACY,
     header: bool = False,
+    median: str = "approx",
 ) -> DataFrame:
     """Summarise a loaded report table (Parquet) instead of re-parsing text.
 
@@ -159,6 +164,7 @@ def summary_from_table(
         approx_distinct=approx_distinct,
         accuracy=accuracy,
         date_col=date_col,
+        median=median,
     )
     return publish_summary(result, key, output_path=output_path, table=summary_table, header=header)
 

@@ -155,6 +155,7 @@ def oracle_sql() -> dict[str, str]:
         "annual_summary_explicit_schema": _summary("year"),
         "annual_summary_chronological": _summary("year", chronological=True),
         "annual_summary_from_raw_table": _RAW_SUMMARY,
+        "annual_summary_exact_median": _summary("year"),
         "biennial_summary": _summary("year_group"),
         "biennial_summary_chronological": _summary("year_group", chronological=True),
         "summary_by_state": _summary("state"),

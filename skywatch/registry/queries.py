@@ -91,6 +91,19 @@ def annual_summary_explicit_schema(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def annual_summary_exact_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annual job with the distributed exact median (no sketch merge)."""
+    db = _database(spark)
+    return annual_job(
+        spark,
+        _report_csv(spark, sf_dir),
+        output_path=scratch_path(spark, "annual-csv"),
+        table=f"{db}.annual_summary",
+        schema=sighting_schema(),
+        median="exact",
+    )
+
+
 def biennial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV -> two-year bucket -> summary (text extremes) -> table + CSV tree."""
     db = _database(spark)
@@ -326,6 +339,7 @@ QUERIES: dict[str, Query] = {
     "annual_summary_explicit_schema": annual_summary_explicit_schema,
     "annual_summary_chronological": annual_summary_chronological,
     "annual_summary_from_raw_table": annual_summary_from_raw_table,
+    "annual_summary_exact_median": annual_summary_exact_median,
     "biennial_summary": biennial_summary,
     "biennial_summary_chronological": biennial_summary_chronological,
     "summary_by_state": summary_by_state,

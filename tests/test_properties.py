@@ -142,3 +142,65 @@ def test_summary_with_hot_year_matches_brute_force(spark):
         for k in exp:
             assert got[k][:5] == exp[k][:5], (key, k)
             assert abs(got[k][5] - exp[k][5]) < 1e-9
+
+
+def _lower_median_brute(pairs):
+    groups = defaultdict(list)
+    for k, v in pairs:
+        groups[k].append(v)
+    out = {}
+    for k, vs in groups.items():
+        vals = sorted(v for v in vs if v is not None)
+        if vals:
+            out[k] = vals[(len(vals) + 1) // 2 - 1]
+    return out
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    pairs=st.lists(
+        st.tuples(
+            st.one_of(st.none(), st.integers(1, 4)),
+            st.one_of(st.none(), st.integers(-50, 50), st.integers(-(2**31), 2**31 - 1)),
+        ),
+        min_size=1,
+        max_size=60,
+    )
+)
+def test_lower_median_matches_brute_force(spark, pairs):
+    from skywatch.operators.aggregates import lower_median
+
+    df = spark.createDataFrame(pairs, "k int, v int").repartition(5)
+    got = {r.k: r.m for r in lower_median(df, "k", "v", "m").collect()}
+    assert got == _lower_median_brute(pairs)
+
+
+def test_lower_median_hot_key_many_buckets(spark):
+    from skywatch.operators.aggregates import lower_median
+
+    # Key 1 has a third of the rows and values spread over many high-bit
+    # buckets (negative ones too); the others are dense in one bucket.
+    pairs = [
+        (1, ((i * 7919) % 400_003) * 10_007 - 2_000_000_000) if i % 3 == 0 else (2 + i % 5, (i * 31) % 1000)
+        for i in range(30000)
+    ]
+    df = spark.createDataFrame(pairs, "k int, v int").repartition(8)
+    got = {r.k: r.m for r in lower_median(df, "k", "v", "m").collect()}
+    assert got == _lower_median_brute(pairs)
+
+
+def test_lower_median_rejects_non_integer(spark):
+    import pytest
+
+    from skywatch.operators.aggregates import lower_median
+
+    with pytest.raises(TypeError):
+        lower_median(spark.createDataFrame([(1, 1.5)], "k int, v double"), "k", "v")
+
+
+def test_exact_median_summary_equals_approx_on_small_groups(spark):
+    data = [(f"{1 + i % 12:02d}/{1990 + i % 7}", f"c{i % 5}", "s", "01/01/1999", "01/02/1999", i % 13) for i in range(500)]
+    df = _frame(spark, data)
+    a = sorted(map(tuple, summarize_reports(df, "year").collect()), key=repr)
+    e = sorted(map(tuple, summarize_reports(df, "year", median="exact").collect()), key=repr)
+    assert a == e

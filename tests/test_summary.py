@@ -23,6 +23,14 @@ def test_annual_summary_fixture(spark, summary_csv):
     }
 
 
+def test_exact_median_fixture(spark, summary_csv):
+    got = _by_key(summarize_reports(read_csv(spark, summary_csv), "year_group", median="exact"), "year_group")
+    assert got == {
+        1998: ("12/1998", "01/1999", 2, 2, 5, -22.5),
+        None: ("junk", "junk", 1, 1, 9, -26.0),
+    }
+
+
 def test_biennial_summary_text_extremes(spark, summary_csv):
     got = _by_key(summarize_reports(read_csv(spark, summary_csv), "year_group"), "year_group")
     assert got == {
