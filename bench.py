@@ -110,6 +110,11 @@ def main() -> None:
     def biennial_chrono():
         biennial_summary(spark, csv_path, output_path=f"{out}/biennial_c", chronological=True).count()
 
+    def annual_exact_median():
+        annual_summary(
+            spark, csv_path, output_path=f"{out}/annual_x", table=f"{db}.annual_x", schema=sighting_schema(), median="exact"
+        )
+
     def annual_from_table():
         summary_from_table(spark, raw, "year", output_path=f"{out}/annual_t", summary_table=f"{db}.annual_t")
 
@@ -137,6 +142,7 @@ def main() -> None:
             "annual_summary_explicit_schema": annual_declared,
             "biennial_summary": biennial,
             "biennial_summary_chronological": biennial_chrono,
+            "annual_summary_exact_median": annual_exact_median,
             "annual_summary_from_table": annual_from_table,
             "load_and_partition": load_partition,
             "load_and_partition_by_year": load_by_year,

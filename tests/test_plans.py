@@ -42,6 +42,14 @@ def test_column_pruning_per_branch(spark, summary_csv):
     )
 
 
+def test_exact_median_has_no_sketch_and_no_sampling(spark, summary_csv):
+    df = summarize_reports(read_csv(spark, summary_csv, schema=sighting_schema()), "year", median="exact")
+    plan = _plan(df)
+    assert "percentile_approx" not in plan
+    assert "rangepartitioning" not in plan  # deterministic buckets, no sampled bounds
+    assert "shiftright(_v" in plan or "shiftright(" in plan
+
+
 def test_approx_distinct_single_aggregate(spark, summary_csv):
     df = summarize_reports(read_csv(spark, summary_csv, schema=sighting_schema()), "year", approx_distinct=True)
     plan = _plan(df)
