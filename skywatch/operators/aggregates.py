@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skywatch.functions.dates import lag_days, parse_month
+from skywatch.session import scratch_path
 
 DEFAULT_ACCURACY = 10000
 
@@ -91,9 +92,18 @@ def value_columns(
     return cols
 
 
-def lower_median(df: DataFrame, key: str, col: str = "month_count", name: str = "median_month_count") -> DataFrame:
+def lower_median(
+    df: DataFrame,
+    key: str,
+    col: str = "month_count",
+    name: str = "median_month_count",
+    weight: str | None = None,
+) -> DataFrame:
     """Exact lower median of an integer ``col`` per ``key`` (NULL values ignored).
 
+    ``weight`` names a count column when ``df`` is already aggregated (each
+    row stands for that many rows); without it every row counts once.
+
     The value at rank ceil(n / 2) of the n non-NULL values: what
     ``percentile_approx(col, 0.5)`` returns when its sketch is exact, and
     always inside its error bound. Keys whose values are all NULL have no row.
@@ -112,10 +122,11 @@ def lower_median(df: DataFrame, key: str, col: str = "month_count", name: str =
     if not isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType)):
         raise TypeError(f"lower_median needs an integer column of at most 32 bits, got {df.schema[col].dataType}")
     value = F.col(col).cast("int")
+    count = F.sum(weight) if weight else F.count(F.lit(1))
     hist = (
         df.where(value.isNotNull())
         .groupBy(key, value.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(count.alias("_n"))
         .withColumn("_hi", F.shiftright("_v", 16))
     )
     buckets = hist.groupBy(key, "_hi").agg(F.sum("_n").alias("_bn"))
@@ -192,6 +203,8 @@ def summarize(
     ``median``: ``"approx"`` (``percentile_approx``, as the reference) or
     ``"exact"`` (``lower_median``: no sketch merge, for inputs with very
     many map tasks per key; equal to the sketch whenever the sketch is exact).
+    The exact form materialises a small base aggregate, so it runs a job
+    when called; the approximate form is lazy.
     """
     if median not in ("approx", "exact"):
         raise ValueError(f"median must be 'approx' or 'exact', got {median!r}")
@@ -200,13 +213,60 @@ def summarize(
     values = value_columns(
         date_col=date_col, chronological=chronological, accuracy=accuracy, with_median=not exact
     )
+    if exact:
+        return _summarize_exact(df, key, date_col, chronological, approx_distinct, rsd, bounded)
     if approx_distinct:
         out = df.groupBy(key).agg(*values, *distinct_columns(True, rsd))
     else:
         count_side = df.groupBy(key).agg(*distinct_columns(False))
         out = _join_on_key(df.groupBy(key).agg(*values), count_side, key, "inner", bounded)
-    if exact:
-        out = _join_on_key(out, lower_median(df, key), key, "left", bounded)
+    return out.select(key, *_ORDER)
+
+
+def _summarize_exact(
+    df: DataFrame,
+    key: str,
+    date_col: str,
+    chronological: bool,
+    approx_distinct: bool,
+    rsd: float,
+    bounded: bool,
+) -> DataFrame:
+    """Summary with the exact median, from one fixed-width base aggregate.
+
+    The base groups rows by (key, month_count, month text) and keeps a row
+    count, a lag sum and a lag count: fixed-width buffers, combined map-side,
+    a hot key spread over its values. The extremes, the mean and the median
+    histogram all come from it, and the text extremes only ever see
+    deduplicated rows. The base is written once under the checkpoint folder
+    (so this function runs one job when called) because its consumers prune
+    it differently and would otherwise each rescan the input.
+    """
+    lag = lag_days("report_date", "posted_date")
+    base = df.groupBy(key, "month_count", date_col).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum(lag).alias("_lag_sum"),
+        F.count(lag).alias("_lag_n"),
+    )
+    # Written once under the checkpoint folder, so both consumers read the
+    # same rows and the input is scanned once for them.
+    spark = df.sparkSession
+    path = scratch_path(spark, "summary-base")
+    base.write.mode("overwrite").parquet(path)
+    base = spark.read.parquet(path)
+    max_date, min_date = month_extremes(date_col, chronological)
+    lag_n = F.sum("_lag_n")
+    values = base.groupBy(key).agg(
+        max_date.alias("max_date"),
+        min_date.alias("min_date"),
+        F.when(lag_n > 0, F.sum("_lag_sum") / lag_n).alias("avg_days_diff"),
+    )
+    if approx_distinct:
+        counts = df.groupBy(key).agg(*distinct_columns(True, rsd))
+    else:
+        counts = df.groupBy(key).agg(*distinct_columns(False))
+    out = _join_on_key(values, counts, key, "inner", bounded)
+    out = _join_on_key(out, lower_median(base, key, "month_count", weight="_rows"), key, "left", bounded)
     return out.select(key, *_ORDER)
 
 
