@@ -6,6 +6,7 @@ BENCH_VERBOSE (print every run to stderr). Inputs (the report CSV and the
 delimited exports derived from ``orders``, and one loaded raw table) are
 written once, untimed. Every job is warmed up, then the jobs are timed
 round-robin from read to last write, and the median per job is reported.
+The headline value is the sum of the medians of the reference's three jobs.
 The reference's form of the annual job (one wide aggregate, recomputed
 for each of three sinks) is reported under ``comparisons``.
 """
@@ -40,6 +41,9 @@ from skywatch.sources.frames import write_report_csv, write_report_text  # noqa:
 
 
 WARMUP_RUNS = int(os.environ.get("BENCH_WARMUP", "2"))
+# The headline value: the reference's three jobs (annual summary, biennial
+# summary, load and partition), end to end; variants are reported per query.
+HEADLINE = ("annual_summary", "biennial_summary", "load_and_partition")
 
 
 def _folder_bytes(path: str) -> int:
@@ -156,8 +160,9 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "total_median_job_seconds",
-                "value": round(sum(queries.values()), 4),
+                "metric": "reference_jobs_median_seconds",
+                "value": round(sum(queries[q] for q in HEADLINE), 4),
+                "headline": list(HEADLINE),
                 "unit": "sec",
                 "queries": queries,
                 "comparisons": comparisons,
