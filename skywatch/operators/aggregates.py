@@ -242,6 +242,8 @@ def _summarize_exact(
     (so this function runs one job when called) because its consumers prune
     it differently and would otherwise each rescan the input.
     """
+    if key in ("month_count", date_col):
+        raise ValueError(f"the exact median groups by month_count and {date_col}; key {key!r} cannot be one of them")
     lag = lag_days("report_date", "posted_date")
     base = df.groupBy(key, "month_count", date_col).agg(
         F.count(F.lit(1)).alias("_rows"),

@@ -99,6 +99,17 @@ def test_approx_distinct_option(spark, summary_csv):
     assert approx == exact  # tiny cardinalities are exact for the sketch
 
 
+def test_exact_median_key_guard(spark, summary_csv):
+    import pytest
+
+    from skywatch import summarize
+
+    with pytest.raises(ValueError):
+        summarize(read_csv(spark, summary_csv), "month_count", median="exact")
+    with pytest.raises(ValueError):
+        summarize(read_csv(spark, summary_csv), "year", median="median")
+
+
 def test_unknown_key_rejected(spark, summary_csv):
     import pytest
 
