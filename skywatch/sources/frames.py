@@ -4,8 +4,9 @@ The real report file is not shipped, so test and benchmark inputs are
 derived, row for row, from ``orders``: every order becomes one report. The
 derivation puts in the cases the jobs must handle: unparsable month text,
 NULL city/shape/posted date/month count, and a summary holding the
-separator. All of it is one projection over the scan, so it grows with
-``orders`` and runs in parallel.
+separator. The order key only decides which reports carry those cases; no
+order is dropped. All of it is one projection over the scan, so it grows
+with ``orders`` and runs in parallel.
 """
 
 from __future__ import annotations
