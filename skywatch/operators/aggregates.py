@@ -232,43 +232,72 @@ def _summarize_exact(
     rsd: float,
     bounded: bool,
 ) -> DataFrame:
-    """Summary with the exact median, from one fixed-width base aggregate.
-
-    The base groups rows by (key, month_count, month text) and keeps a row
-    count, a lag sum and a lag count: fixed-width buffers, combined map-side,
-    a hot key spread over its values. The extremes, the mean and the median
-    histogram all come from it, and the text extremes only ever see
-    deduplicated rows. The base is written once under the checkpoint folder
-    (so this function runs one job when called) because its consumers prune
-    it differently and would otherwise each rescan the input.
+    """Summary with the exact median, from one scan and one fixed-width base.
+
+    Each row becomes three cells: (0, month text, month_count) carrying the
+    lag, (1, city) and (2, shape). One hash aggregate per (key, kind, text,
+    value) with a row count, lag sum and lag count deduplicates them all:
+    fixed-width buffers, combined map-side, a hot key spread over its
+    values. The base is written once under the checkpoint folder (so this
+    function runs one job when called), and everything else reads it: text
+    extremes and mean from kind 0, exact distinct counts from kinds 1 and 2
+    (deduplicated pairs, so the counts are exact even when
+    ``approx_distinct`` is set), and the median histogram from kind 0.
     """
-    if key in ("month_count", date_col):
-        raise ValueError(f"the exact median groups by month_count and {date_col}; key {key!r} cannot be one of them")
+    if key in ("month_count", date_col, "city", "shape"):
+        raise ValueError(f"the exact median summary cannot be keyed by an input column it aggregates: {key!r}")
+    if not isinstance(df.schema["month_count"].dataType, (T.ByteType, T.ShortType, T.IntegerType)):
+        raise TypeError("the exact median needs an integer month_count; use median='approx'")
     lag = lag_days("report_date", "posted_date")
-    base = df.groupBy(key, "month_count", date_col).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.sum(lag).alias("_lag_sum"),
-        F.count(lag).alias("_lag_n"),
+
+    def cell(kind: int, text, value, lag_value):
+        return F.struct(
+            F.lit(kind).alias("_kind"),
+            F.col(text).alias("_s") if isinstance(text, str) else text.alias("_s"),
+            value.cast("int").alias("_i"),
+            lag_value.cast("int").alias("_lag"),
+        )
+
+    none = F.lit(None)
+    cells = F.explode(
+        F.array(
+            cell(0, date_col, F.col("month_count"), lag),
+            cell(1, "city", none, none),
+            cell(2, "shape", none, none),
+        )
+    ).alias("_cell")
+    base = (
+        df.select(key, cells)
+        .select(key, "_cell.*")
+        .groupBy(key, "_kind", "_s", "_i")
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.sum("_lag").alias("_lag_sum"),
+            F.count("_lag").alias("_lag_n"),
+        )
     )
-    # Written once under the checkpoint folder, so both consumers read the
-    # same rows and the input is scanned once for them.
     spark = df.sparkSession
     path = scratch_path(spark, "summary-base")
     base.write.mode("overwrite").parquet(path)
     base = spark.read.parquet(path)
-    max_date, min_date = month_extremes(date_col, chronological)
+
+    reports = base.where(F.col("_kind") == 0)
+    max_date, min_date = month_extremes("_s", chronological)
     lag_n = F.sum("_lag_n")
-    values = base.groupBy(key).agg(
+    values = reports.groupBy(key).agg(
         max_date.alias("max_date"),
         min_date.alias("min_date"),
         F.when(lag_n > 0, F.sum("_lag_sum") / lag_n).alias("avg_days_diff"),
     )
-    if approx_distinct:
-        counts = df.groupBy(key).agg(*distinct_columns(True, rsd))
-    else:
-        counts = df.groupBy(key).agg(*distinct_columns(False))
+    counts = base.groupBy(key).agg(
+        F.count(F.when(F.col("_kind") == 1, F.col("_s"))).alias("unique_cities"),
+        F.count(F.when(F.col("_kind") == 2, F.col("_s"))).alias("unique_shapes"),
+    )
+    median = lower_median(reports, key, "_i", "median_month_count", weight="_rows").withColumn(
+        "median_month_count", F.col("median_month_count").cast(df.schema["month_count"].dataType)
+    )
     out = _join_on_key(values, counts, key, "inner", bounded)
-    out = _join_on_key(out, lower_median(base, key, "month_count", weight="_rows"), key, "left", bounded)
+    out = _join_on_key(out, median, key, "left", bounded)
     return out.select(key, *_ORDER)
 
 
