@@ -1,6 +1,6 @@
 """Operators: transforms, aggregates, sinks and catalog operations."""
 
-from skywatch.operators.aggregates import month_extremes, row_count, summarize, summary_columns
+from skywatch.operators.aggregates import lower_median, month_extremes, row_count, summarize, summary_columns
 from skywatch.operators.catalog import (
     create_database,
     create_table,
@@ -25,6 +25,7 @@ __all__ = [
     "drop_table",
     "insert_into",
     "list_partitions",
+    "lower_median",
     "month_extremes",
     "project_columns",
     "rebalance",
