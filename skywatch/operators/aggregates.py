@@ -34,6 +34,13 @@ than the single wide aggregate (see README).
 
 ``approx_distinct=True`` replaces the exact counts by sketches in the value
 aggregate: one scan, one small shuffle, for very large inputs.
+
+The median sketch is the one partial that is not fixed-width: every map
+task sends one per key, and one task merges a key's sketches. With
+``median="exact"`` the summary instead scans the input once into exploded
+fixed-width cells, deduplicates them into a materialised base, and takes
+the exact lower median from a histogram with bounded value buckets
+(``lower_median``); no task then receives more than a bounded slice.
 """
 
 from __future__ import annotations
