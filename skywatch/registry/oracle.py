@@ -158,6 +158,7 @@ def oracle_sql() -> dict[str, str]:
         "annual_summary_exact_median": _summary("year"),
         "biennial_summary": _summary("year_group"),
         "biennial_summary_chronological": _summary("year_group", chronological=True),
+        "biennial_summary_chronological_exact_median": _summary("year_group", chronological=True),
         "summary_by_state": _summary("state"),
         "parse_month": _keyed('SELECT details, "date", month, year FROM keyed'),
         "parse_day": _keyed("SELECT details, report_day, posted_day FROM keyed"),

@@ -120,6 +120,11 @@ def biennial_summary_chronological(spark: SparkSession, sf_dir: str) -> DataFram
     return biennial_job(spark, _report_csv(spark, sf_dir), chronological=True)
 
 
+def biennial_summary_chronological_exact_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-year buckets, chronological extremes, exact median (one input scan)."""
+    return biennial_job(spark, _report_csv(spark, sf_dir), chronological=True, median="exact")
+
+
 def annual_summary_chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-year summary with chronological month extremes, no sinks."""
     return summarize_reports(_reports(spark, sf_dir), "year", chronological=True)
@@ -342,6 +347,7 @@ QUERIES: dict[str, Query] = {
     "annual_summary_exact_median": annual_summary_exact_median,
     "biennial_summary": biennial_summary,
     "biennial_summary_chronological": biennial_summary_chronological,
+    "biennial_summary_chronological_exact_median": biennial_summary_chronological_exact_median,
     "summary_by_state": summary_by_state,
     "parse_month": parse_month_text,
     "parse_day": parse_day_text,

@@ -22,6 +22,14 @@ def test_biennial_cli_declared_schema(spark, summary_csv, tmp_path, capsys):
     assert "02/1999" in capsys.readouterr().out
 
 
+def test_summary_cli_options(spark, summary_csv, tmp_path, capsys):
+    out = str(tmp_path / "out")
+    args = ["annual", summary_csv, "--output", out, "--exact-median", "--approx-distinct", "--header"]
+    assert main(args, spark=spark) == 0
+    assert "12/1998" in capsys.readouterr().out
+    assert spark.read.option("header", True).csv(out).columns[0] == "max_date"
+
+
 def test_load_and_inspect_cli(spark, text_file, tmp_path, capsys):
     db = unique_name("cli")
     assert main(["load", text_file, "--database", db, "--location", str(tmp_path / "db")], spark=spark) == 0
