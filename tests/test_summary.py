@@ -115,3 +115,23 @@ def test_unknown_key_rejected(spark, summary_csv):
 
     with pytest.raises(ValueError):
         summarize_reports(read_csv(spark, summary_csv), "decade")
+
+
+def test_results_do_not_depend_on_partitioning_or_adaptive_execution(spark, summary_csv):
+    baseline = sorted(map(tuple, summarize_reports(read_csv(spark, summary_csv), "year").collect()), key=repr)
+    settings = [
+        {"spark.sql.shuffle.partitions": "1"},
+        {"spark.sql.shuffle.partitions": "200"},
+        {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"},
+    ]
+    for conf in settings:
+        old = {k: spark.conf.get(k) for k in conf}
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            for median in ("approx", "exact"):
+                got = summarize_reports(read_csv(spark, summary_csv), "year", median=median).collect()
+                assert sorted(map(tuple, got), key=repr) == baseline, (conf, median)
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
