@@ -150,14 +150,15 @@ def inspect_and_partition_by_year(
     ``schema.dated_schema()`` the date columns are DATE and the year is taken
     from the date column directly.
 
-    The year is derived from the month text. Every row is inserted; rows
-    whose text does not parse have a NULL year and land in the default
-    partition (``year=__HIVE_DEFAULT_PARTITION__``).
+    Otherwise the year is derived from the month text. Every row is
+    inserted; rows without a year land in the default partition
+    (``year=__HIVE_DEFAULT_PARTITION__``).
     """
     create_database(spark, database, location=location)
     raw = f"{database}.{raw_table}"
-    schema = schema or sighting_schema(date_col)
-    create_table(spark, raw, schema)
+    create_table(spark, raw, schema or sighting_schema(date_col))
+    # An existing table keeps its own schema (IF NOT EXISTS): follow it.
+    schema = spark.table(raw).schema
     description = describe_table(spark, raw)
     load_file_into_table(spark, input_path, raw, sep=sep, mode=mode)
     count = row_count(read_table(spark, raw))
