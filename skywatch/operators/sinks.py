@@ -63,13 +63,15 @@ def save_csv(
     header: bool = False,
     dynamic: bool = False,
     sep: str = ",",
+    options: dict[str, str] | None = None,
 ) -> str:
     """Write ``df`` as CSV, one sub-folder per partition value.
 
     NULL keys go to ``<key>=__HIVE_DEFAULT_PARTITION__`` and read back as
     NULL. The default writes no header line, as the reference does.
+    ``options`` go to the CSV writer (``compression``, ``quoteAll``, ...).
     """
-    w = df.write.mode(mode).option("header", header).option("sep", sep)
+    w = df.write.mode(mode).option("header", header).option("sep", sep).options(**(options or {}))
     keys = _keys(partition_by)
     if keys:
         w = w.partitionBy(*keys)
@@ -86,12 +88,14 @@ def save_table(
     *,
     mode: str = "overwrite",
     format: str = "parquet",
+    options: dict[str, str] | None = None,
 ) -> str:
     """Write ``df`` as a managed table; ``overwrite`` drops and recreates it.
 
     Partition columns are stored last, so a read-back has them at the end.
+    ``options`` go to the writer (``compression`` and the like).
     """
-    w = df.write.mode(mode).format(format)
+    w = df.write.mode(mode).format(format).options(**(options or {}))
     keys = _keys(partition_by)
     if keys:
         w = w.partitionBy(*keys)

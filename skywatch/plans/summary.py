@@ -121,9 +121,15 @@ def summary_job(
     header: bool = False,
     preview: bool = False,
     median: str = "approx",
+    infer_sampling_ratio: float | None = None,
 ) -> DataFrame:
-    """Read a report CSV, summarise by ``key`` and publish (see module doc)."""
-    reports = read_csv(spark, input_path, schema=schema)
+    """Read a report CSV, summarise by ``key`` and publish (see module doc).
+
+    Without ``schema`` the types are inferred by an extra pass over the
+    input; ``infer_sampling_ratio`` parses only that fraction of the lines
+    in that pass.
+    """
+    reports = read_csv(spark, input_path, schema=schema, sampling_ratio=infer_sampling_ratio)
     result = summarize_reports(
         reports,
         key,

@@ -61,3 +61,19 @@ def test_csv_header_option(spark, summary_csv, tmp_path):
     save_csv(summarize_reports(read_csv(spark, summary_csv), "year"), out, "year", header=True)
     back = spark.read.option("header", True).csv(out)
     assert back.columns[:2] == ["max_date", "min_date"]
+
+
+def test_sink_options_pass_through(spark, summary_csv, tmp_path):
+    import glob
+
+    out = str(tmp_path / "gz")
+    save_csv(summarize_reports(read_csv(spark, summary_csv), "year"), out, "year", options={"compression": "gzip"})
+    assert glob.glob(out + "/year=1998/*.csv.gz")
+    assert spark.read.schema(summary_csv_schema("year")).csv(out).count() == 3
+
+
+def test_inference_sampling_ratio(spark, summary_csv):
+    from skywatch.plans import summary_job
+
+    result = summary_job(spark, summary_csv, "year", infer_sampling_ratio=1.0)
+    assert result.count() == 3
