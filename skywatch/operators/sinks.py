@@ -5,13 +5,16 @@ Write modes:
 * ``append`` adds files (a rerun duplicates rows, as a plain load does);
 * ``overwrite`` replaces the whole output;
 * ``overwrite`` with ``dynamic=True`` replaces only the partitions present in
-  the new data, which makes partial reloads idempotent. It is set per write,
-  never on the session.
+  the new data, which makes partial reloads idempotent. Path writes take it
+  as a writer option. An insert into a catalog table reads it only from the
+  session, so it is set there for the duration of that one insert and then
+  restored (another job running on the same session meanwhile would see it).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,20 @@ from pyspark.sql import functions as F
 from skywatch.operators.catalog import is_stream_owned
 
 _DYNAMIC = ("partitionOverwriteMode", "dynamic")
+_SESSION_OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+
+
+@contextmanager
+def _session_setting(spark, key: str, value: str) -> Iterator[None]:
+    previous = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if previous is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, previous)
 
 
 def _keys(partition_by: str | Sequence[str] | None) -> list[str]:
@@ -126,10 +143,11 @@ def insert_into(
     keys = _keys(partition_by)
     if balance:
         df = rebalance(df, keys)
-    w = df.write
     if overwrite and dynamic:
-        w = w.option(*_DYNAMIC)
-    w.insertInto(table, overwrite=overwrite)
+        with _session_setting(df.sparkSession, _SESSION_OVERWRITE_MODE, "dynamic"):
+            df.write.insertInto(table, overwrite=True)
+    else:
+        df.write.insertInto(table, overwrite=overwrite)
     return table
 
 

@@ -119,15 +119,21 @@ def load_and_partition(
     sep: str = ",",
     mode: str = "append",
     location: str | None = None,
+    dynamic: bool = False,
 ) -> LoadResult:
-    """Create, load and partition (see module doc)."""
+    """Create, load and partition (see module doc).
+
+    With ``mode="overwrite"`` and ``dynamic=True`` the partitioned table
+    keeps the partitions the new file does not touch: a partial reload
+    replaces only the partition values it contains.
+    """
     create_database(spark, database, location=location)
     raw = f"{database}.{raw_table}"
     create_table(spark, raw, raw_table_schema())
     load_file_into_table(spark, input_path, raw, sep=sep, mode=mode)
     part = f"{database}.{partitioned_table}"
     create_table(spark, part, partitioned_schema(raw_table_schema(), partition_col), partition_by=[partition_col])
-    rejected = insert_partitioned(spark, read_table(spark, raw), part, partition_col, mode=mode)
+    rejected = insert_partitioned(spark, read_table(spark, raw), part, partition_col, mode=mode, dynamic=dynamic)
     return LoadResult(raw, part, list_partitions(spark, part), rejected)
 
 

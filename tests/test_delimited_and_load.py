@@ -99,3 +99,14 @@ def test_inspect_and_partition_by_year(spark, tmp_path):
     ]
     assert sorted(r[0] for r in res.partitions.collect()) == ["year=1999", "year=__HIVE_DEFAULT_PARTITION__"]
     assert read_table(spark, res.partitioned_table).where(F.col("year").isNull()).count() == 2  # header + junk
+
+
+def test_partial_reload_with_dynamic_overwrite(spark, text_file, tmp_path):
+    db = unique_name("t")
+    loc = str(tmp_path / "db")
+    load_and_partition(spark, text_file, db, location=loc, mode="overwrite")
+    only_nine = write_lines(tmp_path, "nine.txt", ["n1,01/2000,X,S,USA,orb,z,01/06/2000,02/01/2000,9"])
+    res = load_and_partition(spark, only_nine, db, location=loc, mode="overwrite", dynamic=True)
+    rows = {r.details: r.month_count for r in read_table(spark, res.partitioned_table).collect()}
+    assert rows == {"d2": 7, "d8": 4, "n1": 9}  # 4 and 7 kept, 9 replaced by the new file's rows
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"  # restored
