@@ -77,3 +77,17 @@ def test_inference_sampling_ratio(spark, summary_csv):
 
     result = summary_job(spark, summary_csv, "year", infer_sampling_ratio=1.0)
     assert result.count() == 3
+
+
+def test_read_csv_options_pass_through(spark, summary_csv):
+    df = read_csv(spark, summary_csv, nullValue="junk")
+    assert df.where("details = 'd4'").first()["date"] is None
+
+
+def test_save_table_other_format(spark, summary_csv, tmp_path):
+    from skywatch import save_table
+
+    db = create_database(spark, unique_name("f"), location=str(tmp_path / "db"))
+    t = save_table(summarize_reports(read_csv(spark, summary_csv), "year"), f"{db}.orc_summary", "year", format="orc")
+    assert spark.table(t).count() == 3
+    assert spark.sql(f"DESCRIBE TABLE EXTENDED {t}").where("col_name = 'Provider'").first()[1].lower() == "orc"

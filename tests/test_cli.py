@@ -49,3 +49,11 @@ def test_ingest_cli(spark, tmp_path, capsys):
     spark.sql(f"CREATE DATABASE {db} LOCATION '{tmp_path / 'db'}'")
     assert main(["ingest", str(tmp_path / "landing" / "*"), "--table", f"{db}.raw"], spark=spark) == 0
     assert f"{db}.raw: 5 rows" in capsys.readouterr().out
+
+
+def test_inspect_cli_date_typed(spark, tmp_path, capsys):
+    path = write_lines(tmp_path, "d.txt", ["a|1999-12-01|Reno|NV|USA|disk|x|1999-12-05|1999-12-28|5"])
+    db = unique_name("cli")
+    assert main(["inspect", path, "--database", db, "--location", str(tmp_path / "db"), "--date-typed"], spark=spark) == 0
+    out = capsys.readouterr().out
+    assert "year=1999" in out and "date" in out

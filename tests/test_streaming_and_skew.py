@@ -101,3 +101,17 @@ def test_rebalance_without_adaptive_execution_salts(spark):
         assert df.count() == 6000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_ingest_bounded_micro_batches(spark, tmp_path):
+    landing = tmp_path / "landing" / "a"
+    landing.mkdir(parents=True)
+    write_lines(landing, "f1.txt", SUMMARY_CSV[:3])
+    write_lines(landing, "f2.txt", SUMMARY_CSV[3:])
+    db = create_database(spark, unique_name("s"), location=str(tmp_path / "db"))
+    table = create_table(spark, f"{db}.raw", raw_table_schema())
+    q = ingest_new_files(
+        spark, str(tmp_path / "landing" / "*"), table, checkpoint=str(tmp_path / "cp"), max_files_per_trigger=1, timeout_seconds=120
+    )
+    assert read_table(spark, table).count() == 5
+    assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 2  # one file per micro-batch
