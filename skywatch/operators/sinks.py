@@ -143,11 +143,13 @@ def insert_into(
     keys = _keys(partition_by)
     if balance:
         df = rebalance(df, keys)
-    if overwrite and dynamic:
-        with _session_setting(df.sparkSession, _SESSION_OVERWRITE_MODE, "dynamic"):
+    if overwrite:
+        # Pin the mode either way, so a session default cannot turn a full
+        # replace into a partial one or the reverse.
+        with _session_setting(df.sparkSession, _SESSION_OVERWRITE_MODE, "dynamic" if dynamic else "static"):
             df.write.insertInto(table, overwrite=True)
     else:
-        df.write.insertInto(table, overwrite=overwrite)
+        df.write.insertInto(table, overwrite=False)
     return table
 
 

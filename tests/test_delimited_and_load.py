@@ -110,3 +110,18 @@ def test_partial_reload_with_dynamic_overwrite(spark, text_file, tmp_path):
     rows = {r.details: r.month_count for r in read_table(spark, res.partitioned_table).collect()}
     assert rows == {"d2": 7, "d8": 4, "n1": 9}  # 4 and 7 kept, 9 replaced by the new file's rows
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"  # restored
+
+
+def test_full_reload_is_static_even_if_session_default_is_dynamic(spark, text_file, tmp_path):
+    db = unique_name("t")
+    loc = str(tmp_path / "db")
+    load_and_partition(spark, text_file, db, location=loc, mode="overwrite")
+    only_nine = write_lines(tmp_path, "nine.txt", ["n1,01/2000,X,S,USA,orb,z,01/06/2000,02/01/2000,9"])
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        res = load_and_partition(spark, only_nine, db, location=loc, mode="overwrite")
+        rows = {r.details: r.month_count for r in read_table(spark, res.partitioned_table).collect()}
+        assert rows == {"n1": 9}  # a full reload replaces every partition
+        assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "dynamic"  # caller's value restored
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
