@@ -54,7 +54,7 @@ from skywatch.session import scratch_path
 
 DEFAULT_ACCURACY = 10000
 
-# Output column order after the key (fixed by the reference's job).
+# The summary's output columns, in order, after the key.
 _ORDER = (
     "max_date",
     "min_date",
