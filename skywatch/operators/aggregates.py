@@ -50,19 +50,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skywatch.functions.dates import lag_days, parse_month
+from skywatch.schema import SUMMARY_COLUMNS
 from skywatch.session import scratch_path
 
 DEFAULT_ACCURACY = 10000
 
-# The summary's output columns, in order, after the key.
-_ORDER = (
-    "max_date",
-    "min_date",
-    "unique_cities",
-    "unique_shapes",
-    "median_month_count",
-    "avg_days_diff",
-)
+_ORDER = SUMMARY_COLUMNS  # output columns after the key
 _JOIN_KEY = "__summary_key"
 # Largest proven key count for which the distinct-count side (a key and two
 # longs per row, about 50 MB as a hashed relation at this size) is broadcast.
