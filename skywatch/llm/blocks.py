@@ -27,9 +27,9 @@ ASK = "shard int, block long, body binary"
 ANSWER = "block long, shard int, body binary"
 
 
-def _message(table: pa.Table) -> bytes:
+def message(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
     with pa.ipc.new_stream(sink, table.schema, options=options) as out:
         for batch in table.combine_chunks().to_batches():
             out.write_batch(batch)
@@ -49,7 +49,7 @@ def write_blocks(rows: DataFrame, text_col: str, block_bytes: int = BLOCK_BYTES)
 
         def full() -> pa.RecordBatch:
             nonlocal block, held, size
-            body = _message(pa.Table.from_batches(held))
+            body = message(pa.Table.from_batches(held))
             out = pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "body": pa.array([body], pa.binary())})
             block, held, size = block + 1, [], 0
             return out

@@ -7,6 +7,9 @@ from one cumulative sum. Two different spans share a hash with probability about
 
 from __future__ import annotations
 
+import gc
+import time
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,10 +43,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that no live DataFrame refers to (they go at a driver GC)."""
+    """Let Spark drop shuffle files of steps that are done.
+
+    Spark removes a shuffle's files some time after the driver's garbage collector has found that
+    no DataFrame refers to it, which can be after the end of a job with a large heap.
+    """
     jvm = getattr(getattr(spark, "sparkContext", None), "_jvm", None)
     if jvm is not None:
-        jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            jvm.System.gc()
+            time.sleep(0.2)
 
 
 def shuffle_width(spark: SparkSession) -> int:

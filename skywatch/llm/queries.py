@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywatch.llm.common import table
+from skywatch.llm.common import fold, table
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -26,6 +28,75 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_array_dedup, op9_substring_dedup)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skywatch.llm.quality import RESULTS, with_quality
+
+    return with_quality(_documents(spark, sf_dir)).select("doc_id", *RESULTS)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skywatch.llm.contamination import find_contamination
+
+    found = find_contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skywatch.llm.jaccard import near_duplicates
+
+    _, found = near_duplicates(_documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skywatch.llm import toxicity
+
+    docs = _documents(spark, sf_dir)
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
+    scored = toxicity.score(docs, net)
+    return scored.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skywatch.llm import language
+
+    docs = _documents(spark, sf_dir, "lang")
+    training = language.fit(docs.filter(fold("doc_id", 4) != 2))
+    return language.predict(docs.select("doc_id", "text"), training).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+#: The vocabulary file; the environment may name another.
+MODEL_FILE = os.environ.get("SKYWATCH_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skywatch.llm import pieces
+
+    model = pieces.load_model(MODEL_FILE)
+    coded = pieces.decode(pieces.encode(_documents(spark, sf_dir), model), model)
+    return coded.select(
+        "doc_id", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_tokens"), "ids",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op3_language_id,
+        op4_suffix_array_dedup,
+        op6_quality_rules,
+        op7_benchmark_decontamination,
+        op8_ngram_jaccard_join,
+        op9_substring_dedup,
+        op10_toxicity,
+    )
+}
 
 ORACLES: dict[str, str] = {}

@@ -50,6 +50,7 @@ from skywatch.llm.common import (
 )
 
 WINDOW = 13
+BLOCK_BYTES = 2 << 20
 STATE = -1
 
 
@@ -214,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """
     half = (window + 1) // 2
     spark = docs.sparkSession
-    blocks = write_blocks(docs, text_col)
+    blocks = write_blocks(docs, text_col, BLOCK_BYTES)
     shards = shard_count(blocks)
     level = _extended(
         blocks, _first_level(blocks, half, shards, id_col, text_col), _every, half, window, shards, id_col, text_col,
@@ -259,7 +260,7 @@ def repeat_levels(docs: DataFrame, start: int = WINDOW, id_col: str = "doc_id",
     Windows repeated at one length alone are extended to twice that length, until no candidates
     survive; ``n_windows`` counts the document's windows that another document holds as well.
     """
-    blocks = write_blocks(docs, text_col)
+    blocks = write_blocks(docs, text_col, BLOCK_BYTES)
     shards = shard_count(blocks)
     kind = T.StructType(
         [T.StructField(id_col, T.LongType()), T.StructField("length", T.LongType()), T.StructField("n_windows", T.LongType())]

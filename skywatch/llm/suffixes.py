@@ -47,6 +47,7 @@ from skywatch.llm.common import (
     covered,
     ids_of,
     materialise,
+    mix,
     release,
     rows_of,
     span_hashes,
@@ -56,6 +57,7 @@ from skywatch.llm.common import (
 from skywatch.llm.substrings import STATE, _asked, _Groups, _one, _with_state, pack_ids, unpack_ids
 
 LENGTH = 50
+BLOCK_BYTES = 1 << 20
 GRAM = 20
 LOW32 = U64(0xFFFFFFFF)
 
@@ -180,7 +182,8 @@ class _Anchors:
         self.at = p[first]
         self.lo = s[first]  # first window start
         self.hi = s[np.append(first[1:], len(s)) - 1] if len(s) else s  # last window start
-        self.hash = h[self.at]
+        # Anchors are small hashes by choice: spread them again over all shards.
+        self.hash = mix(h[self.at])
         self.row = rows_of(self.lo, self.offsets)
 
     def groups(self) -> _Groups:
@@ -282,7 +285,7 @@ def remove_repeated_bytes(
     """
     if not 8 <= gram <= length:
         raise ValueError("gram must be between 8 and length")
-    blocks = write_blocks(docs, text_col)
+    blocks = write_blocks(docs, text_col, BLOCK_BYTES)
     shards = shard_count(blocks)
 
     def first(block, rows):
