@@ -169,6 +169,19 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(h + (ends - starts).astype(U64))
 
 
+def run_hashes(values: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``length`` values; its high bits are the well mixed ones."""
+    up, down = _powers(len(values) + 1)
+    total = np.empty(len(values) + 1, U64)
+    total[0] = 0
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    h = total[length:] - total[:-length]
+    h *= down[: len(h)]
+    h ^= h >> U64(32)
+    h *= U64(0x94D049BB133111EB)
+    return h
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hashes(byte_values()[raw], starts, ends)
 

@@ -55,7 +55,12 @@ def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str
     return places.select("item", "size", F.array_join(F.slice("words", F.col("at"), F.col("size")), " ").alias("phrase")).distinct()
 
 
-def find_contamination(
+def _key(id_col: str, text_col: str) -> list[Column]:
+    """A row's key, its id and text: rows that agree in both share one answer."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k2")]
+
+
+def _search(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = WINDOW,
@@ -64,11 +69,8 @@ def find_contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-) -> DataFrame:
-    """One row for each row of ``docs``: ``id, n_words, n_hit, n_items, items, contaminated``.
-
-    ``items`` are the ids of the items with an occurring window, sorted as strings.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``id, k, k2, n_words``, and ``k, k2, n_hit, items`` of those with a hit."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be between 1 and window")
     width = window - gram + 1
@@ -87,8 +89,7 @@ def find_contamination(
         ).alias("probe")
     ).distinct()
 
-    # A row's key: its id and text; rows that agree in both share one answer.
-    key = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("k"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k2")]
+    key = _key(id_col, text_col)
     marked = docs.select(F.col(id_col).alias("id"), *key, _words(F.col(text_col)).alias("words"))
     marked = marked.withColumn("grams", _grams(F.col("words"), gram))
     prints = materialise(
@@ -147,8 +148,19 @@ def find_contamination(
         .agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
     found = spans.select("k", "k2", n_hit.alias("n_hit")).join(items, ["k", "k2"], "left")
+    return prints.drop("probes"), found
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """One row for each row of ``docs``: ``id, n_words, n_hit, n_items, items, contaminated``.
+
+    ``items`` are the ids of the items with an occurring window, sorted as strings.
+    """
+    rows, found = _search(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     none = F.array().cast("array<string>")
-    return prints.drop("probes").join(found, ["k", "k2"], "left").select(
+    return rows.join(found, ["k", "k2"], "left").select(
         F.col("id").alias(id_col),
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
@@ -156,3 +168,10 @@ def find_contamination(
         F.coalesce("items", none).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without any hit, unchanged."""
+    _, found = _search(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    row = docs.select(F.struct("*").alias("row"), *_key(id_col, text_col))
+    return row.join(found.select("k", "k2"), ["k", "k2"], "left_anti").select("row.*")

@@ -157,7 +157,7 @@ def predict(docs: DataFrame, training: dict[str, bytes], text_col: str = "text")
             at = text_bytes(whole.column(text_col))[1]
             i = 0
             while i < whole.num_rows:
-                j = min(max(int(np.searchsorted(at, at[i] + (16 << 20), "right")) - 1, i + 1), whole.num_rows)
+                j = min(max(int(np.searchsorted(at, at[i] + (6 << 20), "right")) - 1, i + 1), whole.num_rows)
                 batch = whole.slice(i, j - i)
                 raw, offsets = text_bytes(batch.column(text_col))
                 known = _has_letter(raw, offsets)

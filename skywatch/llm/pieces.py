@@ -289,7 +289,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
             at = text_bytes(whole.column(text_col))[1]
             i = 0
             while i < whole.num_rows:
-                j = min(max(int(np.searchsorted(at, at[i] + (12 << 20), "right")) - 1, i + 1), whole.num_rows)
+                j = min(max(int(np.searchsorted(at, at[i] + (6 << 20), "right")) - 1, i + 1), whole.num_rows)
                 batch = whole.slice(i, j - i)
                 raw, starts, ends, first = marked_words(batch.column(text_col))
                 if len(cache) > CACHE_WORDS:

@@ -53,16 +53,17 @@ RULES = (
 )
 
 
-def _repeat_words(windows: Column) -> Column:
-    """Words in windows found twice or more: sort (hash, place), keep equal neighbours, measure the union."""
-    by_hash = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def _twice(sorted_: str) -> Column:
+    """Places of windows found twice or more: equal neighbours in the (hash, place) order."""
+    x = F.col(sorted_)
     marked = F.transform(
-        by_hash,
-        lambda x, k: F.when(
-            F.get(by_hash, k - 1)["h"].eqNullSafe(x["h"]) | F.get(by_hash, k + 1)["h"].eqNullSafe(x["h"]), x["i"]
-        ),
+        x, lambda w, k: F.when(F.get(x, k - 1)["h"].eqNullSafe(w["h"]) | F.get(x, k + 1)["h"].eqNullSafe(w["h"]), w["i"])
     )
-    places = F.array_sort(F.array_compact(marked))
+    return F.array_sort(F.array_compact(marked))
+
+
+def _union_size(places: str) -> Column:
+    """Words in the union of the windows at these places, in order."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     return F.aggregate(
         places,
@@ -93,7 +94,10 @@ def measures(text: Column) -> list[dict[str, Column]]:
             ).otherwise(F.array().cast("array<bigint>")),
         },
         {"_repeats": F.size(F.array_distinct("_windows")) < F.size("_windows")},
-        {"n_repeat_words": F.when(c("_repeats"), _repeat_words(c("_windows"))).otherwise(F.lit(0).cast("long"))},
+        # A column of its own for each step: inside a lambda an expression is evaluated for each element.
+        {"_sorted": F.when(c("_repeats"), F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))},
+        {"_places": F.when(c("_repeats"), _twice("_sorted"))},
+        {"n_repeat_words": F.when(c("_repeats"), _union_size("_places")).otherwise(F.lit(0).cast("long"))},
     ]
 
 

@@ -60,6 +60,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skywatch.llm.licenses import RESULTS, scan
+
+    return scan(_documents(spark, sf_dir)).select("doc_id", *RESULTS)
+
+
+def op5_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skywatch.llm.weighting import score
+
+    docs = _documents(spark, sf_dir).withColumn("held_out", fold("doc_id", 10) == 0)
+    return score(docs, "held_out").select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skywatch.llm import language
 
@@ -89,8 +104,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece,
+        op2_license_scan,
         op3_language_id,
         op4_suffix_array_dedup,
+        op5_context_tree_scoring,
         op6_quality_rules,
         op7_benchmark_decontamination,
         op8_ngram_jaccard_join,

@@ -50,6 +50,7 @@ from skywatch.llm.common import (
     mix,
     release,
     rows_of,
+    run_hashes,
     span_hashes,
     spare_name,
     text_bytes,
@@ -74,7 +75,31 @@ def _words8(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+def _direct_order(words: np.ndarray, direct: np.ndarray, depth: int) -> np.ndarray:
+    """The places ``direct`` by the first ``depth`` bytes there: eight at a time, ties alone go on."""
+    n = len(words)
+    direct = direct[np.argsort(words[direct], kind="stable")]
+    key = words[direct]
+    tied = np.zeros(len(direct), bool)
+    tied[1:] = key[1:] == key[:-1]
+    for k in range(8, depth, 8):
+        member = tied.copy()
+        member[:-1] |= tied[1:]
+        i = np.flatnonzero(member)
+        if not len(i):
+            break
+        place = direct[i]
+        key = words[np.minimum(place + k, n - 1)]
+        key[place + k >= n] = 0
+        group = np.cumsum(~tied[i])
+        by = np.lexsort((key, group))
+        direct[i] = place[by]
+        key, group = key[by], group[by]
+        tied[i[1:]] = (key[1:] == key[:-1]) & (group[1:] == group[:-1])
+    return direct
+
+
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Places of ``text`` in the order of their suffixes' first ``depth`` bytes at least.
 
     Two-stage sorting. Suffixes smaller than their successors (type B) are sorted directly by
@@ -83,52 +108,61 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     successors: scanning the buckets upwards and appending each suffix's predecessor to its own
     bucket places them all. Past the end counts as smaller than any byte, so the last suffix is of
     type A. Ties beyond ``depth`` bytes keep any order.
+
+    ``wanted`` flags the places to sort (all by default). A type A place needs its successor, so
+    those up to the next type B place are sorted along, and all sorted places are returned.
     """
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
     # Type of a place: that of the next place with another byte.
     change = np.flatnonzero(text[1:] != text[:-1])
-    upward = np.zeros(n, bool)
     ends = np.append(change, n - 1)
     rise = np.append(text[change + 1] > text[change], False)
-    upward[:] = np.repeat(rise, np.diff(np.append(-1, ends)))
-
-    direct = np.flatnonzero(upward)
-    words = _words8(text)
-    steps = list(range(0, depth, 8))
-    keys = [words[np.minimum(direct + k, n - 1)] * (direct + k < n).astype(U64) for k in steps]
-    direct = direct[np.lexsort(keys[::-1])] if len(direct) else direct
+    upward = np.repeat(rise, np.diff(np.append(-1, ends)))
+    if wanted is None:
+        needed = np.ones(n, bool)
+    else:
+        # A place is needed if the last wanted one at or before it has no type B place between.
+        place = np.arange(n)
+        last_wanted = np.maximum.accumulate(np.where(wanted, place, -1))
+        last_b = np.maximum.accumulate(np.where(upward, place, -1))
+        before_b = np.concatenate([[-1], last_b[:-1]])
+        needed = last_wanted > before_b
+        needed |= wanted
+
+    direct = _direct_order(_words8(text), np.flatnonzero(upward & needed), depth)
     cut = np.searchsorted(text[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
 
     heads: list[list[np.ndarray]] = [[] for _ in range(256)]
-    heads[int(text[n - 1])].append(np.array([n - 1]))
+    if needed[n - 1]:
+        heads[int(text[n - 1])].append(np.array([n - 1]))
     order = []
     for c in range(256):
         front = heads[c]
         k = 0
-        while k < len(front):  # predecessors with the same byte join this bucket
+        while k < len(front):  # predecessors with the same byte join this bucket, after those there
             before = front[k] - 1
             before = before[before >= 0]
-            before = before[text[before] == c]
+            before = before[(text[before] == c) & needed[before]]
             if len(before):
                 front.append(before)
             k += 1
-        # An entry that joined early stands before those that its own predecessors add, but all
-        # entries from smaller buckets stand before both: they were appended first.
-        bucket = np.concatenate([*front, direct[cut[c] : cut[c + 1]]]) if front or cut[c + 1] > cut[c] else direct[:0]
+        if not front and cut[c + 1] == cut[c]:
+            continue
+        bucket = np.concatenate([*front, direct[cut[c] : cut[c + 1]]])
         order.append(bucket)
         before = bucket - 1
         before = before[before >= 0]
-        first = text[before]
-        above = first > c
-        before, first = before[above], first[above]
+        before = before[(text[before] > c) & needed[before]]
         if len(before):
+            first = text[before]
             by = np.argsort(first, kind="stable")
             before, first = before[by], first[by]
-            for b in np.unique(first):
-                heads[b].append(before[np.searchsorted(first, b) : np.searchsorted(first, b, "right")])
-    return np.concatenate(order)
+            at = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+            for i, j in zip(at.tolist(), [*at[1:].tolist(), len(first)]):
+                heads[int(first[i])].append(before[i:j])
+    return np.concatenate(order) if order else np.zeros(0, np.int64)
 
 
 def adjacent_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -161,30 +195,25 @@ class _Anchors:
             self.at = self.lo = self.hi = self.row = np.zeros(0, np.int64)
             self.hash = np.zeros(0, U64)
             return
-        places = np.arange(n - gram + 1)
-        h = span_hashes(byte_values()[self.raw], places, places + gram)
         # Smallest of each window's grams, by doubling. The low half of the order key is the place,
         # later ones smaller: the last of equals wins, and the minimum tells where it is.
-        best, reach = (h & ~LOW32) | (LOW32 - places.astype(U64)), 1
+        h = run_hashes(byte_values()[self.raw], gram)
+        best, reach = (h & ~LOW32) | (LOW32 - np.arange(len(h), dtype=U64)), 1
         while reach * 2 <= width:
             best = np.minimum(best[: len(best) - reach], best[reach:])
             reach *= 2
-        best = np.minimum(best[:m], best[width - reach : width - reach + m])
-        where = (LOW32 - (best & LOW32)).astype(np.int64)
-        inside = np.zeros(m, bool)
-        for i, j in zip(self.offsets[:-1][self.present], self.offsets[1:][self.present]):
-            inside[i : max(j - length + 1, i)] = True
-        s = np.flatnonzero(inside)
-        p = where[s]
-        head = np.ones(len(s), bool)
-        head[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)
-        first = np.flatnonzero(head)
-        self.at = p[first]
-        self.lo = s[first]  # first window start
-        self.hi = s[np.append(first[1:], len(s)) - 1] if len(s) else s  # last window start
+        best = np.minimum(best[:m], best[width - reach : width - reach + m]).astype(np.uint32)
+        # Runs of windows with one anchor, cut at the rows' first and last windows.
+        begin, end = self.offsets[:-1], np.maximum(self.offsets[1:] - length + 1, self.offsets[:-1])
+        change = np.flatnonzero(best[1:] != best[:-1]) + 1
+        cut = np.unique(np.concatenate([change, np.minimum(begin, m), np.minimum(end, m), [0, m]]))
+        lo, hi = cut[:-1], cut[1:] - 1
+        row = rows_of(lo, self.offsets)
+        ok = self.present[row] & (lo < end[row])
+        self.lo, self.hi, self.row = lo[ok], hi[ok], row[ok]
+        self.at = np.int64(LOW32) - best[self.lo].astype(np.int64)
         # Anchors are small hashes by choice: spread them again over all shards.
         self.hash = mix(h[self.at])
-        self.row = rows_of(self.lo, self.offsets)
 
     def groups(self) -> _Groups:
         return _Groups(self.hash, self.ids[self.row])
@@ -252,10 +281,9 @@ def _shard(length: int, width: int):
         into = np.ones(len(joined), bool)
         into[start + sizes[one]] = False
         joined[into] = _gather(text, begin[one], sizes[one]) + 1
-        order = suffix_array(joined, length)
-        room = np.zeros(len(joined), bool)
         span = np.repeat(sizes[one] - length + 1, own)
-        room[:] = np.arange(len(joined)) - np.repeat(start, own) < span
+        room = np.arange(len(joined)) - np.repeat(start, own) < span
+        order = suffix_array(joined, length, room)
         order = order[room[order]]  # suffixes with a whole window
         same = adjacent_prefixes(joined, order, length)
         cls = np.concatenate([[0], np.cumsum(~same)]) if len(order) else order

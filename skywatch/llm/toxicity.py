@@ -350,7 +350,7 @@ def score(docs: DataFrame, net: dict | float, text_col: str = "text", score_col:
             at = text_bytes(whole.column(text_col))[1]
             i = 0
             while i < whole.num_rows:
-                j = min(max(int(np.searchsorted(at, at[i] + (8 << 20), "right")) - 1, i + 1), whole.num_rows)
+                j = min(max(int(np.searchsorted(at, at[i] + (4 << 20), "right")) - 1, i + 1), whole.num_rows)
                 batch = whole.slice(i, j - i)
                 if isinstance(net, float):
                     value = np.full(batch.num_rows, net)
