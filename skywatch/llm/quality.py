@@ -86,7 +86,7 @@ def measures(text: Column) -> list[dict[str, Column]]:
             "n_symbols": F.regexp_count(or_empty(text), F.lit(SYMBOLS)).cast("long"),
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_ellipsis_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long"),
+            "n_ellipsis_lines": F.size(F.filter("_lines", lambda x: x.endswith("...") | x.endswith("…"))).cast("long"),
             "n_stop_words": F.size(F.array_intersect("_words", F.array(*map(F.lit, STOP_WORDS)))).cast("long"),
             "_windows": F.when(
                 F.size("_words") >= SPAN,
@@ -113,6 +113,9 @@ def _failed(rule: Rule) -> Column:
     return (F.col("n_words") >= rule.from_words) & bad
 
 
+MEASURES = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_stop_words", "n_repeat_words"
+)
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "base_failed", "kept", "failed_rules")
 
 
@@ -124,6 +127,9 @@ def with_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
     inner = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
     for layer in measures(F.col("_text")):
         inner = inner.withColumns(layer)
+    # A generator of one row keeps later filters above the measures: pushed below, a filter would
+    # repeat their expressions, inside lambdas even for each element.
+    inner = inner.select("_row", F.inline(F.array(F.struct(*MEASURES))))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     failed = F.array_compact(F.array(*(F.when(_failed(r), F.lit(r.name)) for r in rules)))
     inner = inner.withColumns({"base_failed": base, "_failed": failed})
