@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywatch.llm.common import fold, table
+from skywatch.llm.oracles import ORACLES  # noqa: F401  (the SQL of these queries)
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -116,4 +117,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+
