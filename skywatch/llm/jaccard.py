@@ -12,8 +12,9 @@ by one document alone cost nothing. (The few sets without more than t non-empty
 each other by a prefix of their shingles.) Candidates are verified on the whole sets.
 
 Links within a group of candidates: all members are compared with one, links merge into components,
-and only members still in different components are then compared with each other. So no link
-between components is lost, and a group of copies costs its size, not its square. Equal sets are one
+and only members still in different components are then compared with each other, if the Hamming
+distance of a second, short sketch allows. So no link between components is lost, and a group of
+copies costs its size, not its square. Equal sets are one
 node throughout.
 
 A null text, or one without words, has an empty set and no links; a text of fewer than five words
@@ -50,6 +51,8 @@ from skywatch.llm.components import components
 SHINGLE = 5
 THRESHOLD = (3, 4)
 DOCS, TEXT = -1, -2
+#: Bits of the short sketch that is compared before whole sets are.
+SHORT_BITS = 1024
 LOW32 = U64(0xFFFFFFFF)
 
 
@@ -75,6 +78,13 @@ class ShingleSets:
         self.first = np.searchsorted(self.row, np.arange(len(offsets)))
         self.size = np.diff(self.first)
 
+    def parities(self, bits: int) -> np.ndarray:
+        """A short sketch of each set: the parity of its shingles on each of ``bits`` bits, as numbers."""
+        rows = len(self.size)
+        cell = self.row * bits + (self.hash >> U64(17)).astype(np.int64) % bits
+        odd = (np.bincount(cell, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
+        return np.packbits(odd, axis=1).view(np.int64)
+
     def digests(self) -> np.ndarray:
         """128 bits of each set, as two columns; zeros for empty sets."""
         out = np.zeros((len(self.size), 2), U64)
@@ -295,6 +305,9 @@ def near_duplicates(
                 "id": pa.array(ids, pa.int64(), mask=~present),
                 "n_shingles": pa.array(sets.size, pa.int64()),
                 "d": _names(digest),
+                "short": pa.FixedSizeListArray.from_arrays(pa.array(sets.parities(SHORT_BITS).ravel()), SHORT_BITS // 64).cast(
+                    pa.list_(pa.int64())
+                ),
             }
         )
         yield _special(DOCS, block, [message(table)])
@@ -323,16 +336,24 @@ def near_duplicates(
     apart = groups.select("g", "d").join(roots.withColumnRenamed("node", "d"), "d", "left")
     apart = apart.select("g", "d", F.coalesce("root", "d").alias("root"))
     mixed = apart.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high"))
-    sizes = members.groupBy("d").agg(F.first("n_shingles").alias("n"))
-    apart = materialise(apart.join(mixed.select("g"), "g", "left_semi").join(sizes, "d"), "apart")
-    other = apart.select("g", F.col("d").alias("v"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    # The Hamming distance of the short sketches bounds the symmetric difference from below, so
+    # pairs too far apart are never put together.
+    known = members.select("d", F.col("n_shingles").alias("n"), *(F.col("short")[k].alias(f"s{k}") for k in range(SHORT_BITS // 64)))
+    known = known.join(apart.join(mixed.select("g"), "g", "left_semi").select("d").distinct(), "d", "left_semi").dropDuplicates(["d"])
+    apart = materialise(apart.join(mixed.select("g"), "g", "left_semi").join(known, "d"), "apart")
+    other = apart.select("g", *(F.col(c).alias(f"{c}_2") for c in apart.columns if c != "g"))
+    distance = F.lit(0)
+    for k in range(SHORT_BITS // 64):
+        distance = distance + F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_2")))
+    n, n2 = F.col("n"), F.col("n_2")
+    near = (q * n >= p * n2) & (q * n2 >= p * n) & ((q + p) * distance <= (q - p) * (n + n2))
     rest = (
-        apart.withColumnRenamed("d", "u").join(other, "g")
-        .filter((F.col("root") < F.col("root2")) & (q * F.col("n") >= p * F.col("n2")) & (q * F.col("n2") >= p * F.col("n")))
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        apart.join(other, "g")
+        .filter((F.col("root") < F.col("root_2")) & near)
+        .select(F.least("d", "d_2").alias("u"), F.greatest("d", "d_2").alias("v"))
         .distinct()
         .join(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    )
+    )
     more = materialise(_verified(rest, texts, shingle, p, q), "links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more))
@@ -366,7 +387,7 @@ def _unpacked(packed: DataFrame) -> DataFrame:
             for body in batch.column("body"):
                 yield from rows_in(body.as_buffer()).to_batches()
 
-    return packed.mapInArrow(run, "block long, row long, id long, n_shingles long, d binary")
+    return packed.mapInArrow(run, "block long, row long, id long, n_shingles long, d binary, short array<long>")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

@@ -69,8 +69,11 @@ class SuffixAutomaton:
         for b in word:
             following = move(state << 8 | b)
             if following is None:
-                n += 1
-                following = move(b, 0) if state else 0
+                n += 1  # the phrase so far, or a byte that never occurs
+                following = 0
+                if state:
+                    following = move(b, 0)
+                    n += not following
             state = following
         return n + (state > 0)
 

@@ -75,7 +75,7 @@ def test_empty_tables(spark, tmp_path):
     bench = spark.createDataFrame([], "item_id long, text string")
     path = corpus.documents(spark, tmp_path, {"documents": docs, "benchmark": bench})
     for name in ("op4_suffix_array_dedup", "op6_quality_rules", "op7_benchmark_decontamination", "op8_ngram_jaccard_join", "op9_substring_dedup"):
-        assert queries.QUERIES[name](spark, path).count() == 0
+        assert queries.QUERIES[name](spark, path).count() == 0, name
 
 
 def test_empty_benchmark(spark, tmp_path):
