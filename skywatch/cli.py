@@ -38,9 +38,9 @@ def _parser() -> argparse.ArgumentParser:
         s.add_argument("--declared-schema", action="store_true", help="declare the report schema instead of inferring it")
         s.add_argument("--chronological", action="store_true", help="order month extremes by date, not text")
         s.add_argument("--header", action="store_true", help="write a header line in the CSV output")
-        s.add_argument("--accuracy", type=int, default=10000)
+        s.add_argument("--accuracy", type=int, help="of the approximate median")
         s.add_argument("--approx-distinct", action="store_true", help="sketch the distinct counts (one scan, one small shuffle)")
-        s.add_argument("--exact-median", action="store_true", help="distributed exact lower median instead of the sketch")
+        s.add_argument("--approx-median", action="store_true", help="the sketched median instead of the exact lower one")
         s.add_argument("--no-preview", action="store_true")
         if name == "biennial":
             s.add_argument("--width", type=int, default=2)
@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             chronological=args.chronological,
             accuracy=args.accuracy,
             approx_distinct=args.approx_distinct,
-            median="exact" if args.exact_median else "approx",
+            median="approx" if args.approx_median else "exact",
             header=args.header,
         )
         if args.job == "annual":

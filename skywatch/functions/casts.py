@@ -2,7 +2,7 @@
 
 A delimited-text table converts each field from text on read. Integer fields
 accept an optional sign and digits, optionally followed by a fractional part
-that is dropped (``4.7`` -> 4). Anything else (empty text, surrounding
+that is dropped (``4.7`` -> 4); a fraction alone is zero (``.5``, ``-.5``). Anything else (empty text, surrounding
 blanks, letters, out-of-range values) is NULL. The null marker of text
 tables, ``\\N``, is NULL for every type; an empty string field stays ``''``.
 """
@@ -20,6 +20,7 @@ from skywatch.functions.dates import parse_date_text
 # integer text (sign, digits, optional dropped fraction) and the date text.
 TEXT_NULL_MARKER = "\\N"
 INTEGRAL_TEXT = r"^([-+]?[0-9]+)(?:\.[0-9]*)?$"
+FRACTION_TEXT = r"^[-+]?\.[0-9]+$"
 TEXT_DATE_PATTERN = "yyyy-MM-dd"
 
 _INTEGRAL_TYPES = (
@@ -32,11 +33,13 @@ _INTEGRAL_TYPES = (
 
 def tolerant_int(col: ColumnOrName, type_name: str = "int") -> Column:
     """Text -> integral type with text-table rules; malformed -> NULL."""
-    digits = F.regexp_extract(as_col(col), INTEGRAL_TEXT, 1)
+    c = as_col(col)
+    digits = F.regexp_extract(c, INTEGRAL_TEXT, 1)
     # regexp_extract gives '' on no match: answer NULL without a cast attempt
     # (a failing cast is the slow path); try_cast only sees digit strings and
     # gives NULL on overflow.
-    return F.when(digits != F.lit(""), digits.try_cast(type_name))
+    zero = F.lit(0).cast(type_name)
+    return F.when(digits != F.lit(""), digits.try_cast(type_name)).when(c.rlike(FRACTION_TEXT), zero)
 
 
 def text_field(

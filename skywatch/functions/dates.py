@@ -3,9 +3,8 @@
 All functions return Column expressions built from Spark built-ins, so they
 stay inside whole-stage codegen. Parsing is strict about the pattern and
 tolerant about failure: text that does not match gives NULL instead of
-raising, whatever ``spark.sql.ansi.enabled`` is set to. Years are limited to
-|year| <= 99,999 (see ``max_text_length``), which also bounds the number of
-distinct year keys.
+raising, whatever ``spark.sql.ansi.enabled`` is set to. Every year that a
+timestamp can hold parses; years beyond that give NULL.
 """
 
 from __future__ import annotations
@@ -22,34 +21,35 @@ MONTH_PATTERN = "MM/yyyy"
 DAY_PATTERN = "MM/dd/yyyy"
 
 
-# Numeric patterns: the fields yyyy, MM, dd and separators only.
-_NUMERIC_FIELDS = {"yyyy", "MM", "dd"}
-_SEPARATORS = set("/-. :")
+# The last year that a timestamp holds whole, the year after it (held up to its
+# ninth day), and the first year held whole.
+LAST_YEAR = 294_246
+FIRST_YEAR = -290_307
+_LONG_YEAR = r"[-+]?[0-9]{6,}"
 
 
-def _is_numeric_pattern(pattern: str) -> bool:
-    runs = [m.group(0) for m in re.finditer(r"([A-Za-z])\1*|.", pattern)]
-    return bool(runs) and all(r in _NUMERIC_FIELDS or r in _SEPARATORS for r in runs)
+def _has_free_year(pattern: str) -> bool:
+    """Whether the year field takes any number of digits: ``yyyy`` with no field right beside it."""
+    return re.search(r"(?<![A-Za-z])yyyy(?![A-Za-z])", pattern) is not None
 
 
-def max_text_length(pattern: str) -> int | None:
-    """Longest text worth parsing with a numeric ``pattern``, else None.
+def parse_date_text(col: ColumnOrName, pattern: str) -> Column:
+    """Parse text with ``pattern`` to a date; anything malformed gives NULL.
 
-    The year field of a pattern like ``MM/yyyy`` also takes a sign and more
-    than four digits, and a year past the timestamp range (about 290,000)
-    makes ``try_to_date`` fail with a long overflow instead of giving NULL.
-    Allowing two characters beyond the pattern admits signed years of up to
-    five digits (|year| <= 99,999) and nothing that can overflow.
+    The year field also takes a sign and more than four digits, and a year past the timestamp
+    range makes ``try_to_date`` fail instead of giving NULL. So text with a run of six digits or
+    more is parsed only if that number is a year the type can hold.
     """
-    return len(pattern) + 2 if _is_numeric_pattern(pattern) else None
-
-
-def parse_date_text(col: ColumnOrName, pattern: str) -> Column:
-    """Parse text with ``pattern`` to a date; anything malformed gives NULL."""
     c = as_col(col)
-    limit = max_text_length(pattern)
     parsed = F.try_to_date(c, pattern)
-    return parsed if limit is None else F.when(F.length(c) <= F.lit(limit), parsed)
+    if not _has_free_year(pattern):
+        return parsed
+    year = F.regexp_extract(c, _LONG_YEAR, 0).try_cast("bigint")
+    in_year = F.try_to_date(F.regexp_replace(c, _LONG_YEAR, "2000"), pattern)
+    held = year.between(FIRST_YEAR, LAST_YEAR) | (
+        (year == LAST_YEAR + 1) & (F.month(in_year) == 1) & (F.dayofmonth(in_year) <= 9)
+    )
+    return F.when(~c.rlike(_LONG_YEAR) | held, parsed)
 
 
 def parse_month(col: ColumnOrName, pattern: str = MONTH_PATTERN) -> Column:

@@ -9,38 +9,23 @@
 * ``avg_days_diff``: mean of ``report - posted`` in days over rows where both
   day texts parse.
 
-Plan shape. Written as one ``agg`` call, the two exact distinct counts make
-Catalyst expand every row three ways and aggregate on (key, city, shape,
-group id); the text extremes and the percentile sketch then force that wide
-aggregate onto the sort-based or object-hash path, which allocates a sketch
-per (key, city, shape) group and falls back to sorting every expanded row.
-So the summary is built from two aggregates over the same input instead:
-
-* the *value* aggregate groups by the key alone (extremes, percentile sketch,
-  mean): a map-side partial per task and key, then one small shuffle;
-* the *distinct* aggregate expands only city and shape, deduplicates
-  map-side on (key, value) with fixed-width hash aggregation, shuffles the
-  deduplicated pairs, and counts per key.
-
-A hot key is spread over its cities and shapes in the distinct shuffle and
-arrives as one partial row per map task in the value shuffle, so a key
-holding a third of the input never lands whole in one task. The two results
-have one row per key value and are joined with a NULL-safe equality. When
-the caller can bound the number of key values (years: at most 200,000), the
-distinct side is broadcast; otherwise adaptive execution picks the join
-from the measured size. Over a columnar source each branch reads only its
-own columns; over CSV each branch parses the files, which measured faster
-than the single wide aggregate (see README).
-
-``approx_distinct=True`` replaces the exact counts by sketches in the value
-aggregate: one scan, one small shuffle, for very large inputs.
-
-The median sketch is the one partial that is not fixed-width: every map
-task sends one per key, and one task merges a key's sketches. With
-``median="exact"`` the summary instead scans the input once into exploded
-fixed-width cells, deduplicates them into a materialised base, and takes
-the exact lower median from a histogram with bounded value buckets
-(``lower_median``); no task then receives more than a bounded slice.
+Plan shape. The default scans the input once: every row becomes three
+fixed-width cells, which one hash aggregate deduplicates map-side into a base
+that is written to the shared checkpoint folder. The counts, extremes and mean
+are one aggregate of that base; the median is the exact lower median from a
+histogram with bounded value buckets (``lower_median``). A hot key is spread
+over its values in every shuffle, so no task receives more than a bounded
+slice of it.
+
+``median="approx"`` keeps the reference's ``percentile_approx`` in a lazy plan
+of two aggregates over the same input (two scans): extremes, sketch and mean
+by key, and exact distinct counts deduplicated on (key, value). Its limit: the
+sketch is not fixed-width, every map task sends one per key, and one task
+merges all sketches of a key. ``approx_distinct=True`` (with the approximate
+median only) replaces the exact counts by sketches: one scan.
+
+The per-key results are joined with a NULL-safe equality; adaptive execution
+picks the join from their measured size.
 """
 
 from __future__ import annotations
@@ -57,9 +42,6 @@ DEFAULT_ACCURACY = 10000
 
 _ORDER = SUMMARY_COLUMNS  # output columns after the key
 _JOIN_KEY = "__summary_key"
-# Largest proven key count for which the distinct-count side (a key and two
-# longs per row, about 50 MB as a hashed relation at this size) is broadcast.
-BROADCAST_KEY_LIMIT = 1_000_000
 
 
 def month_extremes(date_col: str = "date", chronological: bool = False) -> tuple[Column, Column]:
@@ -113,43 +95,55 @@ def lower_median(
 
     1. histogram: count per (key, value), fixed-width and combined map-side,
        shuffled on (key, value), so a hot key spreads over its values;
-    2. per (key, high 16 bits of the value) the bucket total; a window over a
+    2. for each 16 bits of the value but the last, from the top: the totals per
+       (key, these bits) among the values still in question; a window over a
        key's buckets (at most 65,536 rows) finds the one bucket holding rank
-       ceil(n / 2) and the count before it;
+       ceil(n / 2) and the count before it (one such step for ``int``, three for
+       ``bigint``);
     3. only that bucket's histogram rows (at most 65,536 values per key) are
        walked in value order to find the value where the count reaches it.
     """
-    if not isinstance(df.schema[col].dataType, (T.ByteType, T.ShortType, T.IntegerType)):
-        raise TypeError(f"lower_median needs an integer column of at most 32 bits, got {df.schema[col].dataType}")
-    value = F.col(col).cast("int")
+    kind = df.schema[col].dataType
+    if isinstance(kind, T.LongType):
+        shifts = (48, 32, 16)
+    elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
+        shifts = (16,)
+    else:
+        raise TypeError(f"lower_median needs an integer column, got {kind}")
+    value = F.col(col).cast("bigint")
     count = F.sum(weight) if weight else F.count(F.lit(1))
-    hist = (
-        df.where(value.isNotNull())
-        .groupBy(key, value.alias("_v"))
-        .agg(count.alias("_n"))
-        .withColumn("_hi", F.shiftright("_v", 16))
-    )
-    buckets = hist.groupBy(key, "_hi").agg(F.sum("_n").alias("_bn"))
+    hist = df.where(value.isNotNull()).groupBy(key, value.alias("_v")).agg(count.alias("_n"))
     per_key = Window.partitionBy(key)
-    located = (
-        buckets.select(
-            F.col(key).alias(_JOIN_KEY),
-            F.col("_hi").alias("_bucket"),
-            F.col("_bn"),
-            (F.sum("_bn").over(per_key.orderBy("_hi")) - F.col("_bn")).alias("_before"),
-            F.ceil(F.sum("_bn").over(per_key) / F.lit(2)).alias("_target"),
+    rank = None
+    for shift in shifts:
+        bucket = F.shiftright("_v", shift).alias("_hi")
+        if rank is None:
+            buckets = hist.groupBy(key, bucket).agg(F.sum("_n").alias("_bn"))
+            before, target = F.lit(0).cast("bigint"), F.ceil(F.sum("_bn").over(per_key) / F.lit(2))
+        else:
+            buckets = hist.groupBy(key, "_base", "_target", bucket).agg(F.sum("_n").alias("_bn"))
+            before, target = F.col("_base"), F.col("_target")
+        located = (
+            buckets.select(
+                F.col(key).alias(_JOIN_KEY),
+                F.col("_hi").alias("_bucket"),
+                "_bn",
+                (before + F.sum("_bn").over(per_key.orderBy("_hi")) - F.col("_bn")).alias("_before"),
+                target.alias("_rank"),
+            )
+            .where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_bn")))
+            .select(_JOIN_KEY, "_bucket", F.col("_before").alias("_base"), F.col("_rank").alias("_target"))
         )
-        .where((F.col("_before") < F.col("_target")) & (F.col("_target") <= F.col("_before") + F.col("_bn")))
-        .drop("_bn")
-    )
-    in_bucket = hist.join(
-        located, hist[key].eqNullSafe(located[_JOIN_KEY]) & (hist["_hi"] == located["_bucket"]), "inner"
-    )
-    cumulative = F.col("_before") + F.sum("_n").over(Window.partitionBy(key).orderBy("_v"))
+        hist = hist.select(key, "_v", "_n").join(
+            located,
+            F.col(key).eqNullSafe(F.col(_JOIN_KEY)) & (F.shiftright("_v", shift) == F.col("_bucket")),
+        ).select(key, "_v", "_n", "_base", "_target")
+        rank = "_target"
+    cumulative = F.col("_base") + F.sum("_n").over(Window.partitionBy(key).orderBy("_v"))
     return (
-        in_bucket.withColumn("_cum", cumulative)
+        hist.withColumn("_cum", cumulative)
         .where((F.col("_cum") >= F.col("_target")) & (F.col("_cum") - F.col("_n") < F.col("_target")))
-        .select(key, F.col("_v").cast(df.schema[col].dataType).alias(name))
+        .select(key, F.col("_v").cast(kind).alias(name))
     )
 
 
@@ -189,49 +183,37 @@ def summarize(
     date_col: str = "date",
     chronological: bool = False,
     approx_distinct: bool = False,
-    rsd: float = 0.05,
-    accuracy: int = DEFAULT_ACCURACY,
-    key_bound: int | None = None,
-    median: str = "approx",
+    rsd: float | None = None,
+    accuracy: int | None = None,
+    median: str = "exact",
 ) -> DataFrame:
     """Group by ``key`` and compute the six summary columns (key first).
 
-    ``key_bound``: an upper bound on the number of distinct key values, if
-    known; up to ``BROADCAST_KEY_LIMIT`` the per-key sides of the join are
-    broadcast, otherwise adaptive execution chooses from the measured size.
-
-    ``median``: ``"approx"`` (``percentile_approx``, as the reference) or
-    ``"exact"`` (``lower_median``: no sketch merge, for inputs with very
-    many map tasks per key; equal to the sketch whenever the sketch is exact).
-    The exact form materialises a small base aggregate, so it runs a job
-    when called; the approximate form is lazy.
+    ``median``: ``"exact"`` (``lower_median``; one input scan) or ``"approx"``
+    (``percentile_approx``, as the reference; see the module text for its
+    limit). They are equal whenever the sketch is exact. The exact form
+    materialises a small base aggregate, so it runs a job when called; the
+    approximate form is lazy. ``approx_distinct``, ``rsd`` and ``accuracy`` belong
+    to the approximate form and are refused with the exact one.
     """
     if median not in ("approx", "exact"):
         raise ValueError(f"median must be 'approx' or 'exact', got {median!r}")
-    exact = median == "exact"
-    bounded = key_bound is not None and key_bound <= BROADCAST_KEY_LIMIT
+    if median == "exact":
+        if approx_distinct or rsd is not None or accuracy is not None:
+            raise ValueError("approx_distinct, rsd and accuracy need median='approx'")
+        return _summarize_exact(df, key, date_col, chronological)
     values = value_columns(
-        date_col=date_col, chronological=chronological, accuracy=accuracy, with_median=not exact
+        date_col=date_col, chronological=chronological, accuracy=DEFAULT_ACCURACY if accuracy is None else accuracy
     )
-    if exact:
-        return _summarize_exact(df, key, date_col, chronological, approx_distinct, rsd, bounded)
     if approx_distinct:
-        out = df.groupBy(key).agg(*values, *distinct_columns(True, rsd))
+        out = df.groupBy(key).agg(*values, *distinct_columns(True, 0.05 if rsd is None else rsd))
     else:
         count_side = df.groupBy(key).agg(*distinct_columns(False))
-        out = _join_on_key(df.groupBy(key).agg(*values), count_side, key, "inner", bounded)
+        out = _join_on_key(df.groupBy(key).agg(*values), count_side, key, "inner")
     return out.select(key, *_ORDER)
 
 
-def _summarize_exact(
-    df: DataFrame,
-    key: str,
-    date_col: str,
-    chronological: bool,
-    approx_distinct: bool,
-    rsd: float,
-    bounded: bool,
-) -> DataFrame:
+def _summarize_exact(df: DataFrame, key: str, date_col: str, chronological: bool) -> DataFrame:
     """Summary with the exact median, from one scan and one fixed-width base.
 
     Each row becomes three cells: (0, month text, month_count) carrying the
@@ -239,22 +221,23 @@ def _summarize_exact(
     value) with a row count, lag sum and lag count deduplicates them all:
     fixed-width buffers, combined map-side, a hot key spread over its
     values. The base is written once under the checkpoint folder (so this
-    function runs one job when called), and everything else reads it: text
-    extremes and mean from kind 0, exact distinct counts from kinds 1 and 2
-    (deduplicated pairs, so the counts are exact even when
-    ``approx_distinct`` is set), and the median histogram from kind 0.
+    function runs one job when called), and everything else reads it: one
+    aggregate by key for extremes, mean and distinct counts, and the median
+    histogram from kind 0.
     """
     if key in ("month_count", date_col, "city", "shape"):
         raise ValueError(f"the exact median summary cannot be keyed by an input column it aggregates: {key!r}")
-    if not isinstance(df.schema["month_count"].dataType, (T.ByteType, T.ShortType, T.IntegerType)):
+    kind = df.schema["month_count"].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         raise TypeError("the exact median needs an integer month_count; use median='approx'")
+    number = "bigint" if isinstance(kind, T.LongType) else "int"
     lag = lag_days("report_date", "posted_date")
 
     def cell(kind: int, text, value, lag_value):
         return F.struct(
             F.lit(kind).alias("_kind"),
             F.col(text).alias("_s") if isinstance(text, str) else text.alias("_s"),
-            value.cast("int").alias("_i"),
+            value.cast(number).alias("_i"),
             lag_value.cast("int").alias("_lag"),
         )
 
@@ -281,31 +264,30 @@ def _summarize_exact(
     base.write.mode("overwrite").parquet(path)
     base = spark.read.parquet(path)
 
-    reports = base.where(F.col("_kind") == 0)
-    max_date, min_date = month_extremes("_s", chronological)
+    is_report = F.col("_kind") == 0
+    text = F.when(is_report, F.col("_s"))
+    max_date, min_date = month_extremes("_t", chronological)
     lag_n = F.sum("_lag_n")
-    values = reports.groupBy(key).agg(
-        max_date.alias("max_date"),
-        min_date.alias("min_date"),
-        F.when(lag_n > 0, F.sum("_lag_sum") / lag_n).alias("avg_days_diff"),
-    )
-    counts = base.groupBy(key).agg(
-        F.count(F.when(F.col("_kind") == 1, F.col("_s"))).alias("unique_cities"),
-        F.count(F.when(F.col("_kind") == 2, F.col("_s"))).alias("unique_shapes"),
+    per_key = (
+        base.withColumn("_t", text)
+        .groupBy(key)
+        .agg(
+            max_date.alias("max_date"),
+            min_date.alias("min_date"),
+            F.when(lag_n > 0, F.sum("_lag_sum") / lag_n).alias("avg_days_diff"),
+            F.count(F.when(F.col("_kind") == 1, F.col("_s"))).alias("unique_cities"),
+            F.count(F.when(F.col("_kind") == 2, F.col("_s"))).alias("unique_shapes"),
+        )
     )
-    median = lower_median(reports, key, "_i", "median_month_count", weight="_rows").withColumn(
-        "median_month_count", F.col("median_month_count").cast(df.schema["month_count"].dataType)
+    median = lower_median(base.where(is_report), key, "_i", "median_month_count", weight="_rows").withColumn(
+        "median_month_count", F.col("median_month_count").cast(kind)
     )
-    out = _join_on_key(values, counts, key, "inner", bounded)
-    out = _join_on_key(out, median, key, "left", bounded)
-    return out.select(key, *_ORDER)
+    return _join_on_key(per_key, median, key, "left").select(key, *_ORDER)
 
 
-def _join_on_key(left: DataFrame, right: DataFrame, key: str, how: str, broadcast: bool) -> DataFrame:
+def _join_on_key(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
     """Join two per-key results on ``key``, NULL matching NULL."""
     right = right.withColumnRenamed(key, _JOIN_KEY)
-    if broadcast:
-        right = F.broadcast(right)
     joined = left.join(right, left[key].eqNullSafe(right[_JOIN_KEY]), how)
     return joined.drop(_JOIN_KEY)
 

@@ -105,9 +105,8 @@ def is_stream_owned(spark: SparkSession, table: str) -> bool:
     loc = table_location(spark, table)
     if not loc:
         return False
-    try:
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(loc.rstrip("/") + "/" + STREAM_LOG_DIR)
-        return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
-    except Exception:  # no JVM access (Spark Connect): cannot tell, do not block
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:  # Spark Connect: cannot tell, do not block
         return False
+    path = jvm.org.apache.hadoop.fs.Path(loc.rstrip("/") + "/" + STREAM_LOG_DIR)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))

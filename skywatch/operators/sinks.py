@@ -47,8 +47,6 @@ def _keys(partition_by: str | Sequence[str] | None) -> list[str]:
 def rebalance(
     df: DataFrame,
     partition_by: str | Sequence[str] | None,
-    *,
-    salt_buckets: int = 16,
 ) -> DataFrame:
     """Cluster rows by the partition key before a partitioned write.
 
@@ -58,19 +56,29 @@ def rebalance(
     merge small ones, so neither small files nor one huge writer task occur.
 
     Without adaptive execution REBALANCE is a plain hash shuffle and a hot
-    key would be one task, so rows are then spread over ``salt_buckets``
-    tasks per key by a hash of the whole row: deterministic, so a retried
-    map task sends every row where it went the first time.
+    key would be one task. Rows then also spread by a hash of the whole row
+    over as many buckets per key as there are shuffle partitions, so a key of
+    any size can reach every task: deterministic, so a retried map task sends
+    every row where it went the first time.
     """
     keys = _keys(partition_by)
     if df.sparkSession.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
         return df.hint("rebalance", *keys) if keys else df.hint("rebalance")
     if not keys:
         return df  # nothing to cluster; the input splits already bound the task sizes
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(buckets))
     return df.repartition(*[F.col(k) for k in keys], salt)
 
 
+def _refuse_stream_owned(spark, table: str) -> None:
+    if spark.catalog.tableExists(table) and is_stream_owned(spark, table):
+        raise ValueError(
+            f"{table} is written by a stream (its folder holds the stream's commit log); "
+            "reads would not see batch-inserted files. Feed it with skywatch.streaming.ingest_new_files."
+        )
+
+
 def save_csv(
     df: DataFrame,
     path: str,
@@ -112,6 +120,8 @@ def save_table(
     Partition columns are stored last, so a read-back has them at the end.
     ``options`` go to the writer (``compression`` and the like).
     """
+    if mode == "append":
+        _refuse_stream_owned(df.sparkSession, table)
     w = df.write.mode(mode).format(format).options(**(options or {}))
     keys = _keys(partition_by)
     if keys:
@@ -135,11 +145,7 @@ def insert_into(
     their values pick the directory of each row (dynamic partitioning).
     ``balance`` rebalances row-level data on the partition key first.
     """
-    if is_stream_owned(df.sparkSession, table):
-        raise ValueError(
-            f"{table} is written by a stream (its folder holds the stream's commit log); "
-            "reads would not see batch-inserted files. Feed it with skywatch.streaming.ingest_new_files."
-        )
+    _refuse_stream_owned(df.sparkSession, table)
     keys = _keys(partition_by)
     if balance:
         df = rebalance(df, keys)

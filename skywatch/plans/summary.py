@@ -7,9 +7,8 @@ returned frame read that copy back. Losing an executor after the write
 therefore never reruns the scan and aggregate over the input, and the
 sinks see identical rows.
 
-The summary has one row per key value. Parsed years satisfy |year| <=
-99,999, so there are at most 200,000 keys; the result is small whatever
-the input size. It needs no repartitioning before the partitioned writes:
+The summary has one row per key value, and years that a timestamp can hold
+number under 600,000; the result is small whatever the input size. It needs no repartitioning before the partitioned writes:
 the final aggregate is already hash-partitioned on the key, so each key
 value is written by one task into one file.
 """
@@ -19,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from skywatch.operators.aggregates import DEFAULT_ACCURACY, summarize
+from skywatch.operators.aggregates import summarize
 from skywatch.operators.sinks import save_csv, save_table, show_preview
 from skywatch.operators.transforms import with_year, with_year_bucket
 from skywatch.session import scratch_path
@@ -27,10 +26,6 @@ from skywatch.sources.csv import read_csv
 
 YEAR = "year"
 YEAR_GROUP = "year_group"
-# Parsed years satisfy |year| <= 99,999 (functions.dates.max_text_length):
-# at most 199,999 values plus NULL, and buckets are fewer. This bounds every
-# per-key result of a summary (a few MB), whatever the input size.
-YEAR_KEY_BOUND = 200_000
 
 
 def keyed_reports(df: DataFrame, key: str = YEAR, width: int = 2, date_col: str = "date") -> DataFrame:
@@ -49,11 +44,11 @@ def summarize_reports(
     width: int = 2,
     chronological: bool = False,
     approx_distinct: bool = False,
-    accuracy: int = DEFAULT_ACCURACY,
+    accuracy: int | None = None,
     date_col: str = "date",
-    median: str = "approx",
+    median: str = "exact",
 ) -> DataFrame:
-    """Key the reports and compute the summary (lazy; key first).
+    """Key the reports and compute the summary (key first; see ``summarize``).
 
     ``date_col`` names the month-text column (``datetime`` in the raw table).
     """
@@ -64,7 +59,6 @@ def summarize_reports(
         chronological=chronological,
         approx_distinct=approx_distinct,
         accuracy=accuracy,
-        key_bound=YEAR_KEY_BOUND,
         median=median,
     )
 
@@ -117,19 +111,17 @@ def summary_job(
     schema: T.StructType | None = None,
     chronological: bool = False,
     approx_distinct: bool = False,
-    accuracy: int = DEFAULT_ACCURACY,
+    accuracy: int | None = None,
     header: bool = False,
     preview: bool = False,
-    median: str = "approx",
-    infer_sampling_ratio: float | None = None,
+    median: str = "exact",
 ) -> DataFrame:
     """Read a report CSV, summarise by ``key`` and publish (see module doc).
 
-    Without ``schema`` the types are inferred by an extra pass over the
-    input; ``infer_sampling_ratio`` parses only that fraction of the lines
-    in that pass.
+    Without ``schema`` the types are inferred by an extra pass over all of the
+    input.
     """
-    reports = read_csv(spark, input_path, schema=schema, sampling_ratio=infer_sampling_ratio)
+    reports = read_csv(spark, input_path, schema=schema)
     result = summarize_reports(
         reports,
         key,
@@ -153,9 +145,9 @@ def summary_from_table(
     width: int = 2,
     chronological: bool = False,
     approx_distinct: bool = False,
-    accuracy: int = DEFAULT_ACCURACY,
+    accuracy: int | None = None,
     header: bool = False,
-    median: str = "approx",
+    median: str = "exact",
 ) -> DataFrame:
     """Summarise a loaded report table (Parquet) instead of re-parsing text.
 

@@ -85,6 +85,17 @@ lines AS (
 )"""
 
 
+def _integer_text(text: str) -> str:
+    """Text-table integers, written without a pattern: the sign is taken off, the rest is split at
+    its first point, both sides must be digits or nothing, with one digit at least in all."""
+    sign = f"({text}[1:1] IN ('+', '-'))"
+    body = f"(CASE WHEN {sign} THEN {text}[2:] ELSE {text} END)"
+    whole, part = f"split_part({body}, '.', 1)", f"substr({body}, strpos({body} || '.', '.') + 1)"
+    digits = f"translate({whole} || {part}, '0123456789', '')"
+    value = f"TRY_CAST((CASE WHEN {text}[1:1] = '-' THEN '-' ELSE '' END) || (CASE WHEN {whole} = '' THEN '0' ELSE {whole} END) AS INTEGER)"
+    return f"(CASE WHEN {digits} = '' AND length({whole} || {part}) > 0 THEN {value} END)"
+
+
 def _raw(sep: str, date_name: str = "datetime") -> str:
     """Positional re-reading of the export: no quoting, missing fields NULL,
     extra fields dropped, text-table integer rules for month_count."""
@@ -94,7 +105,7 @@ def _raw(sep: str, date_name: str = "datetime") -> str:
     return f"""{_export_lines(sep)},
 raw AS (
   SELECT {strings},
-    TRY_CAST(regexp_extract(p[10], '^([-+]?[0-9]+)(\\.[0-9]*)?$', 1) AS INTEGER) AS month_count
+    {_integer_text('p[10]')} AS month_count
   FROM (SELECT string_split(line, '{sep}') AS p FROM lines) AS f
 )"""
 
@@ -124,7 +135,7 @@ def _raw_select(sep: str, select: str, date_name: str = "datetime") -> str:
     return _with(_REPORTS, _raw(sep, date_name)) + select
 
 
-_RAW_COLS = "details, datetime, city, state, country, shape, summary, report_date, posted_date, month_count"
+_RAW_COLS = ", ".join("datetime" if c == "date" else c for c in SIGHTING_COLUMNS)
 
 _PARTITIONED = f"SELECT {_RAW_COLS} FROM raw WHERE month_count IS NOT NULL"
 
@@ -181,6 +192,17 @@ def oracle_sql() -> dict[str, str]:
         "rejected_rows": _raw_select(",", f"SELECT {_RAW_COLS} FROM raw WHERE month_count IS NULL"),
         "csv_infer_roundtrip": _with(_REPORTS) + "SELECT * FROM reports",
         "csv_partitioned_roundtrip": _summary("year"),
+        "biennial_csv_roundtrip": _summary("year_group"),
+        "median_of_wide_column": "SELECT l_returnflag AS flag, "
+        "quantile_disc(CAST(l_orderkey * 1000003 * (l_linenumber - 3) AS BIGINT), 0.5) AS median_value FROM lineitem GROUP BY 1",
+        "describe_table": _raw_select(
+            ",",
+            "SELECT col_name, data_type, CAST(NULL AS VARCHAR) AS comment, (SELECT count(*) FROM raw) AS table_rows FROM (VALUES "
+            + ", ".join(
+                f"('{'datetime' if c == 'date' else c}', '{'int' if c == 'month_count' else 'string'}')" for c in SIGHTING_COLUMNS
+            )
+            + ") AS d(col_name, data_type)",
+        ),
         "delimited_load": _raw_select(",", f"SELECT {_RAW_COLS} FROM raw"),
         "delimited_load_pipe": _raw_select("|", f"SELECT {_RAW_COLS} FROM raw"),
         "streaming_ingest": _raw_select(",", f"SELECT {_RAW_COLS} FROM raw"),

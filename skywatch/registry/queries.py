@@ -20,13 +20,14 @@ from skywatch.operators import (
     create_database,
     describe_table,
     project_columns,
+    row_count,
     save_csv,
     save_table,
     split_not_null,
     summarize,
     with_year,
 )
-from skywatch.operators.aggregates import month_extremes
+from skywatch.operators.aggregates import lower_median, month_extremes
 from skywatch.plans import (
     annual_summary as annual_job,
     biennial_summary as biennial_job,
@@ -197,9 +198,19 @@ def distinct_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def median_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_year(spark, sf_dir).agg(
-        F.percentile_approx("month_count", 0.5, 10000).alias("median_month_count")
-    )
+    """A year whose counts are all NULL keeps its row, with a NULL median."""
+    keyed = with_year(_reports(spark, sf_dir), "date", "year")
+    median = lower_median(keyed, "year").withColumnRenamed("year", "y")
+    years = keyed.select("year").distinct()
+    return years.join(median, years["year"].eqNullSafe(median["y"]), "left").select("year", "median_month_count")
+
+
+def median_of_wide_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact median where values need several steps of 16 bits, NULL key and negatives included."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    value = (F.col("l_orderkey") * 1_000_003 * (F.col("l_linenumber") - 3)).cast("bigint")
+    wide = items.select(F.col("l_returnflag").alias("flag"), value.alias("value"))
+    return lower_median(wide, "flag", "value", "median_value")
 
 
 def avg_lag_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,10 +314,12 @@ def row_count_raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def describe_raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The description of the loaded table beside the number of rows it describes."""
     db = _database(spark)
     raw = create_table(spark, f"{db}.sightings_raw", raw_table_schema())
     load_file_into_table(spark, _report_text(spark, sf_dir, ","), raw, sep=",")
-    return describe_table(spark, raw)
+    rows = row_count(read_table(spark, raw)).first()["row_count"]
+    return describe_table(spark, raw).withColumn("table_rows", F.lit(rows).cast("bigint"))
 
 
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,6 +345,13 @@ def csv_partitioned_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(summary_csv_schema("year")).csv(out)
 
 
+def biennial_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Biennial job -> CSV tree by year_group (no header) -> read back, key last."""
+    out = scratch_path(spark, "biennial-csv")
+    biennial_job(spark, _report_csv(spark, sf_dir), out)
+    return spark.read.schema(summary_csv_schema("year_group")).csv(out)
+
+
 def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Biennial summary -> table partitioned by year_group -> table scan."""
     db = _database(spark)
@@ -356,6 +376,7 @@ QUERIES: dict[str, Query] = {
     "minmax_by_year": minmax_by_year,
     "distinct_by_year": distinct_by_year,
     "median_by_year": median_by_year,
+    "median_of_wide_column": median_of_wide_column,
     "avg_lag_by_year": avg_lag_by_year,
     "row_count": row_count_raw_table,
     "project_columns": project_columns_partition_last,
@@ -363,6 +384,7 @@ QUERIES: dict[str, Query] = {
     "rejected_rows": rejected_rows,
     "csv_infer_roundtrip": csv_infer_roundtrip,
     "csv_partitioned_roundtrip": csv_partitioned_roundtrip,
+    "biennial_csv_roundtrip": biennial_csv_roundtrip,
     "delimited_load": delimited_load,
     "delimited_load_pipe": delimited_load_pipe,
     "streaming_ingest": streaming_ingest,

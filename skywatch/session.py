@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -32,10 +33,34 @@ def checkpoint_root(spark: SparkSession) -> str:
             # The context checkpoints into <root>/<uuid>; reuse its root.
             return current.rstrip("/").rsplit("/", 1)[0]
         root = spark.conf.get(WAREHOUSE_CONF).rstrip("/") + "/" + FALLBACK_SUBDIR
+    _refuse_local_on_cluster(spark, root)
     _register_checkpoint_dir(spark, root)
     return root.rstrip("/")
 
 
+def _scheme(path: str) -> str:
+    head = path.split("/", 1)[0]
+    return head.split(":", 1)[0] if ":" in head else ""
+
+
+def _refuse_local_on_cluster(spark: SparkSession, root: str) -> None:
+    """A folder that was only fallen back on must be shared when there are other machines.
+
+    A folder that the cluster names itself in ``spark.checkpoint.dir`` is taken at its word, with
+    a scheme: it may be a mount that all machines share.
+    """
+    sc = _spark_context(spark)
+    master = sc.master if sc is not None else "connect"
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return
+    named = bool(spark.conf.get(CHECKPOINT_CONF, None))
+    scheme = _scheme(root)
+    if scheme == "" or (scheme == "file" and not named):
+        raise ValueError(
+            f"{root} may be local to each machine of the cluster ({master}); set {CHECKPOINT_CONF} to a shared folder, with its scheme"
+        )
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new, unique folder path under the checkpoint root (not created)."""
     return f"{checkpoint_root(spark)}/skywatch/{tag}-{uuid.uuid4().hex[:12]}"
@@ -49,15 +74,14 @@ def unique_name(prefix: str) -> str:
 def _spark_context(spark: SparkSession):
     try:
         return spark.sparkContext
-    except Exception:  # Spark Connect sessions have no SparkContext
+    except PySparkException:  # Spark Connect sessions have no SparkContext
         return None
 
 
 def _register_checkpoint_dir(spark: SparkSession, root: str) -> None:
     sc = _spark_context(spark)
     if sc is not None and not sc.getCheckpointDir():
-        head = root.split("/", 1)[0]
-        scheme = head.split(":", 1)[0] if ":" in head else ""
+        scheme = _scheme(root)
         if scheme in ("", "file"):  # local path: create it; remote stores need no mkdir
             os.makedirs(root[len("file:"):] if scheme else root, exist_ok=True)
         sc.setCheckpointDir(root)

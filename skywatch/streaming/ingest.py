@@ -15,28 +15,34 @@ the stream too, by dropping them into the landing folder.
 
 Runs use ``trigger(availableNow=True)``: process everything that has
 arrived, in bounded micro-batches, then stop; call it from a scheduler as
-often as files arrive. The checkpoint lives under the session's checkpoint
-folder, keyed by the target table, so every run for one table resumes the
-same log.
+often as files arrive. The checkpoint lives in an underscore folder of the
+table's own location (readers skip it), so every run for one table resumes the
+same log, dropping a managed table drops its log, and two tables never share
+one. Files are taken whatever their age.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import types as T
 
-from skywatch.session import checkpoint_root
+from skywatch.operators.catalog import create_table, table_location
 from skywatch.sources.delimited import parse_delimited
 from skywatch.functions.casts import TEXT_NULL_MARKER
 
 
+CHECKPOINT_DIR = "_ingest_checkpoint"
+#: No file is too old: the source otherwise skips files a week behind the newest it has seen.
+ANY_AGE = "36500d"
+
+
 def ingest_checkpoint(spark: SparkSession, table: str) -> str:
-    """Stable checkpoint folder for the stream that feeds ``table``."""
-    safe = re.sub(r"[^A-Za-z0-9_.-]", "_", table.lower())
-    return f"{checkpoint_root(spark)}/skywatch/ingest/{safe}"
+    """The checkpoint folder of the stream that feeds ``table``, inside its location."""
+    location = table_location(spark, table)
+    if not location:
+        raise ValueError(f"{table} has no location to keep its checkpoint in; pass checkpoint=")
+    return f"{location.rstrip('/')}/{CHECKPOINT_DIR}"
 
 
 def start_ingest(
@@ -53,12 +59,14 @@ def start_ingest(
     """Start an available-now stream from ``landing_dir`` into ``table``.
 
     ``table`` must exist with the target schema (or ``schema`` is given and
-    the table is created by the first run). ``max_files_per_trigger`` bounds
+    the table is created here). ``max_files_per_trigger`` bounds
     each micro-batch.
     """
     if schema is None:
         schema = spark.table(table).schema
-    reader = spark.readStream.format("text")
+    elif not spark.catalog.tableExists(table):
+        create_table(spark, table, schema)
+    reader = spark.readStream.format("text").option("maxFileAge", ANY_AGE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     rows = parse_delimited(reader.load(landing_dir), schema, sep, null_marker=null_marker)

@@ -1,11 +1,12 @@
 import pytest
 from pyspark.errors import AnalysisException
 
-from skywatch import create_database, create_table, describe_table, read_csv, save_csv, show_preview, use_database
+from skywatch import create_database, create_table, describe_table, read_csv, save_csv, save_table, show_preview, use_database
 from skywatch.operators.catalog import quote_ident
 from skywatch.plans import summarize_reports
 from skywatch.schema import raw_table_schema, summary_csv_schema
 from skywatch.session import unique_name
+from conftest import SUMMARY_CSV, write_lines
 
 
 def test_show_preview_prints_rows(spark, summary_csv, capsys):
@@ -72,11 +73,27 @@ def test_sink_options_pass_through(spark, summary_csv, tmp_path):
     assert spark.read.schema(summary_csv_schema("year")).csv(out).count() == 3
 
 
-def test_inference_sampling_ratio(spark, summary_csv):
-    from skywatch.plans import summary_job
+def test_swapped_header_fails_with_a_declared_schema(spark, tmp_path):
+    from skywatch.schema import sighting_schema
 
-    result = summary_job(spark, summary_csv, "year", infer_sampling_ratio=1.0)
-    assert result.count() == 3
+    swapped = [SUMMARY_CSV[0].replace("details,date", "date,details"), *SUMMARY_CSV[1:]]
+    path = write_lines(tmp_path, "swapped.csv", swapped)
+    with pytest.raises(Exception, match="(?i)header|column name"):
+        read_csv(spark, path, schema=sighting_schema()).collect()
+
+
+def test_batch_writes_to_a_stream_table_are_refused(spark, tmp_path):
+    from skywatch.schema import raw_table_schema
+    from skywatch.streaming import ingest_new_files
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    write_lines(landing, "a.txt", SUMMARY_CSV[1:])
+    db = create_database(spark, unique_name("own"), location=str(tmp_path / "db"))
+    raw = create_table(spark, f"{db}.raw", raw_table_schema())
+    ingest_new_files(spark, str(landing), raw)
+    with pytest.raises(ValueError, match="stream"):
+        save_table(spark.table(raw), raw, mode="append")
 
 
 def test_read_csv_options_pass_through(spark, summary_csv):

@@ -4,6 +4,7 @@ import pytest
 
 from skywatch.functions import lag_days, parse_day, parse_month, tolerant_int, year_bucket, year_of_month_text
 from skywatch.functions.casts import text_field
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -53,6 +54,8 @@ def test_year_bucket_rejects_bad_width():
 def test_tolerant_int(spark):
     values = ["7", "+7", "-7", "4.7", "4.", "", " 4", "4 ", "x", "2147483648", "1e3", None]
     assert _one(spark, values, tolerant_int("s")) == [7, 7, -7, 4, 4, None, None, None, None, None, None, None]
+    values = [".5", "-.5", "+.5", "-.", "..", ".", "-", "+", "4..5", ".5x", "007", "-2147483648", "4.x"]
+    assert _one(spark, values, tolerant_int("s")) == [0, 0, 0, None, None, None, None, None, None, None, 7, -2147483648, None]
 
 
 def test_text_field_null_marker_and_types(spark):
@@ -66,17 +69,18 @@ def test_text_field_null_marker_and_types(spark):
 def test_out_of_range_years_give_null_not_overflow(spark):
     # Signed years inside the range parse as Spark parses them; years past the
     # timestamp range used to raise a long overflow inside try_to_date.
-    values = ["12/-1999", "12/+99999", "01/+1000000", "12/-290308", "12/+294247", "01/+9999999999"]
+    values = ["12/-1999", "12/+99999", "01/+1000000", "12/-290309", "12/+294247", "01/+9999999999", "01/+99999999999999999999"]
     got = _one(spark, values, year_of_month_text("s"))
-    assert got == [-1999, 99999, None, None, None, None]
+    assert got == [-1999, 99999, None, None, None, None, None]
+    held = ["01/+100000", "01/+200000", "12/+294246", "01/+294247", "01/+294248"]
+    assert _one(spark, held, year_of_month_text("s")) == [100000, 200000, 294246, 294247, None]
+    days = ["01/09/+294247", "01/11/+294247", "12/31/+294246"]
+    assert _one(spark, days, F.year(parse_day("s"))) == [294247, None, 294246]
     assert _one(spark, ["01/05/+1000000", "01/05/1999"], parse_day("s")) == [None, dt.date(1999, 1, 5)]
     assert _one(spark, ["+1000000-01-01"], text_field("s", T.DateType())) == [None]
 
 
-def test_max_text_length():
-    from skywatch.functions.dates import max_text_length
+def test_patterns_without_a_free_year_parse_as_they_are(spark):
+    from skywatch.functions.dates import parse_date_text
 
-    assert max_text_length("MM/yyyy") == 9
-    assert max_text_length("MM/dd/yyyy") == 12
-    assert max_text_length("yyyy-MM-dd") == 12
-    assert max_text_length("MMMM yyyy") is None  # month names: no length guard
+    assert _one(spark, ["19990105", "1999015"], parse_date_text("s", "yyyyMMdd")) == [dt.date(1999, 1, 5), None]

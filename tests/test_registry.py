@@ -1,10 +1,14 @@
+import pytest
+
 import __spark_entry__ as entry
 from skywatch.session import checkpoint_root, scratch_path
 from skywatch.schema import summary_schema
 
 
-def test_every_query_has_an_oracle_except_describe():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"describe_table"}
+def test_every_query_has_an_oracle():
+    from skywatch.registry import QUERIES
+
+    assert set(QUERIES) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
@@ -34,6 +38,8 @@ def test_checkpoint_fallback_is_under_warehouse(spark, monkeypatch):
             return self.real.get(key, default) if default is not None else self.real.get(key)
 
     class FakeContext:
+        master = "local[2]"
+
         def getCheckpointDir(self):
             return None
 
@@ -47,3 +53,35 @@ def test_checkpoint_fallback_is_under_warehouse(spark, monkeypatch):
     root = session.checkpoint_root(FakeSession())
     assert root.startswith(spark.conf.get("spark.sql.warehouse.dir").rstrip("/"))
     assert FakeSession.sparkContext.dir.rstrip("/") == root
+
+    # On a cluster such a folder may be local to each machine.
+    FakeContext.master = "spark://driver:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(FakeSession())
+
+
+@pytest.mark.parametrize(
+    "named, master, fine",
+    [
+        ("/scratch", "yarn", False),
+        ("file:///shared/scratch", "yarn", True),
+        ("hdfs://store/scratch", "yarn", True),
+        ("/scratch", "local[4]", True),
+    ],
+)
+def test_scratch_folder_on_a_cluster(named, master, fine):
+    from skywatch import session
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda key, default=None: named)
+
+        class sparkContext:
+            pass
+
+    Fake.sparkContext.master = master
+    if fine:
+        session._refuse_local_on_cluster(Fake, named)
+    else:
+        with pytest.raises(ValueError):
+            session._refuse_local_on_cluster(Fake, named)

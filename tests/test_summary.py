@@ -95,7 +95,7 @@ def test_rerun_overwrites_outputs(spark, summary_csv, tmp_path):
 
 def test_approx_distinct_option(spark, summary_csv):
     exact = _by_key(summarize_reports(read_csv(spark, summary_csv), "year"), "year")
-    approx = _by_key(summarize_reports(read_csv(spark, summary_csv), "year", approx_distinct=True), "year")
+    approx = _by_key(summarize_reports(read_csv(spark, summary_csv), "year", approx_distinct=True, median="approx"), "year")
     assert approx == exact  # tiny cardinalities are exact for the sketch
 
 
@@ -108,6 +108,24 @@ def test_exact_median_key_guard(spark, summary_csv):
         summarize(read_csv(spark, summary_csv), "month_count", median="exact")
     with pytest.raises(ValueError):
         summarize(read_csv(spark, summary_csv), "year", median="median")
+    for option in ({"approx_distinct": True}, {"rsd": 0.1}, {"accuracy": 100}):
+        with pytest.raises(ValueError):
+            summarize(read_csv(spark, summary_csv), "year", **option)
+
+
+def test_lower_median_of_wide_integers(spark):
+    import random
+
+    from skywatch.operators.aggregates import lower_median
+
+    rng = random.Random(3)
+    wide = [0, -1, 1, 2**62, -(2**63), 2**63 - 1, 2**31, -(2**31), 2**16, -(2**16)]
+    rows = [(k % 7, rng.choice(wide) if k % 3 else rng.randrange(-(2**63), 2**63)) for k in range(500)] + [(None, 5), (8, None)]
+    got = {r[0]: r[1] for r in lower_median(spark.createDataFrame(rows, "k int, v bigint"), "k", "v", "m").collect()}
+    for k in [*range(7), None]:
+        values = sorted(v for x, v in rows if x == k and v is not None)
+        assert got[k] == values[(len(values) + 1) // 2 - 1]
+    assert 8 not in got
 
 
 def test_unknown_key_rejected(spark, summary_csv):
