@@ -27,7 +27,7 @@ STRIDE = 24
 HIDDEN = 8
 WORD_SLOTS, WORD_DIM = 1 << 14, 10
 CHAR_SLOTS, CHAR_DIM = 1 << 12, 6
-SAMPLE = 3000
+SAMPLE = 1500
 PER_TEXT = 16
 #: Words of fewer training texts are read by their characters alone.
 SEEN = 6
@@ -48,9 +48,15 @@ class Inputs:
         _, one, self.word = np.unique(h, return_index=True, return_inverse=True)
         h, starts, ends = h[one], starts[one], ends[one]
         self.slot = (h % U64(WORD_SLOTS)).astype(np.int64)
-        # Trigrams of the marked word: one for each byte and one past the end.
+        self.grams = ends - starts + 1
+        self.n = len(self.grams)
+        parts = [self._trigrams(raw, starts[i : i + 50_000], ends[i : i + 50_000]) for i in range(0, self.n, 50_000)]
+        self.gram = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+    @staticmethod
+    def _trigrams(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots of the trigrams of marked words: one for each byte and one past the end."""
         size = ends - starts + 1
-        self.owner = np.repeat(np.arange(len(size)), size)
         place = np.repeat(starts - 1, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         low, high = np.repeat(starts, size), np.repeat(ends, size)
         values = byte_values()
@@ -61,9 +67,7 @@ class Inputs:
             part = np.full(len(at), 7, U64)
             part[inside] = values[raw[at[inside]]]
             gram = gram * U64(0x100000001B3) + part
-        self.gram = (mix(gram) % U64(CHAR_SLOTS)).astype(np.int64)
-        self.grams = size
-        self.n = len(size)
+        return (mix(gram) % U64(CHAR_SLOTS)).astype(np.int32)
 
     def vectors(self, net: dict) -> np.ndarray:
         if self.n == 0:
@@ -260,7 +264,7 @@ def train(texts: pa.Array, labels: np.ndarray, per_text: int = PER_TEXT, seed: i
     chosen = np.flatnonzero(rank < per_text)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.items()}
     text = rows_of(np.arange(len(inputs.word)), inputs.first)
-    uses = np.unique(np.column_stack([text, inputs.slot[inputs.word]]), axis=0)[:, 1]
+    uses = np.unique(text * WORD_SLOTS + inputs.slot[inputs.word]) % WORD_SLOTS
     net["seen"] = (np.bincount(uses, minlength=WORD_SLOTS) >= SEEN).astype(np.float32)
     step = 0
 
