@@ -140,7 +140,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_TABLES: dict[str, np.ndarray] = {}
+
+
+class _Tables(dict):
+    """A cache of each process: it travels empty with the functions that use it."""
+
+    def __reduce__(self):
+        return _Tables, ()
+
+
+_TABLES = _Tables()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
