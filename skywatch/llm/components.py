@@ -27,18 +27,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every edge goes from a smallest node to a node of no other edge: nothing is left to do."""
+    ends = edges.groupBy("v").agg(F.count("*").alias("n"))
+    seen = edges.select(F.col("u").alias("v")).distinct().withColumn("start", F.lit(True))
+    return ends.join(seen, "v", "left").filter((F.col("n") > 1) | F.col("start")).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges(u, v)``; root is the component's smallest node."""
     edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter(F.col("u") != F.col("v")).distinct()
     edges = materialise(edges, "edges")
 
-    def mark(df: DataFrame):
-        return tuple(df.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    last = None
-    now = mark(edges)
-    while now != last:
+    while not _stars(edges):
         edges = materialise(_star(_star(edges, True), False), "edges")
-        last, now = now, mark(edges)
     roots = edges.select("u").distinct().select(F.col("u").alias("node"), F.col("u").alias("root"))
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)

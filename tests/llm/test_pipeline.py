@@ -57,7 +57,7 @@ def test_run(spark, folder):
 def test_empty_tables(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
-    path = corpus.documents(spark, tmp_path, {"documents": corpus.frame(spark, []), "labels": labels, "benchmark": bench})
+    path = corpus.documents(spark, tmp_path, {"documents": corpus.frame(spark, [], [*corpus.CLASHING, "lang"]), "labels": labels, "benchmark": bench})
     assert corpus_pipeline.run(spark, path).count() == 0
     for name, query in queries.QUERIES.items():
         assert query(spark, path).count() == 0, name
