@@ -215,6 +215,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, p: int, q: int)
     return joined.mapInArrow(run, "u binary, v binary")
 
 
+def _apart(groups: DataFrame, roots: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs ``u, v`` of one group but different components that may be similar enough.
+
+    The Hamming distance of the short sketches bounds the symmetric difference from below, so pairs
+    too far apart are never put together.
+    """
+    apart = groups.join(roots.withColumnRenamed("node", "d"), "d", "left").select("g", "d", F.coalesce("root", "d").alias("root"))
+    mixed = apart.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high"))
+    apart = materialise(apart.join(mixed.select("g"), "g", "left_semi"), "apart")
+    sets = sets.join(apart.select("d").distinct(), "d", "left_semi").dropDuplicates(["d"])
+    apart = materialise(apart.join(sets, "d"), "apart")
+    other = apart.select("g", *(F.col(c).alias(f"{c}_2") for c in apart.columns if c != "g"))
+    distance = F.lit(0)
+    for k in range(SHORT_BITS // 64):
+        distance = distance + F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_2")))
+    n, n2 = F.col("n"), F.col("n_2")
+    near = (q * n >= p * n2) & (q * n2 >= p * n) & ((q + p) * distance <= (q - p) * (n + n2))
+    return (
+        apart.join(other, "g")
+        .filter((F.col("root") < F.col("root_2")) & near)
+        .select(F.least("d", "d_2").alias("u"), F.greatest("d", "d_2").alias("v"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = SHINGLE,
@@ -332,32 +357,19 @@ def near_duplicates(
     links = materialise(_verified(first, texts, shingle, p, q), "links")
     roots = components(links)
 
-    # Members of one group that are still apart.
-    apart = groups.select("g", "d").join(roots.withColumnRenamed("node", "d"), "d", "left")
-    apart = apart.select("g", "d", F.coalesce("root", "d").alias("root"))
-    mixed = apart.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(F.col("low") != F.col("high"))
-    # The Hamming distance of the short sketches bounds the symmetric difference from below, so
-    # pairs too far apart are never put together.
-    known = members.select("d", F.col("n_shingles").alias("n"), *(F.col("short")[k].alias(f"s{k}") for k in range(SHORT_BITS // 64)))
-    known = known.join(apart.join(mixed.select("g"), "g", "left_semi").select("d").distinct(), "d", "left_semi").dropDuplicates(["d"])
-    apart = materialise(apart.join(mixed.select("g"), "g", "left_semi").join(known, "d"), "apart")
-    other = apart.select("g", *(F.col(c).alias(f"{c}_2") for c in apart.columns if c != "g"))
-    distance = F.lit(0)
-    for k in range(SHORT_BITS // 64):
-        distance = distance + F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_2")))
-    n, n2 = F.col("n"), F.col("n_2")
-    near = (q * n >= p * n2) & (q * n2 >= p * n) & ((q + p) * distance <= (q - p) * (n + n2))
-    rest = (
-        apart.join(other, "g")
-        .filter((F.col("root") < F.col("root_2")) & near)
-        .select(F.least("d", "d_2").alias("u"), F.greatest("d", "d_2").alias("v"))
-        .distinct()
-        .join(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    )
-    more = materialise(_verified(rest, texts, shingle, p, q), "links")
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more))
-    release(spark)
+    # Members of one group that are still apart: first in one group of each set, its largest, which
+    # joins most of a family, then in all groups with what is left.
+    size = groups.groupBy("g").agg(F.count("*").alias("n"))
+    largest = groups.select("g", "d").join(size, "g").groupBy("d").agg(F.max(F.struct("n", "g"))["g"].alias("g"))
+    sets = members.select("d", F.col("n_shingles").alias("n"), *(F.col("short")[k].alias(f"s{k}") for k in range(SHORT_BITS // 64)))
+    tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    for some_groups in (largest, groups.select("g", "d")):
+        rest = materialise(_apart(some_groups, roots, sets, p, q).join(tried, ["u", "v"], "left_anti"), "pairs")
+        more = materialise(_verified(rest, texts, shingle, p, q), "links")
+        tried = tried.unionByName(rest)
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(more))
+        release(spark)
 
     some = F.col("n_shingles") > 0
     labelled = members.join(roots.withColumnRenamed("node", "d"), "d", "left").select(
