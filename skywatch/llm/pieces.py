@@ -30,8 +30,9 @@ from skywatch.llm.common import rows_of, spare_name, text_bytes, word_hashes
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words are kept with their ids up to this many at a time; beyond, a task starts afresh.
-CACHE_WORDS = 400_000
+#: Words are kept with their ids up to about this many at a time, and as many neighbouring pieces;
+#: beyond, they are forgotten and computed again. No result depends on it.
+CACHE_WORDS = 150_000
 
 
 # -- the model file -------------------------------------------------------------------------------
@@ -289,11 +290,13 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str =
             at = text_bytes(whole.column(text_col))[1]
             i = 0
             while i < whole.num_rows:
-                j = min(max(int(np.searchsorted(at, at[i] + (6 << 20), "right")) - 1, i + 1), whole.num_rows)
+                j = min(max(int(np.searchsorted(at, at[i] + (2 << 20), "right")) - 1, i + 1), whole.num_rows)
                 batch = whole.slice(i, j - i)
                 raw, starts, ends, first = marked_words(batch.column(text_col))
                 if len(cache) > CACHE_WORDS:
                     cache = {}
+                if len(encoder.follows) > CACHE_WORDS:
+                    encoder.follows.clear()
                 key, one, word = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
                 key, data = key.tolist(), raw.tobytes()
                 new = [k for k, h in enumerate(key) if h not in cache]
