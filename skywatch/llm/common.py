@@ -192,7 +192,14 @@ def run_hashes(values: np.ndarray, length: int) -> np.ndarray:
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(byte_values()[raw], starts, ends)
+    """Hashes of words in order, a MB of text at a time (a hash does not depend on the place)."""
+    values, out, i = byte_values(), np.empty(len(starts), U64), 0
+    while i < len(starts):
+        j = max(int(np.searchsorted(starts, starts[i] + (1 << 20))), i + 1)
+        low = starts[i]
+        out[i:j] = span_hashes(values[raw[low : ends[j - 1]]], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
 
 
 def window_starts(first: np.ndarray, length: int) -> np.ndarray:
