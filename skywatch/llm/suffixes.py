@@ -12,10 +12,15 @@ Two steps bring equal strings together without moving every suffix:
   adjacent suffixes of at least ``length`` bytes then make the classes of equal windows, and each
   class has its smallest document id.
 
+An anchor in more than ``HOT`` fragments (a frequent line, the edges of a shared passage) would bring
+all its neighbourhoods to one shard. Its windows go by themselves instead, each to the shard of the
+window's own hash: a window is a fragment of its own there, whose copies have equal hashes, so every
+window is still looked up and no key has more than one entry a block.
+
 A null text counts as empty. Matches never cross rows. Rows with a null id neither remove nor lose
 anything; rows that share an id do not remove from each other. Other columns pass through
 untouched; an empty table gives an empty result. Comparison is exact but for the hashes of anchors,
-which only group, and of whole fragments (64 bits), which only recognise copies.
+which only group, and of whole fragments and windows (64 bits), which only recognise copies.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ from skywatch.llm.blocks import (
     answer,
     ask,
     asked_sizes,
+    bits,
     bounds,
-    found_twice,
     meet,
     pieces,
     shard_count,
@@ -55,11 +60,25 @@ from skywatch.llm.common import (
     spare_name,
     text_bytes,
 )
-from skywatch.llm.substrings import STATE, _asked, _Groups, _one, _with_state, pack_ids, unpack_ids
+from skywatch.llm.substrings import (
+    STATE,
+    _asked,
+    _Groups,
+    _one,
+    _with_state,
+    hashes_and_ids,
+    pack_ids,
+    smaller_elsewhere,
+    unpack_ids,
+)
 
 LENGTH = 50
 BLOCK_BYTES = 1 << 20
 GRAM = 20
+#: Anchors in more fragments than this are split into windows.
+HOT = 4096
+#: Marks the body of an anchor's windows, where that of fragments has their number.
+WINDOWS = -1
 LOW32 = U64(0xFFFFFFFF)
 
 
@@ -218,6 +237,13 @@ class _Anchors:
     def groups(self) -> _Groups:
         return _Groups(self.hash, self.ids[self.row])
 
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, _Groups]:
+        """Starts of all windows of the chosen runs, and the groups of equal ones."""
+        lo, n = self.lo[chosen], self.hi[chosen] - self.lo[chosen] + 1
+        at = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        key = span_hashes(byte_values()[self.raw], at, at + self.length) if len(at) else self.hash[:0]
+        return at, _Groups(key, np.repeat(self.ids[self.row[chosen]], n))
+
 
 class _Fragments:
     """Distinct fragments of the chosen anchors of a block, ordered by anchor hash."""
@@ -264,9 +290,44 @@ def _unpack(body):
     return sizes, keys, text, unpack_ids(rest[packed:])
 
 
+def _sizes(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Anchors of a block and in how many of its distinct fragments each is (mostly one)."""
+    more = np.flatnonzero(counts > 1)
+    return np.int64(len(hashes)).tobytes() + short(hashes) + more.astype(np.uint32).tobytes() + counts[more].astype(np.uint32).tobytes()
+
+
+def _split_sizes(body) -> tuple[np.ndarray, np.ndarray]:
+    view = memoryview(body)
+    end = 8 + 4 * int(np.frombuffer(view[:8], np.int64)[0])
+    hashes, rest = np.frombuffer(view[8:end], np.uint32), np.frombuffer(view[end:], np.uint32)
+    counts = np.ones(len(hashes), np.int64)
+    counts[rest[: len(rest) // 2]] = rest[len(rest) // 2 :]
+    return hashes, counts
+
+
+def _twice_and_hot(hot: int):
+    def work(_, bodies: list) -> list[bytes]:
+        """For each anchor of each body: a bit if another body has it, and a bit if it is hot."""
+        parts = [_split_sizes(b) for b in bodies]
+        every, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        twice = np.bincount(place, minlength=len(every)) > 1
+        large = np.bincount(place, np.concatenate([p[1] for p in parts]), len(every)) > hot
+        cut = np.cumsum([0] + [len(p[0]) for p in parts])
+        return [bits(twice[place[i:j]]) + bits(large[place[i:j]]) for i, j in zip(cut[:-1], cut[1:])]
+
+    return work
+
+
+def _halves(body) -> tuple[memoryview, memoryview]:
+    view = memoryview(body)
+    return view[: len(view) // 2], view[len(view) // 2 :]
+
+
 def _shard(length: int, width: int):
     def work(_, bodies: list) -> list[bytes]:
         """For each fragment of each body: a bit for each of its windows that a smaller id has."""
+        if np.frombuffer(memoryview(bodies[0])[:8], np.int64)[0] == WINDOWS:
+            return smaller_elsewhere(_, [memoryview(b)[8:] for b in bodies])
         parts = [_unpack(b) for b in bodies]
         sizes, keys, low = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3))
         text = np.concatenate([p[2] for p in parts])
@@ -303,7 +364,7 @@ def _shard(length: int, width: int):
 
 
 def remove_repeated_bytes(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT
 ) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts under a smaller id.
 
@@ -317,22 +378,31 @@ def remove_repeated_bytes(
     shards = shard_count(blocks)
 
     def first(block, rows):
-        groups = _Anchors(rows, id_col, text_col, length, gram).groups()
-        return pieces(block, groups.hashes, shards, lambda i, j: short(groups.hashes[i:j]))
+        anchors = _Anchors(rows, id_col, text_col, length, gram)
+        hashes, counts = np.unique(_Fragments(anchors, np.arange(len(anchors.at))).hashes, return_counts=True)
+        return pieces(block, hashes, shards, lambda i, j: _sizes(hashes[i:j], counts[i:j]))
 
     def fragments(block, rows, bodies):
         anchors = _Anchors(rows, id_col, text_col, length, gram)
         groups = anchors.groups()
-        elsewhere = unbits(bodies, asked_sizes(groups.hashes, shards))
-        chosen = (elsewhere | (groups.low < groups.high))[groups.of]
+        sizes, said = asked_sizes(groups.hashes, shards), [_halves(b) for b in bodies]
+        elsewhere, large = (unbits([x[k] for x in said], sizes) for k in (0, 1))
+        repeated = elsewhere | (groups.low < groups.high)
+        chosen, split = (repeated & ~large)[groups.of], (repeated & large)[groups.of]
         frags = _Fragments(anchors, np.flatnonzero(chosen))
-        flags = np.packbits(chosen).tobytes()
+        flags = bits(chosen) + bits(split)
         yield pa.RecordBatch.from_pydict(
             {"shard": pa.array([STATE], pa.int32()), "block": pa.array([block], pa.int64()), "body": pa.array([flags], pa.binary())}
         )
         yield pieces(block, frags.hashes, shards, lambda i, j: _pack(anchors.raw, frags, i, j))
-
-    found = answer(ask(blocks, first), lambda _, bodies: found_twice(bodies))
+        if split.any():
+            _, alone = anchors.windows(np.flatnonzero(split))
+            mark = np.int64(WINDOWS).tobytes()
+            asks = pieces(block, alone.hashes, shards, lambda i, j: mark + hashes_and_ids(alone.hashes[i:j], alone.low[i:j]))
+            shard = pa.array(asks.column("shard").to_numpy() + np.int32(shards), pa.int32())
+            yield pa.RecordBatch.from_arrays([shard, *asks.columns[1:]], names=asks.schema.names)
+
+    found = answer(ask(blocks, first), _twice_and_hot(hot))
     asked = materialise(meet(blocks, found, fragments, ASK), "fragments")
     release(docs.sparkSession)
     answers = _with_state(asked, answer(_asked(asked), _shard(length, length - gram + 1)))
@@ -345,19 +415,26 @@ def remove_repeated_bytes(
 
     def use(block, rows, bodies):
         anchors = _Anchors(rows, id_col, text_col, length, gram)
-        chosen = np.unpackbits(np.frombuffer(bodies[0], np.uint8))[: len(anchors.at)].astype(bool)
+        chosen, split = (unbits([x], [len(anchors.at)]) for x in _halves(bodies[0]))
         frags = _Fragments(anchors, np.flatnonzero(chosen))
         count = frags.size - length + 1
         cut = bounds(frags.hashes, shards)
         total = np.concatenate([[0], np.cumsum(count)])
         sizes = total[cut[1:]] - total[cut[:-1]]
-        less = unbits(bodies[1:], sizes[sizes > 0])
+        sizes = sizes[sizes > 0]
+        less = unbits(bodies[1:], sizes)
         # windows of every occurrence: gone with a smaller id in this block, or elsewhere
         n = (frags.hi - frags.lo + 1) if len(frags.lo) else frags.lo
         k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         gone = less[np.repeat(total[frags.of], n) + k] if len(less) else np.zeros(len(k), bool)
         gone |= np.repeat(frags.ids > frags.low[frags.of], n) if len(n) else False
         starts = (np.repeat(frags.lo, n) + k)[gone]
+        if split.any():  # the windows of hot anchors, asked one by one
+            split = np.flatnonzero(split)
+            at, alone = anchors.windows(split)
+            less = unbits(bodies[1 + len(sizes) :], asked_sizes(alone.hashes, shards))
+            own = np.repeat(anchors.ids[anchors.row[split]], anchors.hi[split] - anchors.lo[split] + 1)
+            starts = np.concatenate([starts, at[less[alone.of] | (own > alone.low[alone.of])]])
         lost = covered(starts, length, len(anchors.raw))
         sums = np.concatenate([[0], np.cumsum(lost)])[anchors.offsets]
         head = lost.copy()

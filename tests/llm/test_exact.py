@@ -177,6 +177,41 @@ def test_hot_groups_and_hot_passages(spark):
     assert got == sorted(corpus.classes(rows), key=repr)
 
 
+def test_a_frequent_line_brings_no_large_group_of_fragments(spark, monkeypatch):
+    """A line in every text, with other neighbours each time, and some longer passages: no shard gets them all."""
+    rng = np.random.default_rng(6)
+    line = "a long line that every text of all has in it"
+    passage = f"a longer passage with it: {line}, of some texts"
+    rows = []
+    for k in range(6000):
+        a, b = ("".join(chr(x) for x in rng.integers(97, 123, 40)) for _ in range(2))
+        rows.append((k, a + (passage if k % 50 == 0 else line) + b))
+    asked = []
+
+    def kept(df, tag, write=suffixes.materialise):
+        out = write(df, tag)
+        if tag == "fragments":
+            asked.append(out)
+        return out
+
+    monkeypatch.setattr(suffixes, "materialise", kept)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    check(suffixes.remove_repeated_bytes(corpus.frame(spark, rows, [])), columns, corpus.repeated_bytes(rows))
+    met = {}
+    for r in asked[0].filter("shard >= 0").collect():
+        n = int(np.frombuffer(r.body[:8], np.int64)[0])
+        met[r.shard] = met.get(r.shard, 0) + max(n, 0)
+    assert max(met.values(), default=0) <= 4096, max(met.values())
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_windows_of_hot_anchors_are_all_looked_up(spark, data, hot):
+    _, rows, _ = data
+    docs = corpus.frame(spark, rows, [])
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    check(suffixes.remove_repeated_bytes(docs, hot=hot), columns, corpus.repeated_bytes(rows))
+
+
 def test_hash_is_of_the_kept_bytes(spark):
     done = suffixes.remove_repeated_bytes(corpus.frame(spark, corpus.texts(), []))
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in done.collect())
