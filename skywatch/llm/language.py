@@ -92,18 +92,19 @@ def fit(
 ) -> dict[str, bytes]:
     """Training text of each language, from ``docs`` (the rows to learn from).
 
-    A share of each language's rows is drawn by hash before the exact choice, so that the choice of
-    the smallest hashes never sorts a whole language in one task.
+    A share of each language's distinct texts is drawn by hash before the exact choice, so that the
+    choice of the smallest hashes never sorts a whole language in one task.
     """
     known = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null")
-    sizes = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    known = known.withColumn("h", F.xxhash64("t"))
+    # Texts that repeat have one hash: each counts once, as it is drawn once below.
+    distinct = known.select("l", "h").dropDuplicates().groupBy("l").agg(F.count("*").alias("n"))
+    sizes = {r["l"]: r["n"] for r in distinct.collect()}
     if not sizes:
         return {}
-    known = known.withColumn("h", F.xxhash64("t"))
-    # Four times the wanted number on average, all rows of a small language.
+    # Four times the wanted number on average, all texts of a small language.
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4 * sample_texts / n))])
     low = known.filter((F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) <= share[F.col("l")])
-    # Texts that repeat have one hash: take each once.
     low = low.dropDuplicates(["l", "h"])
     from pyspark.sql import Window
 

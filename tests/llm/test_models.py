@@ -183,6 +183,17 @@ def test_language_id_on_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_copies_do_not_crowd_out_a_language(spark):
+    """Many copies of one text beside others: as many distinct texts are drawn as without the copies."""
+    texts = [(f"word{k} of the language number {k}", "aa") for k in range(100)]
+    docs = spark.createDataFrame([*texts, ("andere worte", "bb")], "text string, lang string")
+    copies = spark.range(60_000).selectExpr("'the same text again' as text", "'aa' as lang")
+    training = language.fit(docs.unionByName(copies))
+    assert set(training) == {"aa", "bb"}
+    alone = language.fit(docs.unionByName(copies.limit(1)))
+    assert training == alone and training["aa"].count(b"number") >= language.SAMPLE_TEXTS - 1
+
+
 def test_language_of_awkward_rows(spark, folder):
     path, rows = folder
     got = queries.op3_language_id(spark, path).collect()
