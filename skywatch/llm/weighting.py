@@ -8,8 +8,10 @@ depends on the five-byte string (context and byte) alone, and a text's score is
 strings, its end included. Texts start in a context of four start marks.
 
 Corpus counts travel packed by blocks: each block sends its distinct five-byte strings with their
-training counts to the shard of their two latest context bytes, where the tree below is built (at
-most 2**24 strings a context, whatever the corpus). The two top levels have at most 65,280 nodes
+training counts to the shard of the whole string's hash, where they are summed over the blocks. From
+there each string goes once to the shard of its two latest context bytes, where the tree below is
+built (at most 2**24 strings a context, whatever the corpus and its blocks); the answers take the
+same two steps back. The two top levels have at most 65,280 nodes
 and are summed by Spark. Strings that occur only in held-out texts enter with a count of zero, so
 every string that is asked for has its node. Words are counted the same way for the unigram base.
 
@@ -82,6 +84,12 @@ def shard_key(packed: np.ndarray) -> np.ndarray:
     return ((mix(packed >> U64(24)) >> U64(40)) << U64(40)) | packed
 
 
+def string_key(packed: np.ndarray, shards: int) -> np.ndarray:
+    """Sorts by shard first (a power of two): high bits of the mixed string, then the string."""
+    high = U64(64 - (shards.bit_length() - 1))
+    return ((mix(packed) >> high) << high) | packed
+
+
 def counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and how often each occurs where ``learn`` holds."""
     order = np.argsort(keys)
@@ -200,6 +208,20 @@ class Crown:
 
 # -- Spark ------------------------------------------------------------------------------------------
 
+STRING = U64((1 << 40) - 1)
+SUMS = "origin int, shard int, body binary"
+
+
+def _plain(packed: np.ndarray, counts: np.ndarray) -> bytes:
+    """Few strings and counts: packing would cost more than it saves."""
+    return packed.tobytes() + counts.astype(np.int64).tobytes()
+
+
+def _joined(bodies: list) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Strings and counts of all bodies (each string is in one of them), and the bodies' sizes."""
+    parts = [np.frombuffer(b, U64).reshape(2, -1) for b in bodies]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64), [p.shape[1] for p in parts]
+
 
 def _merged(bodies: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys of a shard, their counts, and each body's keys."""
@@ -214,7 +236,7 @@ def score(docs: DataFrame, held_col: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.coalesce(F.col(held_col), F.lit(False)).alias("h"))
     blocks = write_blocks(rows, "t", BLOCK_BYTES)
-    shards = 1 << (shard_count(blocks) - 1).bit_length()  # a power of two: no context is split
+    shards = 1 << max((shard_count(blocks) - 1).bit_length(), 1)  # a power of two: no context is split
 
     def load(rows):
         raw, offsets = text_bytes(rows.column("t"))
@@ -226,7 +248,7 @@ def score(docs: DataFrame, held_col: str, id_col: str = "doc_id", text_col: str
     def question(block, rows):
         held, _, packed, first, words, first_word = load(rows)
         shard, body = [], []
-        for kind, keys, begin in ((GRAMS, shard_key(packed), first), (WORDS, words, first_word)):
+        for kind, keys, begin in ((GRAMS, string_key(packed, shards), first), (WORDS, words, first_word)):
             keys, n = counted(keys, np.repeat(~held, np.diff(begin)))
             cut = bounds(keys, shards)
             for k in np.flatnonzero(cut[1:] > cut[:-1]):
@@ -247,27 +269,57 @@ def score(docs: DataFrame, held_col: str, id_col: str = "doc_id", text_col: str
     asked = materialise(blocks.mapInArrow(ask_all, ASK), "counts")
     release(spark)
 
+    # Each string once, with its sum over all blocks, on the way to the shard of its context.
+    def merge(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        keys, n, _ = _merged([b.as_buffer() for b in group.column("body")])
+        packed = keys & STRING
+        order = np.argsort(shard_key(packed))
+        packed, n = packed[order], n[order].astype(np.int64)
+        cut = bounds(shard_key(packed), shards)
+        some = np.flatnonzero(cut[1:] > cut[:-1])
+        body = [_plain(packed[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]]) for k in some]
+        origin = np.full(len(some), group.column("shard")[0].as_py(), np.int32)
+        return pa.table({"origin": pa.array(origin), "shard": pa.array(some.astype(np.int32)), "body": pa.array(body, pa.binary())})
+
+    sums = asked.filter((F.col("shard") >= 0) & (F.col("shard") < shards)).groupBy("shard").applyInArrow(merge, SUMS)
+    sums = materialise(sums, "sums")
+    release(spark)
+
     # The crown of the tree: sums over all shards, bounded by 256 x 255 nodes.
     def trunk(group: pa.Table) -> pa.Table:
-        keys, n, _ = _merged([b.as_buffer() for b in group.combine_chunks().column("body")])
-        key, zeros, ones, below = Branch(keys & U64((1 << 40) - 1), n).top()
+        packed, n, _ = _joined([b.as_buffer() for b in group.combine_chunks().column("body")])
+        key, zeros, ones, below = Branch(packed, n).top()
         return pa.table({"k": pa.array(key.astype(np.int64)), "zeros": pa.array(zeros), "ones": pa.array(ones), "below": pa.array(below)})
 
-    sums = asked.filter((F.col("shard") >= 0) & (F.col("shard") < shards)).groupBy("shard")
-    sums = sums.applyInArrow(trunk, "k long, zeros double, ones double, below double")
-    sums = sums.groupBy("k").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
-    crown_rows = sums.orderBy("k").toArrow()
+    nodes = sums.groupBy("shard").applyInArrow(trunk, "k long, zeros double, ones double, below double")
+    nodes = nodes.groupBy("k").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
+    crown_rows = nodes.orderBy("k").toArrow()
     column = [crown_rows.column(c).to_numpy() for c in ("k", "zeros", "ones", "below")]
     crown = Crown(column[0].astype(U64), *column[1:])
     release(spark)
 
-    def work(group: pa.Table) -> pa.Table:
+    def values(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        packed, n, sizes = _joined([b.as_buffer() for b in group.column("body")])
+        value = Branch(packed, n).log10(crown).astype(np.float32)
+        cut = np.cumsum([0, *sizes])
+        body = [value[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
+        return pa.table({"origin": group.column("origin"), "shard": group.column("shard"), "body": pa.array(body, pa.binary())})
+
+    known = materialise(sums.groupBy("shard").applyInArrow(values, SUMS), "values")
+    release(spark)
+
+    # Back at the shard of the whole string: to each block its strings' values, or its words' counts.
+    def work(group: pa.Table, found: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         shard = group.column("shard")[0].as_py()
         keys, n, parts = _merged([b.as_buffer() for b in group.column("body")])
         block, out = group.column("block").to_pylist(), []
         if shard < shards:
-            value = Branch(keys & U64((1 << 40) - 1), n).log10(crown).astype(np.float32)
+            found = found.sort_by("shard").combine_chunks()
+            value = np.empty(len(keys), np.float32)
+            value[np.argsort(shard_key(keys & STRING))] = np.concatenate([np.frombuffer(b.as_buffer(), np.float32) for b in found.column("body")])
         else:
             value = n.astype(np.uint32)
         for part in parts:
@@ -278,7 +330,8 @@ def score(docs: DataFrame, held_col: str, id_col: str = "doc_id", text_col: str
             {"block": pa.array(block, pa.int64()), "shard": pa.array([shard] * len(block), pa.int32()), "body": pa.array(out, pa.binary())}
         )
 
-    answers = materialise(asked.filter(F.col("shard") >= 0).groupBy("shard").applyInArrow(work, ANSWER), "answers")
+    back = asked.filter(F.col("shard") >= 0).groupBy("shard").cogroup(known.groupBy("origin"))
+    answers = materialise(back.applyInArrow(work, ANSWER), "answers")
     release(spark)
 
     def number(df: DataFrame, n: int) -> list[int]:
@@ -301,10 +354,10 @@ def score(docs: DataFrame, held_col: str, id_col: str = "doc_id", text_col: str
 
     def use(block, rows, bodies):
         held, n_bytes, packed, first, words, first_word = load(rows)
-        keys = np.unique(shard_key(packed))
+        keys = np.unique(string_key(packed, shards))
         n_grams = int((np.diff(bounds(keys, shards)) > 0).sum())
         value = np.concatenate([_expand(b, np.float32) for b in bodies[:n_grams]]).astype(np.float64)
-        logs = np.concatenate([[0.0], np.cumsum(value[np.searchsorted(keys, shard_key(packed))])])
+        logs = np.concatenate([[0.0], np.cumsum(value[np.searchsorted(keys, string_key(packed, shards))])])
         total = logs[first[1:]] - logs[first[:-1]]
         known, base = np.zeros(len(held), np.int64), np.zeros(len(held))
         if len(words):

@@ -285,6 +285,26 @@ def test_scores_without_training_rows(spark):
     np.testing.assert_allclose([g[4] for g in got], [5 * 8 * math.log10(0.5), 8 * math.log10(0.5)])
 
 
+def test_a_context_meets_each_string_once_not_once_a_block(spark, monkeypatch):
+    """The same text in many blocks: the trees are built from its distinct strings, whatever the blocks."""
+    text = " ".join(f"some words of text {k}" for k in range(40))
+    docs = spark.range(64).selectExpr("id as doc_id", f"'{text}' as text", "id = 7 as held").repartition(16)
+    steps = {}
+
+    def kept(df, tag, write=weighting.materialise):
+        steps[tag] = write(df, tag)
+        return steps[tag]
+
+    monkeypatch.setattr(weighting, "materialise", kept)
+    monkeypatch.setattr(weighting, "BLOCK_BYTES", len(text) + 64)
+    scores = {r.score for r in weighting.score(docs, "held").select("score").collect()}
+    (want,) = _tree_score([text] * 63, [text])
+    np.testing.assert_allclose(list(scores), [want] * len(scores), rtol=1e-5)
+    line = b"\xff" * 4 + text.encode() + b"\xff"
+    bodies = steps["sums"].collect()
+    assert sum(len(r.body) // 16 for r in bodies) == len({line[k - 4 : k + 1] for k in range(4, len(line))})
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 7.9, 8, 30.5, 1e6, 1e12])
     np.testing.assert_allclose(weighting.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)
