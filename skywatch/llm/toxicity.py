@@ -7,7 +7,7 @@ window. A text's score is the highest over all overlapping windows (one every ``
 the last reaches the end), calibrated on the training texts.
 
 Training runs in numpy on at most ``sample`` labelled texts of each class, chosen by a hash of the
-id, with at most ``per_text`` windows of each; scoring covers all windows of all texts. Weights have
+id, that have ``SAMPLE_BYTES`` bytes together at most, with at most ``per_text`` windows of each; scoring covers all windows of all texts. Weights have
 a fixed size, so shipping them to the tasks does not grow with the data. A null or empty text is
 scored as one window without words. If the labels hold one class only, the score is that class.
 """
@@ -28,6 +28,8 @@ HIDDEN = 8
 WORD_SLOTS, WORD_DIM = 1 << 14, 10
 CHAR_SLOTS, CHAR_DIM = 1 << 12, 6
 SAMPLE = 1500
+#: Of the sampled texts of a class, those that fit into so many bytes together come to the driver.
+SAMPLE_BYTES = 16 << 20
 PER_TEXT = 16
 #: Words of fewer training texts are read by their characters alone.
 SEEN = 6
@@ -317,13 +319,24 @@ def train(texts: pa.Array, labels: np.ndarray, per_text: int = PER_TEXT, seed: i
 # -- Spark -----------------------------------------------------------------------------------------
 
 
+def _fitting(sizes: list[tuple[int, int]], limit: int) -> set[int]:
+    """Ids, in the order given, whose texts fit into ``limit`` bytes together; if none does, the shortest."""
+    chosen, total = set(), 0
+    for i, n in sizes:
+        if total + n <= limit:
+            chosen.add(i)
+            total += n
+    return chosen or {i for i, _ in sorted(sizes, key=lambda x: x[1])[:1]}
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
 ) -> dict | float:
     """A network, or the one class that the labels hold as a constant score (0.0 without labels).
 
     ``labels`` are the rows to learn from. At most ``sample`` ids of each class are taken, lowest
-    hash first; only their texts, so a bounded number, come to the driver.
+    hash first; of their texts those that fit into ``SAMPLE_BYTES`` a class come to the driver. Where
+    none fits, the class has its shortest one.
     """
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).filter("i is not null and y in (0, 1)")
     picked = [
@@ -334,8 +347,14 @@ def fit(
         return float(classes.pop()) if classes else 0.0
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(int(r["i"]), int(r["y"])) for r in picked], "i long, y int").dropDuplicates(["i"]))
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(wanted, "i").dropDuplicates(["i"])
-    rows = rows.orderBy("i").toArrow()
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(wanted, "i")
+    sizes = rows.groupBy("i").agg(F.max(F.coalesce(F.octet_length("t"), F.lit(0))).alias("n"))
+    size = {r["i"]: r["n"] for r in sizes.collect()}
+    fits = set()
+    for y in (0, 1):
+        fits |= _fitting([(r["i"], size[r["i"]]) for r in picked if r["y"] == y and r["i"] in size], SAMPLE_BYTES)
+    rows = rows.filter(F.col("i").isin(sorted(fits))) if len(fits) < len(size) else rows
+    rows = rows.dropDuplicates(["i"]).orderBy("i").toArrow()
     y = rows.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return float(y[0]) if len(y) else 0.0

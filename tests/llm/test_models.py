@@ -379,6 +379,18 @@ def test_windows_overlap_and_cover():
         assert seen == set(range(first[r], first[r + 1])) and (row == r).any()
 
 
+def test_training_texts_are_bounded_in_bytes(spark, monkeypatch):
+    rows = [(k, "word " * 200) for k in range(40)] + [(40, "long " * 9000), (41, "longer " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 5000, raising=False)
+    monkeypatch.setattr(toxicity, "train", lambda column, y: seen.append((column.to_pylist(), y.tolist())))
+    toxicity.fit(docs, spark.createDataFrame([(k, int(k >= 40)) for k in range(42)], "doc_id long, toxic int"))
+    texts, y = seen[0]
+    assert y.count(0) == 5 and sum(len(t) for t, c in zip(texts, y) if c == 0) <= 5000
+    assert [t for t, c in zip(texts, y) if c == 1] == [rows[40][1]]  # none fits: the shortest
+
+
 def test_toxicity_query(spark, folder, tmp_path):
     path, rows = folder
     got = queries.op10_toxicity(spark, path).collect()
