@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from skywatch.llm.common import LETTERED, LOWER, U64, byte_values, find_words, mix, rows_of, spare_name, text_bytes, word_hashes
 
 WINDOW = 32
-STRIDE = 24
+STRIDE = 16  # half a window: each run of WINDOW - STRIDE + 1 words stands whole in some window
 HIDDEN = 8
 WORD_SLOTS, WORD_DIM = 1 << 14, 10
 CHAR_SLOTS, CHAR_DIM = 1 << 12, 6

@@ -379,6 +379,13 @@ def test_windows_overlap_and_cover():
         assert seen == set(range(first[r], first[r + 1])) and (row == r).any()
 
 
+def test_each_run_of_17_words_stands_whole_in_a_window():
+    for n in (17, 32, 33, 50, 200, 331):
+        start, size, _ = toxicity.windows(np.array([0, n]))
+        for k in range(n - 16):
+            assert ((start <= k) & (start + size >= k + 17)).any(), (n, k)
+
+
 def test_training_texts_are_bounded_in_bytes(spark, monkeypatch):
     rows = [(k, "word " * 200) for k in range(40)] + [(40, "long " * 9000), (41, "longer " * 9000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
