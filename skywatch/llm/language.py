@@ -8,7 +8,8 @@ first by name among equals. Phrases do not run over word ends, so a text's count
 words, and each distinct word of a batch is parsed once.
 
 Learning takes ``sample_texts`` labelled texts of a language at most, chosen by a hash of the text,
-and of these whole texts up to ``sample_bytes``; every text is parsed whole. A null text, or one
+and of these whole texts up to ``sample_bytes``; a language none of whose texts fits is learned from
+its shortest one, whole. Every text is parsed whole. A null text, or one
 without any letter, is ``und`` with score 0, as is every text when no language was learned. Words
 are those between white space, A-Z lower-cased.
 """
@@ -93,28 +94,41 @@ def fit(
     """Training text of each language, from ``docs`` (the rows to learn from).
 
     A share of each language's distinct texts is drawn by hash before the exact choice, so that the
-    choice of the smallest hashes never sorts a whole language in one task.
+    choice of the smallest hashes never sorts a whole language in one task. Only texts that fit into
+    ``sample_bytes`` are drawn, and they are cut to that in Spark, before they come to the driver. A
+    language without such a text has its shortest text.
     """
     known = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null")
-    known = known.withColumn("h", F.xxhash64("t"))
+    # A text's marked form has two bytes more at most.
+    known = known.withColumn("h", F.xxhash64("t")).withColumn("n", F.octet_length("t") + 2)
     # Texts that repeat have one hash: each counts once, as it is drawn once below.
-    distinct = known.select("l", "h").dropDuplicates().groupBy("l").agg(F.count("*").alias("n"))
-    sizes = {r["l"]: r["n"] for r in distinct.collect()}
+    distinct = known.select("l", "h", "n").dropDuplicates(["l", "h"]).groupBy("l")
+    small = F.col("n") <= sample_bytes
+    sizes = distinct.agg(F.count(F.when(small, 1)).alias("n"), F.min(F.struct("n", "h"))["h"].alias("shortest")).collect()
     if not sizes:
         return {}
     # Four times the wanted number on average, all texts of a small language.
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4 * sample_texts / n))])
-    low = known.filter((F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) <= share[F.col("l")])
-    low = low.dropDuplicates(["l", "h"])
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, 4 * sample_texts / max(r["n"], 1)))])
+    drawn = small & ((F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)) <= share[F.col("l")])
+    for r in sizes:
+        if not r["n"]:
+            drawn |= (F.col("l") == r["l"]) & (F.col("h") == r["shortest"])
+    low = known.filter(drawn).dropDuplicates(["l", "h"])
     from pyspark.sql import Window
 
-    first = F.row_number().over(Window.partitionBy("l").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h"))
-    rows = low.withColumn("k", first).filter(F.col("k") <= sample_texts).orderBy("l", "k").select("l", "t").collect()
+    order = Window.partitionBy("l").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h")
+    low = low.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample_texts)
+
+    def filled(sizes):
+        return F.aggregate(sizes, F.lit(0), lambda total, n: F.when(total + n <= sample_bytes, total + n).otherwise(total))
+
+    low = low.withColumn("upto", F.collect_list("n").over(Window.partitionBy("l").orderBy("k")))
+    fits = filled(F.col("upto")) > filled(F.slice("upto", F.lit(1), F.col("k") - 1))
+    rows = low.filter(fits | ~small).orderBy("l", "k").select("l", "t").collect()
     text: dict[str, bytes] = {lang: b"" for lang in sorted({r["l"] for r in rows})}
     for r in rows:
         more = marked(r["t"])
-        if not text[r["l"]] or len(text[r["l"]]) + len(more) <= sample_bytes:
-            text[r["l"]] += more if not text[r["l"]] else more[1:]
+        text[r["l"]] += more if not text[r["l"]] else more[1:]
     return text
 
 

@@ -194,6 +194,16 @@ def test_copies_do_not_crowd_out_a_language(spark):
     assert training == alone and training["aa"].count(b"number") >= language.SAMPLE_TEXTS - 1
 
 
+def test_training_bytes_of_a_language_are_bounded(spark):
+    """Long texts are left out where shorter ones fit; a language of long texts has its shortest."""
+    rows = [(f"{'long ' * 20_000}{k}", "aa") for k in range(30)] + [(f"{'short ' * 500}{k}", "aa") for k in range(30)]
+    rows += [("word " * 9_000, "bb"), ("word " * 12_000, "bb"), ("more words", "cc")]
+    training = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(training) == {"aa", "bb", "cc"}
+    assert b"long" not in training["aa"] and 36_000 < len(training["aa"]) <= language.SAMPLE_BYTES
+    assert training["bb"] == b" " + b"word " * 9_000
+
+
 def test_language_of_awkward_rows(spark, folder):
     path, rows = folder
     got = queries.op3_language_id(spark, path).collect()
