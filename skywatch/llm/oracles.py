@@ -109,9 +109,68 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(t.n_removed, 0)::BIGINT A
 FROM w LEFT JOIN t USING (r)
 """
 
+OP11 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+),
+h AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2,
+    ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM d
+),
+f AS (
+  SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+      WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1, n - b) AS suffix FROM f)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(prefix || middle || suffix) AS restored_sha256
+FROM p
+"""
+
+
+def _op12(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Rounds of assignment and mean, written out one after the other."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""dist{k} AS (
+  SELECT c.r, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS d FROM c JOIN book{k} b ON b.part = c.part AND b.pos = c.pos
+  GROUP BY c.r, c.part, b.entry
+),
+best{k} AS MATERIALIZED (SELECT r, part, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d FROM dist{k} GROUP BY r, part),""")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (
+  SELECT part, pos, entry, sum(x) AS s, count(*) AS n FROM best{k} JOIN c USING (r, part) GROUP BY part, pos, entry
+),
+book{k + 1} AS MATERIALIZED (
+  SELECT part, pos, entry, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END::BIGINT AS x
+  FROM book{k} LEFT JOIN mean{k} USING (part, pos, entry)
+),""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, embedding AS e, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+u AS (SELECT r, unnest(e) AS x, unnest(range(len(e))) AS i, len(e) // {parts} AS w FROM k),
+c AS MATERIALIZED (SELECT r, i // w AS part, i % w AS pos, floor(256 * x::DOUBLE)::BIGINT AS x FROM u),
+book0 AS (SELECT part, pos, r AS entry, x FROM c WHERE r < {entries}),
+{chr(10).join(steps)}
+v AS (SELECT r, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM best{rounds} GROUP BY r),
+l AS (SELECT label, sum(error)::BIGINT AS label_error FROM k JOIN v USING (r) GROUP BY label)
+SELECT k.vec_id, v.code, v.error, l.label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM k JOIN v USING (r) JOIN l ON l.label IS NOT DISTINCT FROM k.label
+"""
+
+
 ORACLES = {
     "op6_quality_rules": _op6(),
     "op7_benchmark_decontamination": OP7,
     "op8_ngram_jaccard_join": OP8,
     "op9_substring_dedup": OP9,
+    "op11_fill_in_middle": OP11,
+    "op12_vector_codes": _op12(),
 }

@@ -101,6 +101,37 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skywatch.llm import infill
+
+    made = infill.transform(_documents(spark, sf_dir))
+    return made.select(
+        "doc_id", F.col("n_units").alias("n"), "form",
+        F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("fim", 256).alias("output_sha256"), F.sha2(infill.restore(F.col("fim"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skywatch.llm import vector_codes
+
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.sha256 if books is not None else None).cast("string")
+    return coded.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+#: The tokenizer whose tokens are counted; the environment may name another.
+TOKENIZER_FILE = os.environ.get("SKYWATCH_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skywatch.llm import token_counts
+
+    counted = token_counts.count_tokens(_documents(spark, sf_dir), token_counts.load_tokenizer(TOKENIZER_FILE))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -114,7 +145,8 @@ QUERIES = {
         op8_ngram_jaccard_join,
         op9_substring_dedup,
         op10_toxicity,
+        op11_fill_in_middle,
+        op12_vector_codes,
+        op13_token_counts,
     )
 }
-
-
