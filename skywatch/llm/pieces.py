@@ -25,14 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skywatch.llm.common import rows_of, spare_name, text_bytes, word_hashes
+from skywatch.llm.common import U64, rows_of, spare_name, text_bytes, word_hashes
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words are kept with their ids up to about this many at a time, and as many neighbouring pieces;
+#: Words are kept with their ids up to this many bytes of arrays, and this many neighbouring pieces;
 #: beyond, they are forgotten and computed again. No result depends on it.
-CACHE_WORDS = 150_000
+CACHE_BYTES, CACHE_PAIRS = 24 << 20, 100_000
+#: Bytes of text encoded, and ids decoded, at a time.
+SLICE_BYTES, SLICE_IDS = 1 << 20, 1 << 19
 
 
 # -- the model file -------------------------------------------------------------------------------
@@ -131,7 +133,7 @@ class Encoder:
         self.score = model.scores
         self.text = model.pieces
         self.halves: dict[int, tuple[str, str]] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # by left piece * number of pieces + right piece
         self.low = min((s for s, k in zip(model.scores, model.kinds) if k == NORMAL), default=0.0)
 
     # BPE: how a piece is merged, and which piece may follow which.
@@ -168,7 +170,7 @@ class Encoder:
         Both pieces are taken apart step by step, the later merge first; a merge over the border
         that would have come before the one undone joins them.
         """
-        known = self.follows.get((left, right))
+        known = self.follows.get(left * len(self.text) + right)
         if known is not None:
             return known
         a, b = self.text[left], self.text[right]
@@ -189,7 +191,7 @@ class Encoder:
                 limit, a, from_left = self.score[i], one[1], True
             else:
                 limit, b, from_left = self.score[j], two[0], False
-        self.follows[(left, right)] = ok
+        self.follows[left * len(self.text) + right] = ok
         return ok
 
     def encode(self, words: list[str]) -> list[list[int]]:
@@ -203,7 +205,7 @@ class Encoder:
         under: list[list[tuple[int, int]]] = [[]]
         before = ""
         bpe = self.model.kind == BPE
-        children, ends, score, follows = self.children, self.ends, self.score, self.follows
+        children, ends, score, follows, width = self.children, self.ends, self.score, self.follows, len(self.text)
         for word in words:
             keep = 0
             for x, y in zip(before, word):
@@ -226,7 +228,7 @@ class Encoder:
                     if bpe:
                         if found == -2:
                             left = last[start]
-                            ok = left < 0 or follows.get((left, k))
+                            ok = left < 0 or follows.get(left * width + k)
                             if ok is None:
                                 ok = self._may_follow(left, k)
                             if ok:
@@ -276,47 +278,89 @@ def load_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text (under a spare name if the column exists)."""
+class WordIds:
+    """Ids of the words seen so far, in arrays: the words' sorted hashes, where their ids begin, the ids."""
+
+    def __init__(self):
+        self.key, self.begin = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.size, self.pool = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    @property
+    def bytes(self) -> int:
+        return self.key.nbytes + self.begin.nbytes + self.size.nbytes + self.pool.nbytes
+
+    def missing(self, key: np.ndarray) -> np.ndarray:
+        """Indexes of the hashes that are not here."""
+        if not len(self.key):
+            return np.arange(len(key))
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.flatnonzero(self.key[at] != key)
+
+    def add(self, key: np.ndarray, ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        pool = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        begin = len(self.pool) + np.cumsum(size, dtype=np.int64) - size
+        key = np.concatenate([self.key, key])
+        order = np.argsort(key)
+        self.key = key[order]
+        self.begin, self.size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+        self.pool = np.concatenate([self.pool, pool])
+
+    def joined(self, key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words ``key[word]`` one after the other, and where each word's end."""
+        at = np.searchsorted(self.key, key)[word]
+        begin, size = self.begin[at], self.size[at].astype(np.int64)
+        total = np.cumsum(size)
+        return self.pool[np.arange(int(size.sum())) + np.repeat(begin - (total - size), size)], total
+
+
+def _slices(batch: pa.RecordBatch, at: np.ndarray, size: int):
+    """Runs of rows of about ``size`` by the rows' bounds ``at``; a larger row alone."""
+    i = 0
+    while i < batch.num_rows:
+        j = min(max(int(np.searchsorted(at, at[i] + size, "right")) - 1, i + 1), batch.num_rows)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each text (under a spare name if the column exists).
+
+    ``decoded_col`` adds the text that the ids give back, in the same pass over the rows.
+    """
     Model(model)  # refuse unsupported models before any task starts
-    name = spare_name(ids_col, docs.columns)
-    schema = T.StructType([*docs.schema, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    added = [T.StructField(spare_name(ids_col, docs.columns), T.ArrayType(T.IntegerType()))]
+    if decoded_col is not None:
+        added.append(T.StructField(spare_name(decoded_col, [*docs.columns, added[0].name]), T.StringType()))
+    schema = T.StructType([*docs.schema, *added])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        encoder = Encoder(Model(shared.value))
-        cache: dict[int, list[int]] = {}
+        made = Model(shared.value)
+        encoder, decoder, cache = Encoder(made), Decoder(made), WordIds()
         for whole in batches:
-            at = text_bytes(whole.column(text_col))[1]
-            i = 0
-            while i < whole.num_rows:
-                j = min(max(int(np.searchsorted(at, at[i] + (2 << 20), "right")) - 1, i + 1), whole.num_rows)
-                batch = whole.slice(i, j - i)
+            for batch in _slices(whole, text_bytes(whole.column(text_col))[1], SLICE_BYTES):
                 raw, starts, ends, first = marked_words(batch.column(text_col))
-                if len(cache) > CACHE_WORDS:
-                    cache = {}
-                if len(encoder.follows) > CACHE_WORDS:
+                if cache.bytes > CACHE_BYTES:
+                    cache = WordIds()
+                if len(encoder.follows) > CACHE_PAIRS:
                     encoder.follows.clear()
                 key, one, word = np.unique(word_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-                key, data = key.tolist(), raw.tobytes()
-                new = [k for k, h in enumerate(key) if h not in cache]
+                new = cache.missing(key)
                 spelt = {
-                    data[starts[one[k]] : ends[one[k]]].decode("utf-8", "surrogateescape").replace(" ", MARK): key[k] for k in new
+                    raw[starts[k] : ends[k]].tobytes().decode("utf-8", "surrogateescape").replace(" ", MARK): h
+                    for k, h in zip(one[new].tolist(), key[new])
                 }
                 order = sorted(spelt)
-                cache.update(zip(map(spelt.__getitem__, order), encoder.encode(order)))
-                ids = [cache[h] for h in key]
-                size = np.fromiter(map(len, ids), np.int64, len(ids))
-                pool = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
-                begin = (np.cumsum(size) - size)[word]
-                size = size[word]
-                total = np.cumsum(size)
-                flat = pool[np.arange(int(size.sum())) + np.repeat(begin - (total - size), size)]
+                if order:
+                    cache.add(np.array([spelt[w] for w in order], U64), encoder.encode(order))
+                flat, total = cache.joined(key, word)
                 bounds = np.concatenate([[0], total])[first].astype(np.int32)
                 missing = pc.is_null(batch.column(text_col))
-                made = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat), mask=missing)
-                yield pa.RecordBatch.from_arrays([*batch.columns, made], names=schema.names)
-                i = j
+                columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat), mask=missing)]
+                if decoded_col is not None:
+                    columns.append(decoder.column(flat, bounds, missing))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -341,6 +385,11 @@ class Decoder:
         text = b"".join(self.data[ids]) if len(ids) else b""
         return text[1:].decode("utf-8", "replace") if text[:1] == b" " else text.decode("utf-8", "replace")
 
+    def column(self, ids: np.ndarray, bounds: np.ndarray, missing: pa.Array) -> pa.Array:
+        """The texts of lists of ids, null where a list is missing."""
+        gone = missing.to_pylist()
+        return pa.array([None if n else self.decode(ids[i:j]) for n, i, j in zip(gone, bounds[:-1], bounds[1:])], pa.string())
+
 
 def decode(docs: DataFrame, model: bytes, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``docs`` with the text of each id list (under a spare name if the column exists)."""
@@ -350,11 +399,12 @@ def decode(docs: DataFrame, model: bytes, ids_col: str = "ids", text_col: str =
 
     def run(batches):
         decoder = Decoder(Model(shared.value))
-        for batch in batches:
-            column = batch.column(ids_col)
-            ids, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            missing = column.is_null().to_pylist()
-            texts = [None if gone else decoder.decode(ids[i:j]) for gone, i, j in zip(missing, ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+        for whole in batches:
+            size = pc.fill_null(pc.list_value_length(whole.column(ids_col)), 0).to_numpy(zero_copy_only=False)
+            for batch in _slices(whole, np.append(0, np.cumsum(size, dtype=np.int64)), SLICE_IDS):
+                column = batch.column(ids_col)
+                size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                bounds, ids = np.append(0, np.cumsum(size, dtype=np.int64)), pc.list_flatten(column).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*batch.columns, decoder.column(ids, bounds, pc.is_null(column))], names=schema.names)
 
     return docs.mapInArrow(run, schema)

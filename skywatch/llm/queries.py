@@ -94,7 +94,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skywatch.llm import pieces
 
     model = pieces.load_model(MODEL_FILE)
-    coded = pieces.decode(pieces.encode(_documents(spark, sf_dir), model), model)
+    coded = pieces.encode(_documents(spark, sf_dir), model, decoded_col="decoded")
     return coded.select(
         "doc_id", F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_tokens"), "ids",
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
@@ -115,7 +115,8 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skywatch.llm import vector_codes
 
-    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = vector_codes.compress(vectors)
     digest = F.lit(books.sha256 if books is not None else None).cast("string")
     return coded.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
 

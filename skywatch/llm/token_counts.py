@@ -356,12 +356,17 @@ def worker(tag: str, source: str, runs, frequent) -> Worker:
 
 
 def draw(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """A bounded draw of distinct texts by their hash, for the table of frequent pre-tokens alone."""
+    """A bounded random draw of texts, for the table of frequent pre-tokens alone.
+
+    Each row is drawn with the same chance, so that about ``SAMPLE_TEXTS`` rows leave the scan however
+    many there are; of these whole texts up to ``SAMPLE_BYTES`` come to the driver.
+    """
     size = F.octet_length("t")
-    texts = docs.select(F.col(text_col).alias("t")).filter(F.col("t").isNotNull() & (size <= SAMPLE_BYTES // 8))
-    least = texts.orderBy(F.xxhash64("t"), "t").limit(SAMPLE_TEXTS)
+    texts = docs.select(F.col(text_col).alias("t"))
+    share = min(1.0, SAMPLE_TEXTS / max(texts.count(), 1))
+    drawn = texts.filter((F.rand(13) < share) & F.col("t").isNotNull() & (size <= SAMPLE_BYTES // 8)).limit(2 * SAMPLE_TEXTS)
     held = F.sum(size).over(Window.orderBy(F.xxhash64("t"), "t").rowsBetween(Window.unboundedPreceding, 0))
-    return [r["t"] for r in least.withColumn("held", held).filter(F.col("held") <= SAMPLE_BYTES).select("t").collect()]
+    return [r["t"] for r in drawn.withColumn("held", held).filter(F.col("held") <= SAMPLE_BYTES).select("t").collect()]
 
 
 def count_tokens(docs: DataFrame, source: str, text_col: str = "text", name: str = "n_tokens") -> DataFrame:

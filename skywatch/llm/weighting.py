@@ -34,6 +34,7 @@ from skywatch.llm.common import LOWER, SPACED, U64, find_words, materialise, mix
 
 DEPTH = 4
 BLOCK_BYTES = 2 << 20
+SLICE = 1 << 17
 MARK = 0xFF  # never a byte of UTF-8: start and end of a text
 GRAMS, WORDS = 0, 1
 STATS = -1
@@ -64,18 +65,21 @@ def strings(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """
     size = np.diff(offsets)
     rows = len(size)
-    line = np.full(len(raw) + rows * (DEPTH + 1), MARK, np.uint8)
-    shift = np.repeat(np.arange(rows) * (DEPTH + 1) + DEPTH, size)
-    line[np.arange(len(raw)) + shift] = LOWER[raw]
     ends = np.arange(1, rows + 1) * (DEPTH + 1) + offsets[1:] - 1
-    inside = np.ones(len(line), bool)
+    inside = np.ones(len(raw) + rows * (DEPTH + 1), bool)
     for k in range(DEPTH):
         inside[ends - size - DEPTH + k] = False
     at = np.flatnonzero(inside)
-    line = line.astype(U64)
-    packed = line[at]
-    for k in range(1, DEPTH + 1):
-        packed = packed | (line[at - k] << U64(8 * (DEPTH + 1 - k)))
+    inside[ends] = False
+    line = np.full(len(inside), MARK, np.uint8)
+    line[inside] = LOWER[raw]
+    packed = np.empty(len(at), U64)
+    for i in range(0, len(at), SLICE):  # in slices, so that no wide copy of a whole block arises
+        place = at[i : i + SLICE]
+        part = line[place].astype(U64)
+        for k in range(1, DEPTH + 1):
+            part |= line[place - k].astype(U64) << U64(8 * (DEPTH + 1 - k))
+        packed[i : i + SLICE] = part
     return packed, offsets + np.arange(rows + 1)
 
 
@@ -90,15 +94,23 @@ def string_key(packed: np.ndarray, shards: int) -> np.ndarray:
     return ((mix(packed) >> high) << high) | packed
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs; sorts ``keys`` in place."""
+    keys.sort()
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
 def counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and how often each occurs where ``learn`` holds."""
-    order = np.argsort(keys)
-    keys, learn = keys[order], learn[order]
-    head = np.ones(len(keys), bool)
-    head[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(head)
-    total = np.concatenate([[0], np.cumsum(learn)])
-    return keys[at], total[np.append(at[1:], len(keys))] - total[at]
+    known, n = _runs(keys[learn])
+    other, _ = _runs(keys[~learn])
+    if not len(other):
+        return known, n
+    every = np.union1d(known, other)
+    total = np.zeros(len(every), np.int64)
+    total[np.searchsorted(every, known)] = n
+    return every, total
 
 
 def _squeeze(values: np.ndarray) -> bytes:
@@ -120,7 +132,7 @@ def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
 def _unpack(body) -> tuple[np.ndarray, np.ndarray]:
     view = memoryview(body)
     n = int.from_bytes(view[:8], "little")
-    return np.cumsum(_expand(view[8 : 8 + n], U64), dtype=U64), _expand(view[8 + n :], np.uint32).astype(np.int64)
+    return np.cumsum(_expand(view[8 : 8 + n], U64), dtype=U64), _expand(view[8 + n :], np.uint32)
 
 
 # -- the tree ---------------------------------------------------------------------------------------
@@ -128,9 +140,9 @@ def _unpack(body) -> tuple[np.ndarray, np.ndarray]:
 
 def _bits(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The eight binary nodes (1 to 255) on the way to each byte, and the bit taken at each."""
-    k = np.arange(8)
-    byte = byte.astype(np.int64)[:, None]
-    return (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
+    k = np.arange(8, dtype=np.uint16)
+    byte = byte.astype(np.uint16)[:, None]
+    return ((1 << k) | (byte >> (8 - k))).astype(np.uint8), ((byte >> (7 - k)) & 1).astype(np.uint8)
 
 
 class Level:
@@ -162,9 +174,10 @@ class Branch:
         key = ((packed >> U64(8))[:, None] << U64(8)) | node.astype(U64)
         key, place = np.unique(key, return_inverse=True)
         place = place.reshape(node.shape)
-        n = np.repeat(counts, 8)
-        ones = np.bincount(place.ravel(), n * self.bit.ravel(), len(key))
-        total = np.bincount(place.ravel(), n, len(key))
+        ones, total = np.zeros(len(key)), np.zeros(len(key))
+        for k in range(8):
+            ones += np.bincount(place[:, k], counts * self.bit[:, k], len(key))
+            total += np.bincount(place[:, k], counts, len(key))
         self.levels, self.places = [Level(key, total - ones, ones, None)], [place]
         for _ in range(2):  # contexts of three and two bytes
             key, up, zeros, ones, below = shorter(self.levels[-1], 1)
@@ -223,11 +236,15 @@ def _joined(bodies: list) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64), [p.shape[1] for p in parts]
 
 
-def _merged(bodies: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys of a shard, their counts, and each body's keys."""
+def _merged(bodies: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a shard and their counts over all bodies."""
     parts = [_unpack(b) for b in bodies]
-    keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(place, np.concatenate([p[1] for p in parts]), len(keys)), [p[0] for p in parts]
+    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(n, at, dtype=np.int64) if len(at) else np.zeros(0, np.int64)
 
 
 def score(docs: DataFrame, held_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,10 +289,10 @@ def score(docs: DataFrame, held_col: str, id_col: str = "doc_id", text_col: str
     # Each string once, with its sum over all blocks, on the way to the shard of its context.
     def merge(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        keys, n, _ = _merged([b.as_buffer() for b in group.column("body")])
+        keys, n = _merged([b.as_buffer() for b in group.column("body")])
         packed = keys & STRING
         order = np.argsort(shard_key(packed))
-        packed, n = packed[order], n[order].astype(np.int64)
+        packed, n = packed[order], n[order]
         cut = bounds(shard_key(packed), shards)
         some = np.flatnonzero(cut[1:] > cut[:-1])
         body = [_plain(packed[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]]) for k in some]
@@ -314,7 +331,8 @@ def score(docs: DataFrame, held_col: str, id_col: str = "doc_id", text_col: str
     def work(group: pa.Table, found: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         shard = group.column("shard")[0].as_py()
-        keys, n, parts = _merged([b.as_buffer() for b in group.column("body")])
+        bodies = [b.as_buffer() for b in group.column("body")]
+        keys, n = _merged(bodies)
         block, out = group.column("block").to_pylist(), []
         if shard < shards:
             found = found.sort_by("shard").combine_chunks()
@@ -322,8 +340,8 @@ def score(docs: DataFrame, held_col: str, id_col: str = "doc_id", text_col: str
             value[np.argsort(shard_key(keys & STRING))] = np.concatenate([np.frombuffer(b.as_buffer(), np.float32) for b in found.column("body")])
         else:
             value = n.astype(np.uint32)
-        for part in parts:
-            out.append(_squeeze(value[np.searchsorted(keys, part)]))
+        for body in bodies:
+            out.append(_squeeze(value[np.searchsorted(keys, _unpack(body)[0])]))
         block.append(-1)  # how many of the shard's keys were learned
         out.append(np.int64(np.count_nonzero(n) if shard >= shards else 0).tobytes())
         return pa.table(
@@ -356,8 +374,12 @@ def score(docs: DataFrame, held_col: str, id_col: str = "doc_id", text_col: str
         held, n_bytes, packed, first, words, first_word = load(rows)
         keys = np.unique(string_key(packed, shards))
         n_grams = int((np.diff(bounds(keys, shards)) > 0).sum())
-        value = np.concatenate([_expand(b, np.float32) for b in bodies[:n_grams]]).astype(np.float64)
-        logs = np.concatenate([[0.0], np.cumsum(value[np.searchsorted(keys, string_key(packed, shards))])])
+        value = np.concatenate([_expand(b, np.float32) for b in bodies[:n_grams]])
+        logs = np.zeros(len(packed) + 1)
+        for i in range(0, len(packed), SLICE):
+            part = packed[i : i + SLICE]
+            logs[i + 1 : i + 1 + len(part)] = value[np.searchsorted(keys, string_key(part, shards))]
+        np.cumsum(logs, out=logs)
         total = logs[first[1:]] - logs[first[:-1]]
         known, base = np.zeros(len(held), np.int64), np.zeros(len(held))
         if len(words):
