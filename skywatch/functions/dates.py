@@ -33,12 +33,18 @@ def _has_free_year(pattern: str) -> bool:
     return re.search(r"(?<![A-Za-z])yyyy(?![A-Za-z])", pattern) is not None
 
 
+def _longest_usual(pattern: str) -> int:
+    """Texts up to this length have no room for a year of six digits beside the other fields."""
+    fixed = set(re.findall(r"[A-Za-z]+", pattern)) <= {"yyyy", "MM", "dd", "HH", "mm", "ss"}
+    return len(pattern) if fixed else 5
+
+
 def parse_date_text(col: ColumnOrName, pattern: str) -> Column:
     """Parse text with ``pattern`` to a date; anything malformed gives NULL.
 
     The year field also takes a sign and more than four digits, and a year past the timestamp
-    range makes ``try_to_date`` fail instead of giving NULL. So text with a run of six digits or
-    more is parsed only if that number is a year the type can hold.
+    range makes ``try_to_date`` fail instead of giving NULL. So text longer than the pattern with a
+    run of six digits or more is parsed only if that number is a year the type can hold; shorter text has no room for such a year, so that the usual text is parsed once and searched never.
     """
     c = as_col(col)
     parsed = F.try_to_date(c, pattern)
@@ -49,7 +55,7 @@ def parse_date_text(col: ColumnOrName, pattern: str) -> Column:
     held = year.between(FIRST_YEAR, LAST_YEAR) | (
         (year == LAST_YEAR + 1) & (F.month(in_year) == 1) & (F.dayofmonth(in_year) <= 9)
     )
-    return F.when(~c.rlike(_LONG_YEAR) | held, parsed)
+    return F.when((F.length(c) <= _longest_usual(pattern)) | ~c.rlike(_LONG_YEAR) | held, parsed)
 
 
 def parse_month(col: ColumnOrName, pattern: str = MONTH_PATTERN) -> Column:

@@ -11,11 +11,15 @@
 
 Plan shape. The default scans the input once: every row becomes three
 fixed-width cells, which one hash aggregate deduplicates map-side into a base
-that is written to the shared checkpoint folder. The counts, extremes and mean
-are one aggregate of that base; the median is the exact lower median from a
-histogram with bounded value buckets (``lower_median``). A hot key is spread
-over its values in every shuffle, so no task receives more than a bounded
-slice of it.
+(``report_cells``) that is written to the shared checkpoint folder. The counts,
+extremes and mean are one aggregate of that base; the median is the exact lower
+median from a histogram with bounded value buckets (``lower_median``), for
+``month_count`` of any orderable type. A hot key is spread over its values in
+every shuffle, so no task receives more than a bounded slice of it.
+
+Cells add up: cells keyed by the month text give the summary by year and by any
+bucket (``summarize_cells`` of the same base), and cells of more files are merged
+into them (``merge_cells``) without reading the old files again.
 
 ``median="approx"`` keeps the reference's ``percentile_approx`` in a lazy plan
 of two aggregates over the same input (two scans): extremes, sketch and mean
@@ -35,8 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skywatch.functions.dates import lag_days, parse_month
+from skywatch.functions.ordering import bucket_steps, order_keys
 from skywatch.schema import SUMMARY_COLUMNS
-from skywatch.session import scratch_path
+from skywatch.session import Scratch, checkpoint_root, scratch_path
 
 DEFAULT_ACCURACY = 10000
 
@@ -81,10 +86,12 @@ def lower_median(
     name: str = "median_month_count",
     weight: str | None = None,
 ) -> DataFrame:
-    """Exact lower median of an integer ``col`` per ``key`` (NULL values ignored).
+    """Exact lower median of ``col`` per ``key`` (NULL values ignored).
 
     ``weight`` names a count column when ``df`` is already aggregated (each
-    row stands for that many rows); without it every row counts once.
+    row stands for that many rows); without it every row counts once. Any
+    numeric, date, timestamp or boolean column will do, and the median has its
+    type; text counts as the double it spells, and other text is ignored.
 
     The value at rank ceil(n / 2) of the n non-NULL values: what
     ``percentile_approx(col, 0.5)`` returns when its sketch is exact, and
@@ -95,28 +102,36 @@ def lower_median(
 
     1. histogram: count per (key, value), fixed-width and combined map-side,
        shuffled on (key, value), so a hot key spreads over its values;
-    2. for each 16 bits of the value but the last, from the top: the totals per
-       (key, these bits) among the values still in question; a window over a
-       key's buckets (at most 65,536 rows) finds the one bucket holding rank
-       ceil(n / 2) and the count before it (one such step for ``int``, three for
-       ``bigint``);
+    2. each value gets its order-preserving 64-bit key (``order_keys``). For each
+       16 bits of it but the last, from the top: the totals per (key, these bits)
+       among the values still in question; a window over a key's buckets (at
+       most 65,536 rows) finds the one bucket holding rank ceil(n / 2) and the
+       count before it (one such step for ``int`` and ``date``, three for 64 bits,
+       eight for decimals beyond that, with a checkpoint after every third);
     3. only that bucket's histogram rows (at most 65,536 values per key) are
        walked in value order to find the value where the count reaches it.
     """
-    kind = df.schema[col].dataType
-    if isinstance(kind, T.LongType):
-        shifts = (48, 32, 16)
-    elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
-        shifts = (16,)
-    else:
-        raise TypeError(f"lower_median needs an integer column, got {kind}")
-    value = F.col(col).cast("bigint")
+    value, kind = F.col(col), df.schema[col].dataType
+    if isinstance(kind, T.StringType):
+        value, kind = value.try_cast("double"), T.DoubleType()
+    keys = order_keys(F.col("_v"), kind)
     count = F.sum(weight) if weight else F.count(F.lit(1))
-    hist = df.where(value.isNotNull()).groupBy(key, value.alias("_v")).agg(count.alias("_n"))
+    hist = (
+        df.where(value.isNotNull())
+        .groupBy(key, value.alias("_v"))
+        .agg(count.alias("_n"))
+        .select(key, "_v", "_n", *(k.alias(f"_o{i}") for i, (k, _) in enumerate(keys)))
+    )
+    orders = [f"_o{i}" for i in range(len(keys))]
     per_key = Window.partitionBy(key)
     rank = None
-    for shift in shifts:
-        bucket = F.shiftright("_v", shift).alias("_hi")
+    for step, (place, shift) in enumerate(bucket_steps(keys)):
+        if step and step % 3 == 0:
+            # Each step uses the values twice; wide decimals take more steps than a plan should hold.
+            checkpoint_root(df.sparkSession)
+            hist = hist.checkpoint()
+        bits = F.shiftright(orders[place], shift)
+        bucket = bits.alias("_hi")
         if rank is None:
             buckets = hist.groupBy(key, bucket).agg(F.sum("_n").alias("_bn"))
             before, target = F.lit(0).cast("bigint"), F.ceil(F.sum("_bn").over(per_key) / F.lit(2))
@@ -134,10 +149,10 @@ def lower_median(
             .where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_bn")))
             .select(_JOIN_KEY, "_bucket", F.col("_before").alias("_base"), F.col("_rank").alias("_target"))
         )
-        hist = hist.select(key, "_v", "_n").join(
+        hist = hist.select(key, "_v", "_n", *orders).join(
             located,
-            F.col(key).eqNullSafe(F.col(_JOIN_KEY)) & (F.shiftright("_v", shift) == F.col("_bucket")),
-        ).select(key, "_v", "_n", "_base", "_target")
+            F.col(key).eqNullSafe(F.col(_JOIN_KEY)) & (bits == F.col("_bucket")),
+        ).select(key, "_v", "_n", *orders, "_base", "_target")
         rank = "_target"
     cumulative = F.col("_base") + F.sum("_n").over(Window.partitionBy(key).orderBy("_v"))
     return (
@@ -186,6 +201,7 @@ def summarize(
     rsd: float | None = None,
     accuracy: int | None = None,
     median: str = "exact",
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Group by ``key`` and compute the six summary columns (key first).
 
@@ -194,14 +210,19 @@ def summarize(
     limit). They are equal whenever the sketch is exact. The exact form
     materialises a small base aggregate, so it runs a job when called; the
     approximate form is lazy. ``approx_distinct``, ``rsd`` and ``accuracy`` belong
-    to the approximate form and are refused with the exact one.
+    to the approximate form and are refused with the exact one. The base lies
+    in ``scratch``, which removes it, or stays where none is given, because the
+    returned frame reads it.
     """
     if median not in ("approx", "exact"):
         raise ValueError(f"median must be 'approx' or 'exact', got {median!r}")
     if median == "exact":
         if approx_distinct or rsd is not None or accuracy is not None:
             raise ValueError("approx_distinct, rsd and accuracy need median='approx'")
-        return _summarize_exact(df, key, date_col, chronological)
+        if key in ("month_count", date_col, "city", "shape"):
+            raise ValueError(f"the exact median summary cannot be keyed by an input column it aggregates: {key!r}")
+        cells = store_cells(report_cells(df, key, date_col), scratch)
+        return summarize_cells(cells.withColumnRenamed("_key", key), key, chronological)
     values = value_columns(
         date_col=date_col, chronological=chronological, accuracy=DEFAULT_ACCURACY if accuracy is None else accuracy
     )
@@ -213,63 +234,79 @@ def summarize(
     return out.select(key, *_ORDER)
 
 
-def _summarize_exact(df: DataFrame, key: str, date_col: str, chronological: bool) -> DataFrame:
-    """Summary with the exact median, from one scan and one fixed-width base.
+#: Columns of the base: the key, what a cell holds, and how often. ``_kind``: 0 for (month text,
+#: month_count) with the lag, 1 for a city, 2 for a shape.
+CELL_KEYS = ("_key", "_kind", "_s", "_i")
+CELL_SUMS = ("_rows", "_lag_sum", "_lag_n")
+
+
+def report_cells(df: DataFrame, key: str, date_col: str = "date") -> DataFrame:
+    """The base of a summary: deduplicated cells of the reports by ``key`` (as ``_key``).
 
     Each row becomes three cells: (0, month text, month_count) carrying the
     lag, (1, city) and (2, shape). One hash aggregate per (key, kind, text,
     value) with a row count, lag sum and lag count deduplicates them all:
     fixed-width buffers, combined map-side, a hot key spread over its
-    values. The base is written once under the checkpoint folder (so this
-    function runs one job when called), and everything else reads it: one
-    aggregate by key for extremes, mean and distinct counts, and the median
-    histogram from kind 0.
+    values. Lazy; text in ``month_count`` counts as the double it spells.
     """
-    if key in ("month_count", date_col, "city", "shape"):
-        raise ValueError(f"the exact median summary cannot be keyed by an input column it aggregates: {key!r}")
-    kind = df.schema["month_count"].dataType
-    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        raise TypeError("the exact median needs an integer month_count; use median='approx'")
-    number = "bigint" if isinstance(kind, T.LongType) else "int"
+    value, kind = F.col("month_count"), df.schema["month_count"].dataType
+    if isinstance(kind, T.StringType):
+        value, kind = value.try_cast("double"), T.DoubleType()
     lag = lag_days("report_date", "posted_date")
 
-    def cell(kind: int, text, value, lag_value):
+    def cell(number: int, text: str, value, lag_value):
         return F.struct(
-            F.lit(kind).alias("_kind"),
-            F.col(text).alias("_s") if isinstance(text, str) else text.alias("_s"),
-            value.cast(number).alias("_i"),
+            F.lit(number).alias("_kind"),
+            F.col(text).cast("string").alias("_s"),
+            value.cast(kind).alias("_i"),
             lag_value.cast("int").alias("_lag"),
         )
 
     none = F.lit(None)
     cells = F.explode(
-        F.array(
-            cell(0, date_col, F.col("month_count"), lag),
-            cell(1, "city", none, none),
-            cell(2, "shape", none, none),
-        )
+        F.array(cell(0, date_col, value, lag), cell(1, "city", none, none), cell(2, "shape", none, none))
     ).alias("_cell")
-    base = (
-        df.select(key, cells)
-        .select(key, "_cell.*")
-        .groupBy(key, "_kind", "_s", "_i")
+    return (
+        df.select(F.col(key).alias("_key"), cells)
+        .select("_key", "_cell.*")
+        .groupBy(*CELL_KEYS)
         .agg(
             F.count(F.lit(1)).alias("_rows"),
             F.sum("_lag").alias("_lag_sum"),
             F.count("_lag").alias("_lag_n"),
         )
     )
-    spark = df.sparkSession
-    path = scratch_path(spark, "summary-base")
-    base.write.mode("overwrite").parquet(path)
-    base = spark.read.parquet(path)
 
+
+def merge_cells(cells: DataFrame) -> DataFrame:
+    """Cells of several loads as those of all their reports: equal cells are added up."""
+    return cells.groupBy(*CELL_KEYS).agg(*(F.sum(c).alias(c) for c in CELL_SUMS))
+
+
+def store_cells(cells: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Write the base once under the checkpoint folder; everything else reads that copy."""
+    spark = cells.sparkSession
+    path = scratch.path("summary-base") if scratch else scratch_path(spark, "summary-base")
+    cells.write.mode("overwrite").parquet(path)
+    return spark.read.schema(cells.schema).parquet(path)
+
+
+def summarize_cells(cells: DataFrame, key: str, chronological: bool = False) -> DataFrame:
+    """The summary from stored cells with a ``key`` column: one aggregate by key for extremes, mean
+    and distinct counts, and the median histogram from kind 0.
+
+    Cells may repeat (a base keyed by month text has a city once for each month of a year), so the
+    distinct counts deduplicate again, on (key, kind, text).
+    """
+    kind = cells.schema["_i"].dataType
     is_report = F.col("_kind") == 0
-    text = F.when(is_report, F.col("_s"))
+    per_text = cells.groupBy(key, "_kind", "_s").agg(
+        F.sum("_lag_sum").alias("_lag_sum"), F.sum("_lag_n").alias("_lag_n")
+    )
     max_date, min_date = month_extremes("_t", chronological)
     lag_n = F.sum("_lag_n")
     per_key = (
-        base.withColumn("_t", text)
+        per_text.withColumn("_t", F.when(is_report, F.col("_s")))
         .groupBy(key)
         .agg(
             max_date.alias("max_date"),
@@ -279,7 +316,7 @@ def _summarize_exact(df: DataFrame, key: str, date_col: str, chronological: bool
             F.count(F.when(F.col("_kind") == 2, F.col("_s"))).alias("unique_shapes"),
         )
     )
-    median = lower_median(base.where(is_report), key, "_i", "median_month_count", weight="_rows").withColumn(
+    median = lower_median(cells.where(is_report), key, "_i", "median_month_count", weight="_rows").withColumn(
         "median_month_count", F.col("median_month_count").cast(kind)
     )
     return _join_on_key(per_key, median, key, "left").select(key, *_ORDER)

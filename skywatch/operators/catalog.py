@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from skywatch.session import hadoop_path
+
 
 def quote_ident(name: str) -> str:
     """Backtick-quote each part of a possibly qualified identifier."""
@@ -41,6 +43,11 @@ def create_database(
     return name
 
 
+def database_location(spark: SparkSession, name: str) -> str:
+    """The folder in which a database's tables are."""
+    return spark.catalog.getDatabase(name).locationUri.rstrip("/")
+
+
 def use_database(spark: SparkSession, name: str) -> None:
     """USE name (changes the session's current database)."""
     spark.catalog.setCurrentDatabase(name)
@@ -89,10 +96,16 @@ def describe_table(spark: SparkSession, table: str) -> DataFrame:
 STREAM_LOG_DIR = "_spark_metadata"
 
 
+def table_detail(spark: SparkSession, table: str, name: str) -> str | None:
+    """One line of DESCRIBE TABLE EXTENDED (``Location``, ``Provider``), below the columns."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quote_ident(table)}").collect()
+    below = [r for k, r in enumerate(rows) if any(x["col_name"] == "# Detailed Table Information" for x in rows[:k])]
+    return next((r["data_type"] for r in below if r["col_name"] == name), None)
+
+
 def table_location(spark: SparkSession, table: str) -> str | None:
-    """Storage location of a table (from DESCRIBE TABLE EXTENDED)."""
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quote_ident(table)}").where("col_name = 'Location'").take(1)
-    return rows[0]["data_type"] if rows else None
+    """Storage location of a table."""
+    return table_detail(spark, table, "Location")
 
 
 def is_stream_owned(spark: SparkSession, table: str) -> bool:
@@ -100,13 +113,14 @@ def is_stream_owned(spark: SparkSession, table: str) -> bool:
 
     Such a folder holds the sink's commit log, and every read of it lists
     only the files in that log, so rows written by a batch insert would be
-    invisible. Batch inserts check this first.
+    invisible. Batch inserts check this first. A session that cannot look
+    (Spark Connect) gets an error rather than a wrong answer.
     """
     loc = table_location(spark, table)
     if not loc:
         return False
-    jvm = getattr(spark, "_jvm", None)
-    if jvm is None:  # Spark Connect: cannot tell, do not block
-        return False
-    path = jvm.org.apache.hadoop.fs.Path(loc.rstrip("/") + "/" + STREAM_LOG_DIR)
-    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
+    found = hadoop_path(spark, loc.rstrip("/") + "/" + STREAM_LOG_DIR)
+    if found is None:
+        raise RuntimeError(f"this session cannot tell whether a stream writes {table}; insert from a session with a SparkContext")
+    system, path = found
+    return bool(system.exists(path))

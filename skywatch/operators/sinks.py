@@ -5,37 +5,28 @@ Write modes:
 * ``append`` adds files (a rerun duplicates rows, as a plain load does);
 * ``overwrite`` replaces the whole output;
 * ``overwrite`` with ``dynamic=True`` replaces only the partitions present in
-  the new data, which makes partial reloads idempotent. Path writes take it
-  as a writer option. An insert into a catalog table reads it only from the
-  session, so it is set there for the duration of that one insert and then
-  restored (another job running on the same session meanwhile would see it).
+  the new data, which makes partial reloads idempotent.
+
+The overwrite mode is always an option of the one write. An insert into a
+partitioned catalog table would read it from the session, where every job of
+the session sees it; so such an overwrite writes to the table's location with
+the option and then brings the catalog's list of partitions up to date. Two
+overwrites on one session can run side by side, and no session default can turn
+a full replace into a partial one or the reverse.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skywatch.operators.catalog import is_stream_owned
+from skywatch.operators.catalog import is_stream_owned, quote_ident, table_detail
 
-_DYNAMIC = ("partitionOverwriteMode", "dynamic")
-_SESSION_OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
-
-
-@contextmanager
-def _session_setting(spark, key: str, value: str) -> Iterator[None]:
-    previous = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if previous is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, previous)
+_OVERWRITE_MODE = "partitionOverwriteMode"
+_DYNAMIC = (_OVERWRITE_MODE, "dynamic")
 
 
 def _keys(partition_by: str | Sequence[str] | None) -> list[str]:
@@ -143,22 +134,75 @@ def insert_into(
 
     For a partitioned table the partition columns must come last in ``df``;
     their values pick the directory of each row (dynamic partitioning).
-    ``balance`` rebalances row-level data on the partition key first.
+    ``balance`` rebalances row-level data on the partition key first. ``dynamic``
+    says whether an overwrite replaces only the partitions that ``df`` has rows for.
     """
     _refuse_stream_owned(df.sparkSession, table)
     keys = _keys(partition_by)
     if balance:
         df = rebalance(df, keys)
-    if overwrite:
-        # Pin the mode either way, so a session default cannot turn a full
-        # replace into a partial one or the reverse.
-        with _session_setting(df.sparkSession, _SESSION_OVERWRITE_MODE, "dynamic" if dynamic else "static"):
-            df.write.insertInto(table, overwrite=True)
+    if overwrite and partition_columns(df.sparkSession, table):
+        _overwrite_partitions(df, table, dynamic)
     else:
-        df.write.insertInto(table, overwrite=False)
+        df.write.insertInto(table, overwrite=overwrite)
     return table
 
 
+def partition_columns(spark, table: str) -> list[str]:
+    """Partition columns of a catalog table, in order."""
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
+# Widening that loses nothing: what an insert by position may do on its own.
+_WIDER = {
+    "tinyint": {"smallint", "int", "bigint", "float", "double"},
+    "smallint": {"int", "bigint", "float", "double"},
+    "int": {"bigint", "double"},
+    "float": {"double"},
+    "date": {"timestamp"},
+    "void": None,
+}
+
+
+def _aligned(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the table's column names and types, by position; other types are refused."""
+    if len(df.columns) != len(schema.fields):
+        raise ValueError(f"{len(df.columns)} columns for a table of {len(schema.fields)}")
+    out = []
+    for have, want in zip(df.schema.fields, schema.fields):
+        old, new = have.dataType.simpleString(), want.dataType.simpleString()
+        if old != new and (old not in _WIDER or (_WIDER[old] is not None and new not in _WIDER[old])):
+            raise TypeError(f"cannot insert {old} {have.name!r} into {new} column {want.name!r}")
+        out.append(F.col(quote_ident_part(have.name)).cast(want.dataType).alias(want.name))
+    return df.select(*out)
+
+
+def quote_ident_part(name: str) -> str:
+    """One column name, quoted whole (a dot in it is no field access)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _overwrite_partitions(df: DataFrame, table: str, dynamic: bool) -> None:
+    spark = df.sparkSession
+    location, provider = table_detail(spark, table, "Location"), table_detail(spark, table, "Provider")
+    if not location or not provider:
+        raise ValueError(f"{table} has no location or format to overwrite")
+    base = location.rstrip("/") + "/"
+    if any(_plain(f).startswith(_plain(base)) for f in df.inputFiles()):
+        raise ValueError(f"cannot overwrite {table} with rows read from it; materialise them first")
+    rows = _aligned(df, spark.table(table).schema)
+    writer = rows.write.format(provider.lower()).mode("overwrite").partitionBy(*partition_columns(spark, table))
+    writer.option(_OVERWRITE_MODE, "dynamic" if dynamic else "static").save(location)
+    # Partitions that the write made are added to the catalog; after a full replace, those gone are dropped.
+    spark.sql(f"MSCK REPAIR TABLE {quote_ident(table)} {'ADD' if dynamic else 'SYNC'} PARTITIONS")
+    spark.catalog.refreshTable(table)
+
+
+def _plain(path: str) -> str:
+    """A path without its scheme's empty authority: ``file:///a`` and ``file:/a`` are one."""
+    return path.replace(":///", ":/")
+
+
 def show_preview(df: DataFrame, n: int = 20, truncate: bool = True) -> None:
     """Print the first ``n`` rows (console preview; not part of any result)."""
     df.show(n, truncate=truncate)

@@ -11,8 +11,9 @@ Reruns: ``mode="append"`` appends in both steps, as the reference does: a
 rerun appends the file to the raw table again and then inserts the whole
 (now doubled) raw table, so the partitioned table holds three copies.
 ``mode="overwrite"`` replaces the raw table and the partitioned table, so a
-rerun gives the same tables. For files that arrive over time, the stream in
-``skywatch.streaming`` appends each file exactly once.
+rerun gives the same tables. For files that arrive over time, ``load_new_files``
+does both steps exactly once for each file, also when a run dies between or
+within them; the stream in ``skywatch.streaming`` feeds a raw table alone.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import types as T
 
 from skywatch.functions.dates import year_of_month_text
 from skywatch.operators.aggregates import row_count
-from skywatch.operators.catalog import create_database, create_table, describe_table, list_partitions
+from skywatch.operators.catalog import create_database, create_table, database_location, describe_table, list_partitions
+from skywatch.operators.ledger import Ledger, Load
 from skywatch.operators.sinks import insert_into
 from skywatch.operators.transforms import project_columns, split_not_null
 from skywatch.schema import raw_table_schema, sighting_schema
@@ -137,6 +139,57 @@ def load_and_partition(
     return LoadResult(raw, part, list_partitions(spark, part), rejected)
 
 
+LOAD_ID = "load_id"
+
+
+def load_new_files(
+    spark: SparkSession,
+    input_path: str | list[str],
+    database: str,
+    *,
+    raw_table: str = "sightings_raw",
+    partitioned_table: str = "sightings_by_month_count",
+    partition_col: str = "month_count",
+    sep: str = ",",
+    location: str | None = None,
+) -> LoadResult:
+    """The load job, exactly once for each file (see ``operators.ledger``).
+
+    Both tables have one more partition column, ``load_id``. The files under
+    ``input_path`` that no load has are planned in the database's ledger; their
+    rows replace the load's own partitions of the raw table and, read back from
+    there, those of the partitioned table; then the load is marked whole. A run
+    that died is finished first, with the files it had planned, so its rows are
+    there once whatever step it had come to. ``rejected`` are the raw rows, of
+    all loads, without a partition value.
+    """
+    create_database(spark, database, location=location)
+    raw, part = f"{database}.{raw_table}", f"{database}.{partitioned_table}"
+    schema = T.StructType([*raw_table_schema().fields, T.StructField(LOAD_ID, T.StringType())])
+    create_table(spark, raw, schema, partition_by=[LOAD_ID])
+    body = partitioned_schema(raw_table_schema(), partition_col).fields
+    keyed = T.StructType([*body[:-1], T.StructField(LOAD_ID, T.StringType()), body[-1]])
+    create_table(spark, part, keyed, partition_by=[LOAD_ID, partition_col])
+    ledger = Ledger(spark, f"{database_location(spark, database)}/_load_ledger")
+
+    def take(load: Load) -> None:
+        rows = read_delimited(spark, list(load.files), raw_table_schema(), sep).withColumn(LOAD_ID, F.lit(load.load_id))
+        insert_into(rows, raw, overwrite=True, dynamic=True, balance=False)
+        loaded = read_table(spark, raw).where(F.col(LOAD_ID) == load.load_id)
+        kept, _ = split_not_null(loaded, partition_col)
+        names = [f.name for f in keyed.fields]
+        insert_into(kept.select(*names), part, overwrite=True, dynamic=True, partition_by=[LOAD_ID, partition_col])
+        ledger.finish(load)
+
+    for load in ledger.unfinished():
+        take(load)
+    load = ledger.plan(input_path)
+    if load is not None:
+        take(load)
+    _, rejected = split_not_null(read_table(spark, raw), partition_col)
+    return LoadResult(raw, part, list_partitions(spark, part), rejected)
+
+
 def inspect_and_partition_by_year(
     spark: SparkSession,
     input_path: str | list[str],
@@ -185,5 +238,6 @@ __all__ = [
     "insert_partitioned",
     "load_and_partition",
     "load_file_into_table",
+    "load_new_files",
     "partitioned_schema",
 ]

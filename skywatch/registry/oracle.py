@@ -127,6 +127,39 @@ SELECT {key},
 FROM keyed GROUP BY {key}"""
 
 
+def _aggregates(key: str, source: str = "keyed") -> str:
+    return f"""SELECT {key},
+  max("date") AS max_date, min("date") AS min_date,
+  count(DISTINCT city) AS unique_cities, count(DISTINCT shape) AS unique_shapes,
+  quantile_disc(month_count, 0.5) AS median_month_count, avg(days_diff) AS avg_days_diff
+FROM {source} GROUP BY {key.rsplit(' AS ', 1)[0]}"""
+
+
+def _spans() -> str:
+    """Summaries by year, two years and ten, one below the other."""
+    parts = []
+    for width in (1, 2, 10):
+        parts.append(
+            f"SELECT CAST({width} AS INTEGER) AS width, * FROM ("
+            + _aggregates("start_year", f"(SELECT *, CAST((year // {width}) * {width} AS INTEGER) AS start_year FROM keyed)")
+            + ")"
+        )
+    return _keyed(" UNION ALL ".join(parts))
+
+
+# Counts in quarters: a double column.
+_QUARTERS = "quarters AS (SELECT * REPLACE (CAST(month_count AS DOUBLE) / 4 AS month_count) FROM keyed)"
+
+# The dated export: month and day texts as dates, one header line, text rules for the count.
+_DATED = f"""
+dated AS (
+  SELECT details, {_month('"date"')} AS "date", coalesce(city, '') AS city, state, country, coalesce(shape, '') AS shape, summary,
+    {_day('report_date')} AS report_date, {_day('posted_date')} AS posted_date, month_count, {_year('"date"')} AS year FROM reports
+  UNION ALL
+  SELECT 'details', NULL, 'city', 'state', 'country', 'shape', 'summary', NULL, NULL, NULL, NULL
+)"""
+
+
 def _keyed(select: str) -> str:
     return _with(_REPORTS, _KEYED) + select
 
@@ -170,6 +203,9 @@ def oracle_sql() -> dict[str, str]:
         "biennial_summary": _summary("year_group"),
         "biennial_summary_chronological": _summary("year_group", chronological=True),
         "biennial_summary_chronological_exact_median": _summary("year_group", chronological=True),
+        "annual_summary_fractional_counts": _with(_REPORTS, _KEYED, _QUARTERS) + _aggregates("year", "quarters"),
+        "summaries_of_one_scan": _spans(),
+        "incremental_summary": _summary("year"),
         "summary_by_state": _summary("state"),
         "parse_month": _keyed('SELECT details, "date", month, year FROM keyed'),
         "parse_day": _keyed("SELECT details, report_day, posted_day FROM keyed"),
@@ -195,6 +231,13 @@ def oracle_sql() -> dict[str, str]:
         "biennial_csv_roundtrip": _summary("year_group"),
         "median_of_wide_column": "SELECT l_returnflag AS flag, "
         "quantile_disc(CAST(l_orderkey * 1000003 * (l_linenumber - 3) AS BIGINT), 0.5) AS median_value FROM lineitem GROUP BY 1",
+        "median_of_doubles": "SELECT l_returnflag AS flag, "
+        "quantile_disc(l_extendedprice * (l_linenumber - 3), 0.5) AS median_value FROM lineitem GROUP BY 1",
+        "median_of_dates": "SELECT l_linenumber AS line, quantile_disc(CAST(l_shipdate AS DATE), 0.5) AS median_day "
+        "FROM lineitem GROUP BY 1",
+        "median_of_wide_decimals": "SELECT l_returnflag AS flag, "
+        "CAST(quantile_disc(CAST(l_orderkey * (l_linenumber - 3) AS HUGEINT) * 1000000000039, 0.5) AS VARCHAR) AS median_value "
+        "FROM lineitem GROUP BY 1",
         "describe_table": _raw_select(
             ",",
             "SELECT col_name, data_type, CAST(NULL AS VARCHAR) AS comment, (SELECT count(*) FROM raw) AS table_rows FROM (VALUES "
@@ -211,7 +254,15 @@ def oracle_sql() -> dict[str, str]:
         # table again and inserts the whole (doubled) raw table: 3 copies.
         "load_rerun_append": _raw_select(",", " UNION ALL ".join([_PARTITIONED] * 3)),
         "load_rerun_overwrite": _raw_select(",", _PARTITIONED),
+        "load_new_files": _raw_select(",", _PARTITIONED),
+        "partial_reload": _raw_select(
+            ",",
+            f"SELECT * FROM ({_PARTITIONED}) WHERE month_count < 9 UNION ALL "
+            "SELECT details, \"date\", coalesce(city, ''), state, country, coalesce(shape, ''), 'corrected', report_date, "
+            "coalesce(posted_date, ''), month_count FROM reports WHERE month_count >= 9",
+        ),
         "partitioned_insert_by_year": _BY_YEAR,
+        "partitioned_insert_by_year_dated": _with(_REPORTS, _DATED) + "SELECT * FROM dated",
         "list_partitions": _raw_select(
             ",",
             "SELECT DISTINCT 'month_count=' || CAST(month_count AS VARCHAR) AS partition "

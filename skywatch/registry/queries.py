@@ -29,16 +29,20 @@ from skywatch.operators import (
 )
 from skywatch.operators.aggregates import lower_median, month_extremes
 from skywatch.plans import (
+    SummaryStore,
+    SummaryTarget,
     annual_summary as annual_job,
     biennial_summary as biennial_job,
     inspect_and_partition_by_year,
     load_and_partition,
+    load_new_files as load_new_files_job,
     summarize_reports,
     summary_from_table,
+    summary_jobs,
 )
 from skywatch.plans.load import load_file_into_table
 from skywatch.operators.catalog import create_table
-from skywatch.schema import raw_table_schema, sighting_schema, summary_csv_schema
+from skywatch.schema import dated_schema, raw_table_schema, sighting_schema, summary_csv_schema
 from skywatch.session import scratch_path, unique_name
 from skywatch.sources import read_csv, read_delimited, read_table, sightings_from_orders
 from skywatch.sources.frames import write_report_csv, write_report_text
@@ -141,6 +145,47 @@ def annual_summary_from_raw_table(spark: SparkSession, sf_dir: str) -> DataFrame
     return summary_from_table(spark, raw, "year", summary_table=f"{db}.annual_from_raw")
 
 
+def annual_summary_fractional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annual job on counts with fractions: inference makes the column double, and so is its median."""
+    reports = _reports(spark, sf_dir).withColumn("month_count", F.col("month_count") / 4)
+    path = write_report_csv(reports, scratch_path(spark, "reports-csv"))
+    return annual_job(spark, path, table=f"{_database(spark)}.annual_summary")
+
+
+def summaries_of_one_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual, biennial and decade summaries, each to its table, from one scan and one base."""
+    db = _database(spark)
+    spans = (("year", 1), ("year_group", 2), ("year_group", 10))
+    targets = [SummaryTarget(key, width, table=f"{db}.by_{width}") for key, width in spans]
+    made = summary_jobs(spark, _report_csv(spark, sf_dir), targets, schema=sighting_schema())
+    parts = [
+        df.select(F.lit(width).alias("width"), F.col(key).alias("start_year"), *(c for c in df.columns if c != key))
+        for (key, width), df in zip(spans, made)
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _arrivals(spark: SparkSession, sf_dir: str, write: Callable[[DataFrame, str], str]) -> list[str]:
+    """The reports as three arrivals, by the order of their keys: each report is in one of them."""
+    reports = _reports(spark, sf_dir)
+    arrival = F.pmod(F.substring("details", 2, 20).cast("bigint"), F.lit(3))
+    landing = scratch_path(spark, "landing")
+    return [write(reports.where(arrival == k), f"{landing}/arrival-{k}") for k in range(3)]
+
+
+def incremental_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary store fed by three arrivals, compacted after two, equals the summary of all reports."""
+    store = SummaryStore(spark, scratch_path(spark, "summary-store"))
+    first, second, third = _arrivals(spark, sf_dir, write_report_csv)
+    store.add(first)
+    store.add([first, second])
+    store.compact()
+    store.add([first, second, third])
+    store.add([first, second, third])
+    (summary,) = store.publish([SummaryTarget("year", table=f"{_database(spark)}.annual_summary")])
+    return summary
+
+
 # -- scalar functions ------------------------------------------------------------
 
 
@@ -213,6 +258,28 @@ def median_of_wide_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lower_median(wide, "flag", "value", "median_value")
 
 
+def median_of_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact median of a double column, negatives and zeros included."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    value = F.col("l_extendedprice") * (F.col("l_linenumber") - 3)
+    return lower_median(items.select(F.col("l_returnflag").alias("flag"), value.alias("value")), "flag", "value", "median_value")
+
+
+def median_of_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact median of a date column."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    dated = items.select(F.col("l_linenumber").alias("line"), F.col("l_shipdate").cast("date").alias("day"))
+    return lower_median(dated, "line", "day", "median_day")
+
+
+def median_of_wide_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact median of decimals beyond 64 bits (as text, whose form both engines share)."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    value = (F.col("l_orderkey") * (F.col("l_linenumber") - 3)).cast("decimal(24,0)") * F.lit(10**12 + 39).cast("decimal(13,0)")
+    wide = items.select(F.col("l_returnflag").alias("flag"), value.cast("decimal(36,0)").alias("value"))
+    return lower_median(wide, "flag", "value", "median_value").withColumn("median_value", F.col("median_value").cast("string"))
+
+
 def avg_lag_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_year(spark, sf_dir).agg(F.avg(lag_days("report_date", "posted_date")).alias("avg_days_diff"))
 
@@ -298,6 +365,40 @@ def load_rerun_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, res.partitioned_table)
 
 
+def load_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load job fed by three arrivals, run again after each: every report is there once."""
+    db, seen = _database(spark), []
+    for path in _arrivals(spark, sf_dir, write_report_text):
+        seen.append(path)
+        for _ in range(2):
+            res = load_new_files_job(spark, list(seen), db)
+    table = read_table(spark, res.partitioned_table)
+    return table.select(*(c for c in table.columns if c != "load_id"))
+
+
+def partial_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second file, of corrected reports of a few month counts, replaces those partitions alone."""
+    db = _database(spark)
+    load_and_partition(spark, _report_text(spark, sf_dir, ","), db, mode="overwrite")
+    corrected = _reports(spark, sf_dir).where(F.col("month_count") >= 9).withColumn("summary", F.lit("corrected"))
+    path = write_report_text(corrected, scratch_path(spark, "reports-text"), sep=",")
+    res = load_and_partition(spark, path, db, mode="overwrite", dynamic=True)
+    return read_table(spark, res.partitioned_table)
+
+
+def partitioned_insert_by_year_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hand-run variant with DATE columns: yyyy-MM-dd text, the year from the date itself."""
+    reports = _reports(spark, sf_dir)
+    iso = {
+        "date": F.date_format(parse_month("date"), "yyyy-MM-dd"),
+        "report_date": F.date_format(parse_day("report_date"), "yyyy-MM-dd"),
+        "posted_date": F.date_format(parse_day("posted_date"), "yyyy-MM-dd"),
+    }
+    path = write_report_text(reports.withColumns(iso), scratch_path(spark, "reports-text"), sep="|")
+    res = inspect_and_partition_by_year(spark, path, _database(spark), sep="|", schema=dated_schema())
+    return read_table(spark, res.partitioned_table)
+
+
 def partitioned_insert_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = inspect_and_partition_by_year(spark, _report_text(spark, sf_dir, "|"), _database(spark), sep="|")
     return read_table(spark, res.partitioned_table)
@@ -368,6 +469,9 @@ QUERIES: dict[str, Query] = {
     "biennial_summary": biennial_summary,
     "biennial_summary_chronological": biennial_summary_chronological,
     "biennial_summary_chronological_exact_median": biennial_summary_chronological_exact_median,
+    "annual_summary_fractional_counts": annual_summary_fractional_counts,
+    "summaries_of_one_scan": summaries_of_one_scan,
+    "incremental_summary": incremental_summary,
     "summary_by_state": summary_by_state,
     "parse_month": parse_month_text,
     "parse_day": parse_day_text,
@@ -377,6 +481,9 @@ QUERIES: dict[str, Query] = {
     "distinct_by_year": distinct_by_year,
     "median_by_year": median_by_year,
     "median_of_wide_column": median_of_wide_column,
+    "median_of_doubles": median_of_doubles,
+    "median_of_dates": median_of_dates,
+    "median_of_wide_decimals": median_of_wide_decimals,
     "avg_lag_by_year": avg_lag_by_year,
     "row_count": row_count_raw_table,
     "project_columns": project_columns_partition_last,
@@ -391,7 +498,10 @@ QUERIES: dict[str, Query] = {
     "partitioned_insert": partitioned_insert,
     "load_rerun_append": load_rerun_append,
     "load_rerun_overwrite": load_rerun_overwrite,
+    "load_new_files": load_new_files,
+    "partial_reload": partial_reload,
     "partitioned_insert_by_year": partitioned_insert_by_year,
+    "partitioned_insert_by_year_dated": partitioned_insert_by_year_dated,
     "list_partitions": list_table_partitions,
     "list_year_partitions": list_year_partitions,
     "table_roundtrip": table_roundtrip,

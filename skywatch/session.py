@@ -66,6 +66,49 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_root(spark)}/skywatch/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) objects of Spark's own file access; None where the session has no JVM at hand."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:  # Spark Connect
+        return None
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of this library; False where the session has no way to (Spark Connect)."""
+    found = hadoop_path(spark, path)
+    if found is None:
+        return False
+    system, where = found
+    system.delete(where, True)
+    return True
+
+
+class Scratch:
+    """The scratch folders of one job, removed when it ends, also when it fails.
+
+    A job keeps its intermediate tables here until its results are durable. Frames that read a folder
+    must not be used after the block. A run that is killed leaves its folders behind; each has a name
+    of its own, so no later run reads them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def path(self, tag: str) -> str:
+        self.paths.append(scratch_path(self.spark, tag))
+        return self.paths[-1]
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.paths:
+            remove_path(self.spark, self.paths.pop())
+
+
 def unique_name(prefix: str) -> str:
     """A catalog-safe unique identifier (lower case, no dashes)."""
     return f"{prefix}_{uuid.uuid4().hex[:12]}"

@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB oracle, on the smallest tables."""
+"""Every registered report query against its DuckDB oracle, on the smallest tables."""
 
 import os
 import sys
@@ -9,9 +9,10 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as entry  # noqa: E402
 from check_oracles import compare, duckdb_views  # noqa: E402
+from skywatch.registry import oracle_sql  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
+ORACLES = oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -1,14 +1,22 @@
 """Brute-force checks of the summary on generated rows."""
 
+import datetime
+import math
+import random
 import statistics
+import struct
 from collections import defaultdict
 from datetime import date
+from decimal import Decimal
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skywatch import summarize_reports
+from skywatch.functions.ordering import double_key
+from skywatch.operators.aggregates import lower_median
 from skywatch.schema import sighting_schema
 
 months = st.one_of(
@@ -189,13 +197,72 @@ def test_lower_median_hot_key_many_buckets(spark):
     assert got == _lower_median_brute(pairs)
 
 
-def test_lower_median_rejects_non_integer(spark):
-    import pytest
-
-    from skywatch.operators.aggregates import lower_median
-
+EXTREME = [0.0, -0.0, 1.0, -1.0, 1.5, 4.5, 1e308, -1e308, 1.7976931348623157e308, 5e-324, -5e-324, 2.2250738585072014e-308]
+EXTREME += [2.225073858507201e-308, float("inf"), float("-inf"), float("nan"), 0.1, 0.30000000000000004, 2.0**1023, 2.0**-1022]
+EXTREME += [x for e in (-1074, -1000, -52, -1, 0, 1, 52, 53, 1000, 1023) for x in (2.0**e, math.nextafter(2.0**e, 0.0), math.nextafter(2.0**e, 2.0**1023))]
+
+
+def _bits(x):
+    """The order key of a double from its actual bits."""
+    if x != x:
+        return (0x7FF << 52) + 1
+    bits = struct.unpack(">q", struct.pack(">d", abs(x)))[0]
+    return -bits if x < 0 else bits
+
+
+def test_double_keys_are_the_bits_of_the_doubles(spark):
+    rng = random.Random(9)
+    values = EXTREME + [-x for x in EXTREME] + [struct.unpack(">d", rng.randbytes(8))[0] for _ in range(3000)]
+    values += [rng.gauss(0, 1) * 10 ** rng.randrange(-20, 20) for _ in range(1000)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    got = {r.i: r.k for r in df.select("i", double_key(F.col("v")).alias("k")).collect()}
+    wrong = [(values[i], k) for i, k in got.items() if k != _bits(values[i])]
+    assert not wrong, wrong[:5]
+
+
+def _lower(values, key=None):
+    present = sorted((v for v in values if v is not None), key=key)
+    return present[(len(present) - 1) // 2] if present else None
+
+
+ORDERED = {
+    "double": (lambda r: r.choice([None, r.gauss(0, 5), float(r.randrange(4)), 1e300 * r.random(), -5e-324]), None),
+    "float": (lambda r: r.choice([None, float(r.randrange(-9, 9)) / 4]), None),
+    "smallint": (lambda r: r.choice([None, r.randrange(-300, 300)]), None),
+    "bigint": (lambda r: r.randrange(-(2**63), 2**63), None),
+    "boolean": (lambda r: r.choice([None, True, False]), None),
+    "date": (lambda r: datetime.date(1, 1, 1) + datetime.timedelta(r.randrange(3_000_000)), None),
+    "timestamp": (lambda r: datetime.datetime(1950, 1, 1) + datetime.timedelta(microseconds=r.randrange(10**16)), None),
+    "timestamp_ntz": (lambda r: datetime.datetime(1950, 1, 1) + datetime.timedelta(microseconds=r.randrange(10**16)), None),
+    "decimal(9,3)": (lambda r: Decimal(r.randrange(-(10**9) + 1, 10**9)).scaleb(-3), None),
+    "decimal(18,18)": (lambda r: Decimal(r.randrange(-(10**18) + 1, 10**18)).scaleb(-18), None),
+    "decimal(20,0)": (lambda r: Decimal(r.randrange(-(10**20) + 1, 10**20)), None),
+    "decimal(38,10)": (lambda r: Decimal(r.choice([r.randrange(-(10**38) + 1, 10**38), r.randrange(-9, 9)])).scaleb(-10), None),
+    "decimal(38,38)": (lambda r: Decimal(r.randrange(-(10**38) + 1, 10**38)).scaleb(-38), None),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(ORDERED))
+def test_lower_median_of_every_ordered_type(spark, kind):
+    rng = random.Random(kind)
+    make, _ = ORDERED[kind]
+    rows = [(rng.choice([None, 1, 2, 2, 2, 2]), make(rng)) for _ in range(500)] + [(3, None), (4, make(rng))]
+    df = spark.createDataFrame(rows, f"k int, v {kind}").repartition(4)
+    out = lower_median(df, "k", "v", "m")
+    assert out.schema["m"].dataType.simpleString() == kind
+    want = {k: _lower(v for key, v in df.collect() if key == k) for k in {r[0] for r in rows}}
+    assert {r.k: r.m for r in out.collect()} == {k: v for k, v in want.items() if v is not None}
+
+
+def test_lower_median_of_nan_text_and_other_types(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, nan), (1, 1.0), (1, nan), (2, 2.0), (2, float("inf")), (2, nan)], "k int, v double")
+    got = {r.k: r.m for r in lower_median(df, "k", "v", "m").collect()}
+    assert got[1] != got[1] and got[2] == float("inf")
+    text = spark.createDataFrame([(1, "4.5"), (1, "x"), (1, "1e1"), (1, "7")], "k int, v string")
+    assert [tuple(r) for r in lower_median(text, "k", "v", "m").collect()] == [(1, 7.0)]
     with pytest.raises(TypeError):
-        lower_median(spark.createDataFrame([(1, 1.5)], "k int, v double"), "k", "v")
+        lower_median(spark.createDataFrame([(1, [1])], "k int, v array<int>"), "k", "v")
 
 
 def test_exact_median_summary_equals_approx_on_small_groups(spark):
