@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skywatch.session import checkpoint_root, scratch_path
+from skywatch.session import checkpoint_root, remove_path, scratch_path
 
 U64 = np.uint64
 
@@ -39,7 +39,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     checkpoint_root(spark)
     path = scratch_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_folder = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Remove the folder of a materialised step; only when no frame in use reads it any more."""
+    remove_path(made.sparkSession, made.scratch_folder)
 
 
 def release(spark: SparkSession) -> None:

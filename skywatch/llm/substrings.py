@@ -1,10 +1,11 @@
 """Operator 9: removal of word passages that repeat across documents, by level-wise doubling.
 
-A passage of ``window`` words can only repeat where its halves repeat. So windows of half the
-length are looked up over the whole corpus first; only windows repeated at that length are extended
-to twice the length (clipped at ``window``), and only those extended candidates are compared
-exactly, with the smallest document id that holds each. ``repeat_levels`` goes on doubling until no
-candidate survives and reports how far each repeat reaches.
+A passage can only repeat where its halves repeat. So windows of a few words (``START``) are looked up
+over the whole corpus first; only windows repeated at one length are extended to twice that length and
+looked up again, until no candidates survive (``_walk``). ``remove_repeats`` ends the walk at ``window``
+words, the length that it removes (4, 8 and, clipped, 13), where the candidates also learn the smallest
+document id that holds each: every longer repeat is covered by windows of that length, so longer levels
+could remove nothing more. ``repeat_levels`` walks on and reports how far each repeat reaches.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. A null or empty text has no words. Rows with a null id neither
 remove nor lose anything; rows that share an id do not remove from each other. Other columns pass
@@ -37,6 +38,7 @@ from skywatch.llm.blocks import (
 from skywatch.llm.common import (
     SPACED,
     covered,
+    discard,
     find_words,
     ids_of,
     materialise,
@@ -50,6 +52,7 @@ from skywatch.llm.common import (
 )
 
 WINDOW = 13
+START = 4
 BLOCK_BYTES = 2 << 20
 STATE = -1
 
@@ -186,6 +189,52 @@ def _asked(asked: DataFrame) -> DataFrame:
     return asked.filter(F.col("shard") >= 0)
 
 
+def _doubled(start: int):
+    """``start`` doubled again and again."""
+    while True:
+        yield start
+        start *= 2
+
+
+def _up_to(window: int) -> list[int]:
+    """Lengths doubled from ``START``, the last clipped at ``window``; two at least."""
+    lengths = [min(START, (window + 1) // 2)]
+    while lengths[-1] < window or len(lengths) == 1:
+        lengths.append(min(2 * lengths[-1], window))
+    return lengths
+
+
+def _walk(blocks: DataFrame, shards: int, lengths, id_col: str, text_col: str, removal: int | None = None):
+    """Level by level: the length, how a block finds its candidates of that length, and the answers.
+
+    Windows that repeat at one length are the only candidates at the next. The walk ends with the
+    lengths, or after a level without candidates. At the length ``removal`` the answers tell whether a
+    smaller id holds a candidate, elsewhere whether another block does.
+    """
+    length = next(lengths)
+    answers, candidates, before = _first_level(blocks, length, shards, id_col, text_col), _every, None
+    while True:
+        yield length, candidates, answers
+        longer = next(lengths, None)
+        if longer is None:
+            return
+        last = longer == removal  # the lengths end here
+
+        def body(groups, i, j, last=last):
+            return hashes_and_ids(groups.hashes[i:j], groups.low[i:j]) if last else short(groups.hashes[i:j])
+
+        work = smaller_elsewhere if last else lambda _, bodies: found_twice(bodies)
+        asked = materialise(_extended(blocks, answers, candidates, length, longer, shards, id_col, text_col, body), "windows")
+        release(blocks.sparkSession)
+        if before is not None:
+            discard(before)
+        before, answers = asked, _with_state(asked, answer(_asked(asked), work))
+        candidates, length = _chosen, longer
+        if _asked(asked).isEmpty():
+            yield length, candidates, answers
+            return
+
+
 def kept_bytes(raw, offsets, starts, ends, first, keep):
     """The kept words of each row joined by one space: bytes and offsets."""
     out = raw.copy()
@@ -213,17 +262,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Returns the columns of ``docs`` with ``text_col`` replaced by the kept words joined by one
     space, followed by ``n_words`` and ``n_removed`` (spare names where ``docs`` has these already).
     """
-    half = (window + 1) // 2
-    spark = docs.sparkSession
     blocks = write_blocks(docs, text_col, BLOCK_BYTES)
     shards = shard_count(blocks)
-    level = _extended(
-        blocks, _first_level(blocks, half, shards, id_col, text_col), _every, half, window, shards, id_col, text_col,
-        lambda groups, i, j: hashes_and_ids(groups.hashes[i:j], groups.low[i:j]),
-    )
-    level = materialise(level, "windows")
-    release(spark)
-    answers = _with_state(level, answer(_asked(level), smaller_elsewhere))
+    for length, candidates, answers in _walk(blocks, shards, iter(_up_to(window)), id_col, text_col, window):
+        pass  # the last level is what decides
 
     names = docs.columns
     n_words, n_removed = spare_name("n_words", names), spare_name("n_removed", names)
@@ -234,7 +276,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     def use(block, rows, bodies):
         words = _Words(rows, id_col, text_col)
-        at, bodies = _chosen(words, window, bodies)
+        # A walk that ended at a shorter length found nothing to remove.
+        at, bodies = candidates(words, window, bodies) if length == window else (np.zeros(0, np.int64), [])
         groups = words.groups(words.hashes(), at, window)
         less = unbits(bodies, asked_sizes(groups.hashes, shards))
         gone = (words.ids[rows_of(at, words.first)] > groups.low[groups.of]) | less[groups.of]
@@ -265,8 +308,8 @@ def repeat_levels(docs: DataFrame, start: int = WINDOW, id_col: str = "doc_id",
     kind = T.StructType(
         [T.StructField(id_col, T.LongType()), T.StructField("length", T.LongType()), T.StructField("n_windows", T.LongType())]
     )
-    answers, candidates, length, out = _first_level(blocks, start, shards, id_col, text_col), _every, start, None
-    while True:
+    out = None
+    for length, candidates, answers in _walk(blocks, shards, _doubled(start), id_col, text_col):
 
         def count(block, rows, bodies, length=length, candidates=candidates):
             words = _Words(rows, id_col, text_col)
@@ -282,12 +325,4 @@ def repeat_levels(docs: DataFrame, start: int = WINDOW, id_col: str = "doc_id",
 
         found = materialise(meet(blocks, answers, count, kind), "levels")
         out = found if out is None else out.unionByName(found)
-        if found.isEmpty():
-            return out
-        asked = _extended(
-            blocks, answers, candidates, length, 2 * length, shards, id_col, text_col, lambda groups, i, j: short(groups.hashes[i:j])
-        )
-        asked = materialise(asked, "windows")
-        release(docs.sparkSession)
-        answers = _with_state(asked, answer(_asked(asked), lambda _, bodies: found_twice(bodies)))
-        candidates, length = _chosen, 2 * length
+    return out
