@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skywatch.llm.columns import PUNCTUATION, lower_ascii, or_empty, split_words
-from skywatch.llm.common import materialise, release
+from skywatch.llm.common import discard, materialise, release
 
 WINDOW = 10
 GRAM = 5
@@ -96,36 +96,46 @@ def _search(
         marked.select("id", "k", "k2", F.size("words").cast("long").alias("n_words"), probes(F.col("words"), F.col("grams")).alias("probes")),
         "prints",
     )
-    hits = (
-        prints.select("k", "k2", F.explode("probes").alias("probe"))
-        .join(item_side, "probe", "left_semi")
-        .groupBy("k", "k2")
-        .agg(F.collect_set("probe").alias("hits"))
-    )
-
-    # Extend the hits: windows around them, compared as text.
-    texts = docs.select(*key, F.col(text_col).alias("text"))
-    near = texts.join(hits, ["k", "k2"]).dropDuplicates(["k", "k2"]).select("k", "k2", "hits", _words(F.col("text")).alias("words"))
-    near = near.withColumn("grams", _grams(F.col("words"), gram))
+    pairs = prints.select("k", "k2", F.explode("probes").alias("probe")).join(item_side, "probe", "left_semi")
+    pairs = materialise(pairs, "probes")
+
+    # Extend the hits: windows around them, compared as text. Rows without a hit are left out before
+    # any text moves, by a join that Spark plans by the measured size of the keys.
+    hit_rows = pairs.select("k", "k2").distinct()
+    texts = docs.select(*key, F.col(text_col).alias("text")).join(hit_rows, ["k", "k2"], "left_semi")
+    near = texts.dropDuplicates(["k", "k2"]).select("k", "k2", _words(F.col("text")).alias("words"))
+    near = materialise(near, "texts")
+
+    def places(size: int) -> DataFrame:
+        """``k, k2, at`` of the runs of ``size`` words whose hash is a hit of their row."""
+        runs = near.select("k", "k2", F.posexplode(_grams(F.col("words"), size)).alias("at", "probe"))
+        return runs.join(pairs, ["k", "k2", "probe"], "left_semi").select("k", "k2", F.lit(size).alias("run"), "at")
+
+    found = places(gram)
+    for n in short:
+        if n != gram:
+            found = found.unionByName(places(n))
+    found = found.groupBy("k", "k2").agg(F.collect_list(F.struct("run", "at")).alias("found"))
 
     def starts(size: int) -> Column:
+        """The windows of ``size`` words around the hits: place, size and text."""
         last = F.size("words") - size
+        run = gram if size == window else size
+        at = F.transform(F.filter("found", lambda x: x["run"] == run), lambda x: x["at"])
         if size == window:
-            at = F.filter(
-                F.transform(F.col("grams"), lambda h, i: F.when(F.array_contains(F.col("hits"), h), i)), lambda i: i.isNotNull()
-            )
             around = F.transform(at, lambda i: F.sequence(F.greatest(i - (width - 1), F.lit(0)), F.greatest(F.least(i, last), F.lit(0))))
-            found = F.array_distinct(F.flatten(around))
-        else:
-            found = F.filter(
-                F.transform(_grams(F.col("words"), size), lambda h, i: F.when(F.array_contains(F.col("hits"), h), i)),
-                lambda i: i.isNotNull(),
-            )
-        return F.transform(F.filter(found, lambda i: i <= last), lambda i: F.struct(i.alias("at"), F.lit(size).alias("size")))
-
-    tried = near.select("k", "k2", "words", F.explode(F.concat(*(starts(n) for n in [window, *short]))).alias("w"))
-    tried = tried.select("k", "k2", "w.at", "w.size", F.array_join(F.slice("words", F.col("w.at") + 1, F.col("w.size")), " ").alias("phrase"))
+            at = F.array_distinct(F.flatten(around))
+        return F.transform(
+            F.filter(at, lambda i: i <= last),
+            lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice("words", i + 1, size), " ").alias("phrase")),
+        )
+
+    # Phrases are cut out before the explode, so that no row carries its words along.
+    tried = near.join(found, ["k", "k2"]).select("k", "k2", F.explode(F.concat(*(starts(n) for n in [window, *short]))).alias("w"))
+    tried = tried.select("k", "k2", "w.*")
     whole = materialise(tried.join(windows.select("size", "phrase").distinct(), ["size", "phrase"], "left_semi"), "hits")
+    for step in (pairs, near):
+        discard(step)
     release(docs.sparkSession)
 
     begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
