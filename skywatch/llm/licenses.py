@@ -61,8 +61,55 @@ TEMPLATES = {
     "cc-by-nc": "[[licensed]] under [[a | the]] [[Creative Commons]] CC BY-NC [[{{2}}]]",
     "cc-by-nc-text": "Creative Commons Attribution-NonCommercial [[{{2}}]] License",
     "all-rights-reserved": "All rights reserved",
+    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: [[1.]] Redistributions of source code must retain the above copyright
+        notice, this list of conditions and the following disclaimer. [[2.]] Redistributions in binary form must
+        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution. [[ [[3.]] Neither the name of {{12}} nor the names of
+        [[its | their]] contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission. ]] THIS SOFTWARE IS PROVIDED BY {{12}} "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{12}} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+        LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER
+        IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+        THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "isc-text": """Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee
+        is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND {{12}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL {{12}} BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+        USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will {{8}} be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this
+        software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject
+        to the following restrictions: [[1.]] The origin of this software must not be misrepresented; you must not claim
+        that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+        documentation would be appreciated but is not required. [[2.]] Altered source versions must be plainly marked as
+        such, and must not be misrepresented as being the original software. [[3.]] This notice may not be removed or
+        altered from any source distribution.""",
+    "apache-2-text": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use {{6}} except in
+        compliance with the License. You may obtain a copy of the License at {{8}} Unless required by applicable law or
+        agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+        governing permissions and limitations under the License.""",
+    "gpl-text": """{{3}} is free software[[:|;]] you can redistribute it and/or modify it under the terms of the GNU
+        [[Lesser | Affero | Library]] General Public License as published by the Free Software Foundation[[,]] either
+        version {{2}} of the License, or (at your option) any later version. {{3}} is distributed in the hope that it
+        will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU [[Lesser | Affero | Library]] General Public License for more details.""",
+    "mpl-2-text": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+        was not distributed with this file, You can obtain one at""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+        for any purpose, commercial or non-commercial, and by any means.""",
+    "cc-by-text": "licensed under [[a | the]] Creative Commons Attribution [[ShareAlike]] {{1}} {{1}} [[International | Unported]] License",
 }
 
+#: Words of matched wording that score one half.
+WORDING = 10
+
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -221,6 +268,7 @@ class Scanner:
 
         count, low, high = np.zeros(rows, np.int64), np.full(rows, np.iinfo(np.int64).max), np.full(rows, -1)
         base: dict[int, set[str]] = {}
+        longest = np.zeros(rows, np.int64)  # words of the longest wording found
         for phrase, label in self.phrases:
             k = len(phrase)
             at = place[places(int(np.searchsorted(self.named, phrase[0])))]
@@ -235,6 +283,7 @@ class Scanner:
             np.maximum.at(high, r, at - first[r])
             for i in np.unique(r).tolist():
                 base.setdefault(i, set()).add(label)
+            longest[r] = np.maximum(longest[r], k)
         found: dict[int, set[str]] = {}
         holders: dict[int, np.ndarray] = {}
 
@@ -256,10 +305,11 @@ class Scanner:
             tried = np.sort(np.concatenate([places(w) for w in begin]))
             tried = tried[np.isin(row[tried], texts)]
             for i, r in zip(place[tried].tolist(), row[tried].tolist()):
-                if label not in found.get(r, ()) and automaton.match(h, i, int(first[r + 1])):
+                if label not in found.get(r, ()) and (run := automaton.match(h, i, int(first[r + 1]))):
                     found.setdefault(r, set()).add(label)
+                    longest[r] = max(longest[r], run)
         labels = [base.get(i, set()) | found.get(i, set()) for i in range(rows)]
-        score = [1.0 if found.get(i) else 0.5 if base.get(i) else 0.0 for i in range(rows)]
+        score = (longest / (longest + WORDING)).tolist()
         return n_words, count, low, high, [",".join(sorted(base.get(i, ()))) for i in range(rows)], [",".join(sorted(x)) for x in labels], score
 
 
@@ -268,7 +318,8 @@ RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "label
 
 def scan(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """``docs`` with ``n_words``, base places (``n_base``, ``first_word``, ``last_word``), ``base_labels``,
-    ``labels`` and ``score``: 1 where a template's mandatory wording stands, 0.5 for a base phrase alone."""
+    ``labels`` and ``score``: how much wording matched, ``n / (n + WORDING)`` for the n words of the longest
+    run that a template (at its first place in the text) or a base phrase accepted."""
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.DoubleType())
     names = [spare_name(r, docs.columns) for r in RESULTS]
     schema = T.StructType([*docs.schema, *(T.StructField(n, k) for n, k in zip(names, kinds))])
