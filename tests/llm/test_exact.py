@@ -65,6 +65,20 @@ def test_decontamination(spark, data):
     check(queries.op7_benchmark_decontamination(spark, path), columns, corpus.contamination(rows, items))
 
 
+def test_very_long_texts_full_of_hits(spark, tmp_path):
+    """A text of 20,000 different hit words, and one of 400,000 equal ones."""
+    item = [f"w{k}" for k in range(20_000)]
+    rows = [(1, "x " + " ".join(item) + " y"), (2, "same " * 400_000), (3, " ".join(item[:9])), (4, "w1 w2 other")]
+    items = [(7, " ".join(item)), (8, "same " * 12), (9, "w1 w2")]
+    path = corpus.documents(
+        spark, tmp_path, {"documents": corpus.frame(spark, rows, []), "benchmark": spark.createDataFrame(items, "item_id long, text string")}
+    )
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"]
+    got = corpus.ordered(queries.op7_benchmark_decontamination(spark, path).collect(), columns)
+    want = [(1, 20_002, 20_000, 2, corpus.sha("7,9")), (2, 400_000, 400_000, 1, corpus.sha("8")), (3, 9, 2, 1, corpus.sha("9"))]
+    assert got == [*want, (4, 3, 2, 1, corpus.sha("9"))]
+
+
 def test_jaccard_join(spark, data):
     path, rows, _ = data
     check(queries.op8_ngram_jaccard_join(spark, path), ["doc_id", "n_shingles", "component_id"], corpus.classes(rows))
@@ -122,6 +136,22 @@ def test_repeat_levels_double_until_none_is_left(spark):
     assert got == sorted([(i, n, 60 - n + 1) for i in (1, 2) for n in (13, 26, 52)], key=repr)
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 9, 13, 20])
+def test_removal_walks_the_levels_up_to_any_window(spark, window):
+    rows = corpus.texts()
+    got = substrings.remove_repeats(corpus.frame(spark, rows, []), window).collect()
+    want = [(i, n, m) for i, n, m, _ in corpus.repeated_words(rows, window)]
+    assert corpus.ordered(got, ["doc_id", "n_words", "n_removed"]) == sorted(want, key=repr)
+    lengths = substrings._up_to(window)
+    assert lengths[-1] == window and len(lengths) > 1 and all(b <= 2 * a for a, b in zip(lengths, lengths[1:]))
+
+
+def test_removal_without_candidates_ends_early(spark):
+    rows = [(k, " ".join(f"{k}-{j}" for j in range(30))) for k in range(5)]
+    got = substrings.remove_repeats(corpus.frame(spark, rows, [])).collect()
+    assert all((r.n_words, r.n_removed, r.text) == (30, 0, rows[r.doc_id][1]) for r in got)
+
+
 @pytest.mark.parametrize("kind", ["random", "runs", "one", "empty", "words"])
 def test_suffix_array_order(kind):
     rng = np.random.default_rng(5)

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,40 @@ def test_encoding_equals_the_library_and_decodes_back(spark, folder):
     assert all(r.round_trip for r in got)
 
 
+@needs_model
+def test_decoding_in_slices_with_missing_lists(spark, monkeypatch):
+    """Null id lists in any slice of a batch, and the decoding in the same pass as the encoding."""
+    model = pieces.load_model(MODEL)
+    rows = [(k, None if k % 7 == 3 else f"word{k} über  x{k % 5}" * (k % 4)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(pieces, "SLICE_IDS", 40)
+    monkeypatch.setattr(pieces, "SLICE_BYTES", 300)
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(pieces, "CACHE_PAIRS", 50)
+    both = pieces.encode(docs, model, decoded_col="text")
+    assert both.columns == ["doc_id", "text", "ids", "text_"]
+    got = pieces.decode(both, model).collect()
+    assert len(got) == len(rows)
+    assert all(r.text == r.text_ == r.decoded and (r.ids is None) == (r.text is None) for r in got)
+
+
+def test_words_cache_keeps_ids():
+    cache, rng = pieces.WordIds(), np.random.default_rng(3)
+    known = {}
+    for _ in range(20):
+        key = np.unique(rng.integers(0, 500, 60).astype(np.uint64))
+        new = key[cache.missing(key)]
+        assert set(new.tolist()) == set(key.tolist()) - set(known)
+        ids = [rng.integers(0, 99, rng.integers(0, 5)).tolist() for _ in new]
+        known |= dict(zip(new.tolist(), ids))
+        order = rng.permutation(len(new))
+        cache.add(new[order], [ids[k] for k in order])
+        word = rng.integers(0, len(key), 40)
+        flat, ends = cache.joined(key, word)
+        assert flat.tolist() == [x for w in word for x in known[int(key[w])]]
+        assert ends.tolist() == np.cumsum([len(known[int(key[w])]) for w in word]).tolist()
+
+
 @needs_model
 def test_encoder_on_random_pieces():
     sentencepiece = pytest.importorskip("sentencepiece")
@@ -150,6 +185,70 @@ def test_templates_need_their_mandatory_wording():
     assert _labels("") == set()
 
 
+def _pattern(template):
+    """A template as a plain pattern over words, each followed by a space."""
+    out = ""
+    for part in re.split(r"(\[\[|\]\]|\||\{\{\d+\}\})", template):
+        if part == "[[":
+            out += "(?:(?:"
+        elif part == "|":
+            out += "|"
+        elif part == "]]":
+            out += ")|)"
+        elif part.startswith("{{"):
+            out += f"(?:[^ ]+ ){{0,{part[2:-2]}}}"
+        else:
+            out += "".join(w + " " for w in licenses.words_of(part))
+    return re.compile("(?:^| )" + out)
+
+
+def _sample(template, rng):
+    """One wording that a template accepts."""
+    depth, keep, chosen, out = 0, [True], [], []
+    for part in re.split(r"(\[\[|\]\]|\||\{\{\d+\}\})", template):
+        if part == "[[":
+            chosen.append(rng.randrange(2) == 0)
+            keep.append(keep[-1] and chosen[-1])
+        elif part == "|":
+            keep[-1] = keep[-2] and not chosen[-1]
+            chosen[-1] = True
+        elif part == "]]":
+            keep.pop()
+            chosen.pop()
+        elif keep[-1] and part.startswith("{{"):
+            out += ["somebody"] * rng.randrange(int(part[2:-2]) + 1)
+        elif keep[-1]:
+            out.append(part)
+    return " ".join(out)
+
+
+def test_templates_against_plain_patterns():
+    rng = random.Random(11)
+    patterns = {label: _pattern(t) for label, t in licenses.TEMPLATES.items()}
+    texts = []
+    for label, template in licenses.TEMPLATES.items():
+        for _ in range(12):
+            words = licenses.words_of(_sample(template, rng))
+            if rng.randrange(2):  # spoilt: a word lost, changed or doubled
+                k = rng.randrange(len(words))
+                words[k : k + 1] = rng.choice([[], ["other"], [words[k], words[k]]])
+            texts.append("before " * rng.randrange(3) + " ".join(words) + " after" * rng.randrange(3))
+    got = licenses.Scanner(phrases={"no such phrase": "none"}).scan(*text_bytes(pa.array(texts)))
+    seen = set()
+    for text, labels, score in zip(texts, got[5], got[6]):
+        plain = " ".join(licenses.words_of(text)) + " "
+        want = {label for label, p in patterns.items() if p.search(plain)}
+        assert set(labels.split(",")) - {""} == want, text
+        assert (score > 0) == bool(want) and score < 1
+        seen |= want
+    assert seen == set(patterns)
+
+
+def test_license_score_grows_with_the_wording():
+    scores = [licenses.Scanner().scan(*text_bytes(pa.array([t])))[6][0] for t in ("none", "under the mit license", licenses.TEMPLATES["isc-text"].replace("[[", "").replace("]]", ""))]
+    assert scores[0] == 0 and 0.2 < scores[1] < 0.4 and scores[2] > 0.9
+
+
 def test_unclosed_and_empty_templates_are_refused():
     for bad in ("a [[b", "[[only optional]]", "{{5}}"):
         with pytest.raises(ValueError):
@@ -174,6 +273,37 @@ def test_suffix_automaton_phrases():
         assert automaton.phrases(word) == n
 
 
+def _cross_parse(text, training):
+    """Longest matches of a text in a training text, one byte at least, counted from the left."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in training:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
+@pytest.mark.parametrize("side_by_side", [1, 12, 10_000])
+def test_whole_texts_are_cross_parsed_in_every_language(monkeypatch, side_by_side):
+    monkeypatch.setattr(language, "SIDE_BY_SIDE", side_by_side)
+    rng = random.Random(7)
+    texts = [t for _, t in corpus.texts()][::3] + ["", None, " ", "a b", "B a\tb", "é"]
+    texts += ["".join(rng.choice("ab cA\n") for _ in range(rng.randrange(200))) for _ in range(60)]
+    training = [b" ab c ba ca bab c ", " é ab ".encode(), language.marked(texts[0]), b" "]
+    raw, offsets = text_bytes(pa.array(texts))
+    data, bounds = language.spaced(raw, offsets)
+    plain = []
+    for k, text in enumerate(texts):
+        words = [corpus.lower(w) for w in corpus.words(text)]
+        plain.append("".join([" ", *(w + " " for w in words)]).encode() if words else b"")
+        assert data[bounds[k] : bounds[k + 1]].tobytes() == plain[k]
+    got = language.Automata(training).phrases(data, bounds)
+    assert got.tolist() == [[_cross_parse(t, x) for t in plain] for x in training]
+    # Phrases run over word ends: two words that the training text has side by side are one phrase.
+    assert _cross_parse(b" ab c ", training[0]) == 1
+
+
 def test_language_id_on_held_out_texts(spark):
     got = {r.doc_id: r for r in queries.op3_language_id(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()
