@@ -147,3 +147,38 @@ def test_ingest_bounded_micro_batches(spark, tmp_path):
     )
     assert read_table(spark, table).count() == 5
     assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 2  # one file per micro-batch
+
+
+def test_ingest_archives_what_it_has_taken_and_forgets_nothing_silently(spark, tmp_path):
+    import pytest
+
+    landing, archive = tmp_path / "landing", tmp_path / "archive"
+    landing.mkdir()
+    db = create_database(spark, unique_name("s"), location=str(tmp_path / "db"))
+    table = create_table(spark, f"{db}.raw", raw_table_schema())
+    options = {"checkpoint": str(tmp_path / "cp"), "timeout_seconds": 120, "archive_dir": str(archive), "forget_after": "30d"}
+    now = time.time()
+
+    def arrive(name, lines, age_days):
+        path = write_lines(landing, name, lines)
+        os.utime(path, (now - age_days * 86_400,) * 2)
+
+    arrive("old.txt", SUMMARY_CSV, 400)  # the first run takes files of any age
+    arrive("f1.txt", EXTRA_TEXT[:1], 3)
+    ingest_new_files(spark, str(landing), table, **options)
+    assert read_table(spark, table).count() == 6
+    arrive("f2.txt", EXTRA_TEXT[1:2], 20)  # older than the newest, but not by too much
+    arrive("f3.txt", EXTRA_TEXT[2:], 0)
+    for _ in range(2):
+        ingest_new_files(spark, str(landing), table, **options)
+    assert read_table(spark, table).count() == 9
+    moved = {f for _, _, files in os.walk(archive) for f in files if not f.startswith(".")}
+    assert {"old.txt", "f1.txt"} <= moved and not moved & {f.name for f in landing.iterdir()}
+    arrive("late.txt", EXTRA_TEXT, 60)
+    with pytest.raises(ValueError, match="late.txt"):
+        ingest_new_files(spark, str(landing), table, **options)
+    arrive("late.txt", EXTRA_TEXT, 1)
+    ingest_new_files(spark, str(landing), table, **options)
+    assert read_table(spark, table).count() == 13
+    with pytest.raises(ValueError, match="archive_dir"):
+        ingest_new_files(spark, str(landing), table, forget_after="30d")
