@@ -169,12 +169,19 @@ def fit(
     rows = kept(df, vector_col).select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
     small = F.forall("v", lambda x: F.abs(x) < float(LIMIT // SCALE))
     able = rows.filter(small & (F.size("v") > 0))
-    order = [F.col("i").asc_nulls_last(), F.col("v")]
-    head = able.orderBy(*order).limit(1).collect()
-    if not head:
+    # Ids alone find how far the smallest reach; only vectors up to there are sorted.
+    found = able.agg(F.count("*").alias("n"), F.min("i").alias("low")).first()
+    if not found["n"]:
         return None
-    length = len(head[0]["v"])
-    first = able.filter(F.size("v") == length).orderBy(*order).limit(entries).select("v").toArrow()
+    same = F.col("i").eqNullSafe(F.lit(found["low"]).cast("long"))
+    length = len(able.filter(same).orderBy("v").limit(1).first()["v"])
+    able = able.filter(F.size("v") == length)
+    top = able.select("i").orderBy(F.col("i").asc_nulls_last()).limit(entries)
+    top = top.agg(F.max("i").alias("high"), F.count("*").alias("n"), F.count("i").alias("n_ids")).first()
+    reach = F.col("i") <= F.lit(top["high"]).cast("long")
+    if top["n"] > top["n_ids"]:  # too few ids: rows without one come last
+        reach = F.coalesce(reach, F.lit(False)) | F.col("i").isNull()
+    first = able.filter(reach).orderBy(F.col("i").asc_nulls_last(), "v").limit(entries).select("v").toArrow()
     x, offsets, whole = scaled(first.column("v"))
     books = Codebooks(np.ascontiguousarray(_matrix(x, offsets, whole, parts, length).transpose(1, 0, 2)), length)
     width = books.entries.shape[2]
