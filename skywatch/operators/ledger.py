@@ -107,12 +107,22 @@ class Ledger:
         gone = {r["file"] for r in rows if r["step"] == MERGED}
         return sorted({r["load_id"] for r in rows} - gone)
 
+    def _refuse_changed(self, load: Load) -> None:
+        planned = self.entries().where((F.col("load_id") == load.load_id) & (F.col("step") == PLANNED))
+        now = list_files(self.spark, list(load.files))
+        changed = planned.join(now, ["file", "size", "modified"], "left_anti").select("file").take(5)
+        if changed:
+            raise ValueError(f"files changed since they were planned: {[r['file'] for r in changed]}")
+
     def unfinished(self) -> list[Load]:
-        """Planned loads whose run did not come to its end."""
+        """Planned loads whose run did not come to its end, their files as they were."""
         entries = self.entries()
         done = entries.where(F.col("step") == DONE).select("load_id")
         open_ids = entries.where(F.col("step") == PLANNED).select("load_id").distinct().join(done, "load_id", "left_anti")
-        return [self._load(r["load_id"]) for r in open_ids.orderBy("load_id").collect()]
+        loads = [self._load(r["load_id"]) for r in open_ids.orderBy("load_id").collect()]
+        for load in loads:
+            self._refuse_changed(load)
+        return loads
 
     def replace(self, merged: str, load_ids: list[str]) -> None:
         """Record, in one entry, that the outputs of ``merged`` stand for those of ``load_ids``."""

@@ -142,6 +142,11 @@ def test_broken_run_of_the_store_is_finished_by_the_next(spark, tmp_path, monkey
         store.add(landing)
     again = SummaryStore(spark, str(tmp_path / "store"))
     assert again.summary().count() == 0  # a load without its end is not read
+    stat = os.stat(f"{landing}/a.csv")
+    os.utime(f"{landing}/a.csv", (stat.st_atime, stat.st_mtime - 5))
+    with pytest.raises(ValueError, match="changed"):  # its files must be as they were planned
+        again.add(landing)
+    os.utime(f"{landing}/a.csv", ns=(stat.st_atime_ns, stat.st_mtime_ns))
     _csv(landing, "b.csv", [_line(k) for k in range(100, 150)])
     assert len(again.add(landing)) == 1
     whole = read_csv(spark, landing, schema=sighting_schema())
