@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import gc
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +44,31 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.scratch_folder = path
+    open_steps = _STEPS.get()
+    if open_steps is not None:
+        open_steps.append(made)
     return made
 
 
+_STEPS: ContextVar[list[DataFrame] | None] = ContextVar("steps", default=None)
+
+
+@contextmanager
+def passing_steps() -> Iterator[list[DataFrame]]:
+    """Removes the folders of all steps materialised inside, at the end, also after a failure.
+
+    What is still in the list goes; a result that other frames read must be taken out of it.
+    """
+    steps: list[DataFrame] = []
+    token = _STEPS.set(steps)
+    try:
+        yield steps
+    finally:
+        _STEPS.reset(token)
+        for made in steps:
+            discard(made)
+
+
 def discard(made: DataFrame) -> None:
     """Remove the folder of a materialised step; only when no frame in use reads it any more."""
     remove_path(made.sparkSession, made.scratch_folder)

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from skywatch.llm import queries
+from skywatch.session import checkpoint_root
 from tests.llm import corpus
 
 pytestmark = pytest.mark.skipif(not os.path.exists(queries.MODEL_FILE), reason="no vocabulary file here")
@@ -47,7 +48,11 @@ def test_stages_keep_columns_and_take_effect(spark, folder):
 
 def test_run(spark, folder):
     path, rows = folder
+    root = checkpoint_root(spark).removeprefix("file:") + "/skywatch"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
     out = corpus_pipeline.run(spark, path)
+    left = set(os.listdir(root)) - before  # the folders of all steps but the last stage's result are gone
+    assert len(left) == 1 and left.pop().startswith("stage-sentencepiece")
     got = out.select("doc_id", "text", "ids_", "n_tokens").collect()
     assert 0 < len(got) < len(rows)
     assert all((r.ids_ is None) == (r.text is None) and (r.n_tokens or 0) == len(r.ids_ or []) for r in got)
@@ -57,7 +62,9 @@ def test_run(spark, folder):
 def test_empty_tables(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     bench = spark.createDataFrame([], "item_id long, text string")
-    path = corpus.documents(spark, tmp_path, {"documents": corpus.frame(spark, [], [*corpus.CLASHING, "lang"]), "labels": labels, "benchmark": bench})
+    docs = corpus.frame(spark, [], [*corpus.CLASHING, "lang"])
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    path = corpus.documents(spark, tmp_path, {"documents": docs, "labels": labels, "benchmark": bench, "embeddings": vectors})
     assert corpus_pipeline.run(spark, path).count() == 0
     for name, query in queries.QUERIES.items():
         assert query(spark, path).count() == 0, name
