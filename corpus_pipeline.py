@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skywatch.llm import contamination, jaccard, pieces, substrings, toxicity
-from skywatch.llm.common import fold, materialise, release, spare_name, table
+from skywatch.llm.common import discard, fold, materialise, passing_steps, release, spare_name, table
 from skywatch.llm.queries import MODEL_FILE
 
 
@@ -72,9 +72,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole ``documents`` table.
+
+    Once a stage's rows are durable, the folders of its steps and of the stage before go.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with passing_steps() as steps:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            steps[:] = [step for step in steps if step is not docs]
+        if before is not None:
+            discard(before)
+        before = docs
         release(spark)
     return docs
