@@ -36,6 +36,8 @@ UNKNOWN = "und"
 SIDE_BY_SIDE = 12
 #: Bytes of text in a batch that is parsed side by side; a longer text is a batch of its own.
 BATCH_BYTES = 32 << 20
+#: Bytes of text whose words are found at a time.
+SLICE_BYTES = 1 << 20
 
 
 class SuffixAutomaton:
@@ -186,6 +188,18 @@ class Automata:
 
 def spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts' words, lower-cased, each between single spaces: bytes and offsets (no words: empty)."""
+    parts, bounds, i, rows = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)], 0, len(offsets) - 1
+    size = 0
+    while i < rows:  # some texts at a time: the places of words take many times the words' bytes
+        j = min(max(int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1, i + 1), rows)
+        data, ends = _spaced(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        parts.append(data)
+        bounds.append(ends[1:] + size)
+        i, size = j, size + len(data)
+    return np.concatenate(parts), np.concatenate(bounds)
+
+
+def _spaced(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw = LOWER[raw]
     starts, ends, first = find_words(raw, offsets, SPACED)
     if not len(starts):
