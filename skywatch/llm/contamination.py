@@ -101,7 +101,7 @@ def _search(
 
     # Extend the hits: windows around them, compared as text. Rows without a hit are left out before
     # any text moves, by a join that Spark plans by the measured size of the keys.
-    hit_rows = pairs.select("k", "k2").distinct()
+    hit_rows = materialise(pairs.select("k", "k2").distinct(), "hit-rows")
     texts = docs.select(*key, F.col(text_col).alias("text")).join(hit_rows, ["k", "k2"], "left_semi")
     near = texts.dropDuplicates(["k", "k2"]).select("k", "k2", _words(F.col("text")).alias("words"))
     near = materialise(near, "texts")
@@ -134,7 +134,7 @@ def _search(
     tried = near.join(found, ["k", "k2"]).select("k", "k2", F.explode(F.concat(*(starts(n) for n in [window, *short]))).alias("w"))
     tried = tried.select("k", "k2", "w.*")
     whole = materialise(tried.join(windows.select("size", "phrase").distinct(), ["size", "phrase"], "left_semi"), "hits")
-    for step in (pairs, near):
+    for step in (pairs, hit_rows, near):
         discard(step)
     release(docs.sparkSession)
 
