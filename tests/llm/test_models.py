@@ -287,6 +287,7 @@ def _cross_parse(text, training):
 @pytest.mark.parametrize("side_by_side", [1, 12, 10_000])
 def test_whole_texts_are_cross_parsed_in_every_language(monkeypatch, side_by_side):
     monkeypatch.setattr(language, "SIDE_BY_SIDE", side_by_side)
+    monkeypatch.setattr(language, "SLICE_BYTES", side_by_side * 10)
     rng = random.Random(7)
     texts = [t for _, t in corpus.texts()][::3] + ["", None, " ", "a b", "B a\tb", "é"]
     texts += ["".join(rng.choice("ab cA\n") for _ in range(rng.randrange(200))) for _ in range(60)]
