@@ -4,7 +4,9 @@
     python -m skywatch biennial INPUT [--output PATH] [--table NAME] [--width N] ...
     python -m skywatch load     INPUT --database DB [--sep ,] [--mode append|overwrite]
     python -m skywatch inspect  INPUT --database DB [--sep '|'] [--mode append|overwrite]
-    python -m skywatch ingest   LANDING --table DB.TABLE [--sep ,]
+    python -m skywatch ingest   LANDING --table DB.TABLE [--sep ,] [--archive PATH [--forget-after 30d]]
+    python -m skywatch load-new LANDING --database DB [--sep ,]
+    python -m skywatch store    INPUT --store PATH [--annual NAME] [--biennial NAME] [--compact]
 
 The session comes from ``SparkSession.builder.getOrCreate()``, so master,
 resources and ``spark.checkpoint.dir`` are whatever spark-submit or the
@@ -20,8 +22,9 @@ import sys
 from pyspark.sql import SparkSession
 
 from skywatch.operators.sinks import show_preview
-from skywatch.plans.load import inspect_and_partition_by_year, load_and_partition
-from skywatch.plans.summary import annual_summary, biennial_summary
+from skywatch.plans.incremental import SummaryStore
+from skywatch.plans.load import inspect_and_partition_by_year, load_and_partition, load_new_files
+from skywatch.plans.summary import YEAR, YEAR_GROUP, SummaryTarget, annual_summary, biennial_summary
 from skywatch.schema import dated_schema, raw_table_schema, sighting_schema
 from skywatch.streaming.ingest import ingest_new_files
 
@@ -60,6 +63,21 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--table", required=True)
     s.add_argument("--sep", default=",")
     s.add_argument("--max-files-per-trigger", type=int)
+    s.add_argument("--archive", help="folder that takes the files of committed batches")
+    s.add_argument("--forget-after", help="bound what the stream remembers of archived files (30d)")
+
+    s = sub.add_parser("load-new", help="the load job, exactly once for each file of a landing folder")
+    s.add_argument("input")
+    s.add_argument("--database", required=True)
+    s.add_argument("--location", help="database location (created if absent)")
+    s.add_argument("--sep", default=",")
+
+    s = sub.add_parser("store", help="take new report CSVs into a summary store and publish its summaries")
+    s.add_argument("input")
+    s.add_argument("--store", required=True, help="the store's folder")
+    s.add_argument("--annual", metavar="TABLE", help="publish the annual summary to this table (replaced)")
+    s.add_argument("--biennial", metavar="TABLE", help="publish the two-year summary to this table (replaced)")
+    s.add_argument("--compact", action="store_true", help="merge the cells of all loads")
     return p
 
 
@@ -104,8 +122,27 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             from skywatch.operators.catalog import create_table
 
             create_table(spark, args.table, raw_table_schema())
-        ingest_new_files(spark, args.landing, args.table, sep=args.sep, max_files_per_trigger=args.max_files_per_trigger)
+        ingest_new_files(
+            spark,
+            args.landing,
+            args.table,
+            sep=args.sep,
+            max_files_per_trigger=args.max_files_per_trigger,
+            archive_dir=args.archive,
+            forget_after=args.forget_after,
+        )
         print(f"{args.table}: {spark.table(args.table).count()} rows")
+    elif args.job == "load-new":
+        res = load_new_files(spark, args.input, args.database, sep=args.sep, location=args.location)
+        res.partitions.show(truncate=False)
+    elif args.job == "store":
+        store = SummaryStore(spark, args.store)
+        print(f"{len(store.add(args.input))} new files")
+        if args.compact:
+            store.compact()
+        wanted = ((YEAR, args.annual), (YEAR_GROUP, args.biennial))
+        for summary in store.publish([SummaryTarget(key, 2, table=table) for key, table in wanted if table]):
+            show_preview(summary)
     return 0
 
 

@@ -57,3 +57,23 @@ def test_inspect_cli_date_typed(spark, tmp_path, capsys):
     assert main(["inspect", path, "--database", db, "--location", str(tmp_path / "db"), "--date-typed"], spark=spark) == 0
     out = capsys.readouterr().out
     assert "year=1999" in out and "date" in out
+
+
+def test_load_new_and_store_cli(spark, tmp_path, capsys):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    write_lines(landing, "a.csv", SUMMARY_CSV)
+    db = unique_name("cli")
+    args = ["load-new", str(landing), "--database", db, "--location", str(tmp_path / "db")]
+    for _ in range(2):
+        assert main(args, spark=spark) == 0
+    assert "month_count=9" in capsys.readouterr().out
+    assert spark.table(f"{db}.sightings_raw").count() == 5
+    args = ["store", str(landing), "--store", str(tmp_path / "store"), "--annual", f"{db}.annual", "--biennial", f"{db}.biennial", "--compact"]
+    assert main(args, spark=spark) == 0
+    out = capsys.readouterr().out
+    assert "1 new files" in out and "12/1998" in out
+    assert spark.table(f"{db}.annual").count() == 3 and spark.table(f"{db}.biennial").count() == 2
+    write_lines(landing, "b.csv", [SUMMARY_CSV[0], "d9,03/2001,Reno,NV,USA,disk,x,01/05/1999,01/28/1999,5"])
+    assert main(args, spark=spark) == 0
+    assert "1 new files" in capsys.readouterr().out and spark.table(f"{db}.annual").count() == 4
