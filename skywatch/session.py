@@ -47,14 +47,19 @@ def _refuse_local_on_cluster(spark: SparkSession, root: str) -> None:
     """A folder that was only fallen back on must be shared when there are other machines.
 
     A folder that the cluster names itself in ``spark.checkpoint.dir`` is taken at its word, with
-    a scheme: it may be a mount that all machines share.
+    a scheme: it may be a mount that all machines share. The executors of a ``local-cluster`` are
+    processes on the driver's machine, each in a working folder of its own: they share every
+    absolute path.
     """
     sc = _spark_context(spark)
     master = sc.master if sc is not None else "connect"
-    if master.startswith("local") and not master.startswith("local-cluster"):
+    scheme = _scheme(root)
+    if master.startswith("local-cluster"):
+        if scheme or root.startswith("/"):
+            return
+    elif master.startswith("local"):
         return
     named = bool(spark.conf.get(CHECKPOINT_CONF, None))
-    scheme = _scheme(root)
     if scheme == "" or (scheme == "file" and not named):
         raise ValueError(
             f"{root} may be local to each machine of the cluster ({master}); set {CHECKPOINT_CONF} to a shared folder, with its scheme"
