@@ -16,6 +16,7 @@ REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Queries that keep files in the checkpoint folder.
 NAMES = [
     "annual_summary",
+    "annual_summary_chronological",
 ]
 
 ORDERS = """
