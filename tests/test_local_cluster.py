@@ -17,6 +17,7 @@ REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 NAMES = [
     "annual_summary",
     "annual_summary_chronological",
+    "annual_summary_exact_median",
 ]
 
 ORDERS = """
