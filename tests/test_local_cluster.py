@@ -18,6 +18,7 @@ NAMES = [
     "annual_summary",
     "annual_summary_chronological",
     "annual_summary_exact_median",
+    "annual_summary_explicit_schema",
 ]
 
 ORDERS = """
