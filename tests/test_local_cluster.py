@@ -19,6 +19,7 @@ NAMES = [
     "annual_summary_chronological",
     "annual_summary_exact_median",
     "annual_summary_explicit_schema",
+    "annual_summary_fractional_counts",
 ]
 
 ORDERS = """
