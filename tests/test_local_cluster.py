@@ -20,6 +20,7 @@ NAMES = [
     "annual_summary_exact_median",
     "annual_summary_explicit_schema",
     "annual_summary_fractional_counts",
+    "annual_summary_from_raw_table",
 ]
 
 ORDERS = """
