@@ -21,6 +21,7 @@ NAMES = [
     "annual_summary_explicit_schema",
     "annual_summary_fractional_counts",
     "annual_summary_from_raw_table",
+    "biennial_csv_roundtrip",
 ]
 
 ORDERS = """
