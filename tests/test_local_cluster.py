@@ -22,6 +22,7 @@ NAMES = [
     "annual_summary_fractional_counts",
     "annual_summary_from_raw_table",
     "biennial_csv_roundtrip",
+    "biennial_summary",
 ]
 
 ORDERS = """
