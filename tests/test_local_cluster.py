@@ -23,6 +23,7 @@ NAMES = [
     "annual_summary_from_raw_table",
     "biennial_csv_roundtrip",
     "biennial_summary",
+    "biennial_summary_chronological",
 ]
 
 ORDERS = """
