@@ -24,6 +24,7 @@ NAMES = [
     "biennial_csv_roundtrip",
     "biennial_summary",
     "biennial_summary_chronological",
+    "csv_infer_roundtrip",
 ]
 
 ORDERS = """
