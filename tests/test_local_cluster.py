@@ -25,6 +25,7 @@ NAMES = [
     "biennial_summary",
     "biennial_summary_chronological",
     "csv_infer_roundtrip",
+    "biennial_summary_chronological_exact_median",
 ]
 
 ORDERS = """
