@@ -26,6 +26,7 @@ NAMES = [
     "biennial_summary_chronological",
     "csv_infer_roundtrip",
     "biennial_summary_chronological_exact_median",
+    "csv_partitioned_roundtrip",
 ]
 
 ORDERS = """
