@@ -27,6 +27,7 @@ NAMES = [
     "csv_infer_roundtrip",
     "biennial_summary_chronological_exact_median",
     "csv_partitioned_roundtrip",
+    "delimited_load",
 ]
 
 ORDERS = """
