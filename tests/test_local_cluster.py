@@ -28,6 +28,7 @@ NAMES = [
     "biennial_summary_chronological_exact_median",
     "csv_partitioned_roundtrip",
     "delimited_load",
+    "delimited_load_pipe",
 ]
 
 ORDERS = """
