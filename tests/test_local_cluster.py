@@ -30,6 +30,7 @@ NAMES = [
     "delimited_load",
     "delimited_load_pipe",
     "describe_table",
+    "incremental_summary",
 ]
 
 ORDERS = """
