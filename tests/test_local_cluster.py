@@ -31,6 +31,7 @@ NAMES = [
     "delimited_load_pipe",
     "describe_table",
     "incremental_summary",
+    "list_partitions",
 ]
 
 ORDERS = """
