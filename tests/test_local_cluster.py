@@ -32,6 +32,7 @@ NAMES = [
     "describe_table",
     "incremental_summary",
     "list_partitions",
+    "list_year_partitions",
 ]
 
 ORDERS = """
