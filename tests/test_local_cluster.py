@@ -33,6 +33,7 @@ NAMES = [
     "incremental_summary",
     "list_partitions",
     "list_year_partitions",
+    "load_new_files",
 ]
 
 ORDERS = """
