@@ -34,6 +34,7 @@ NAMES = [
     "list_partitions",
     "list_year_partitions",
     "load_new_files",
+    "load_rerun_append",
 ]
 
 ORDERS = """
