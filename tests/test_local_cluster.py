@@ -35,6 +35,7 @@ NAMES = [
     "list_year_partitions",
     "load_new_files",
     "load_rerun_append",
+    "median_of_wide_decimals",
 ]
 
 ORDERS = """
