@@ -36,6 +36,7 @@ NAMES = [
     "load_new_files",
     "load_rerun_append",
     "median_of_wide_decimals",
+    "load_rerun_overwrite",
 ]
 
 ORDERS = """
