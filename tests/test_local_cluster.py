@@ -37,6 +37,7 @@ NAMES = [
     "load_rerun_append",
     "median_of_wide_decimals",
     "load_rerun_overwrite",
+    "not_null_filter",
 ]
 
 ORDERS = """
