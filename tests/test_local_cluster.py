@@ -38,6 +38,7 @@ NAMES = [
     "median_of_wide_decimals",
     "load_rerun_overwrite",
     "not_null_filter",
+    "partial_reload",
 ]
 
 ORDERS = """
