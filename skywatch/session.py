@@ -7,12 +7,13 @@ the registered queries) goes under the shared folder the cluster names in
 chosen, and then under the session's warehouse directory (shared storage
 on a cluster, a local folder in a local test session), never under a
 machine-local temporary folder; it is registered as the session's
-checkpoint directory so ``DataFrame.checkpoint`` uses it too.
+checkpoint directory so ``DataFrame.checkpoint`` uses it too. Whether a
+folder without a scheme is shared can't be told from its name: on a
+cluster a small job tries it out.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.errors import PySparkException
@@ -22,6 +23,11 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 FALLBACK_SUBDIR = "_skywatch_checkpoints"
 
+#: Tasks that try a folder out, at least; on a cluster of more cores, one for each.
+PROBE_TASKS = 32
+#: (application, folder) of those that were found to be shared.
+_SHARED: set[tuple[str, str]] = set()
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, choosing one only if unset."""
@@ -44,11 +50,12 @@ def _scheme(path: str) -> str:
 
 
 def _refuse_local_on_cluster(spark: SparkSession, root: str) -> None:
-    """A folder that was only fallen back on must be shared when there are other machines.
+    """A folder without a scheme, or that was only fallen back on, must be shared when there are other machines.
 
     A folder that the cluster names itself in ``spark.checkpoint.dir`` is taken at its word, with
-    a scheme: it may be a mount that all machines share. The executors of a ``local-cluster`` are
-    processes on the driver's machine, each in a working folder of its own: they share every
+    a scheme: it may be a mount that all machines share. One without a scheme (it may be such a mount,
+    or lie in ``fs.defaultFS``) and the fallback are tried out. The executors of a ``local-cluster``
+    are processes on the driver's machine, each in a working folder of its own: they share every
     absolute path.
     """
     sc = _spark_context(spark)
@@ -60,10 +67,38 @@ def _refuse_local_on_cluster(spark: SparkSession, root: str) -> None:
     elif master.startswith("local"):
         return
     named = bool(spark.conf.get(CHECKPOINT_CONF, None))
-    if scheme == "" or (scheme == "file" and not named):
+    if scheme and (scheme != "file" or named):
+        return
+    try:
+        if not scheme and not root.startswith("/"):
+            raise ValueError("it is relative to the working folder of each process")
+        _try_out(spark, root)
+    except Exception as reason:
         raise ValueError(
             f"{root} may be local to each machine of the cluster ({master}); set {CHECKPOINT_CONF} to a shared folder, with its scheme"
-        )
+        ) from reason
+
+
+def _try_out(spark: SparkSession, root: str) -> None:
+    """Fail unless rows that tasks of all executors write to the folder come back whole; once per application.
+
+    The driver lists what the tasks have left, and tasks read it, as in every step of a job. Executors
+    that join later are not covered.
+    """
+    sc = _spark_context(spark)
+    known = (sc.applicationId if sc is not None else spark.session_id, root)
+    if known in _SHARED:
+        return
+    tasks = max(PROBE_TASKS, sc.defaultParallelism if sc is not None else 0)
+    path = f"{root.rstrip('/')}/skywatch/probe-{uuid.uuid4().hex[:12]}"
+    try:
+        spark.range(0, tasks, 1, tasks).write.parquet(path)
+        found = spark.read.schema("id long").parquet(path).count()
+    finally:
+        remove_path(spark, path)
+    if found != tasks:
+        raise OSError(f"{found} of {tasks} rows came back from {root}")
+    _SHARED.add(known)
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -129,7 +164,4 @@ def _spark_context(spark: SparkSession):
 def _register_checkpoint_dir(spark: SparkSession, root: str) -> None:
     sc = _spark_context(spark)
     if sc is not None and not sc.getCheckpointDir():
-        scheme = _scheme(root)
-        if scheme in ("", "file"):  # local path: create it; remote stores need no mkdir
-            os.makedirs(root[len("file:"):] if scheme else root, exist_ok=True)
-        sc.setCheckpointDir(root)
+        sc.setCheckpointDir(root)  # creates it, in the file system it lies in
