@@ -22,6 +22,7 @@ MASTER = "spark://driver:7077"
 #: Queries that keep files in the checkpoint folder.
 NAMES = [
     "pipeline",
+    "annual_summary",
 ]
 
 
