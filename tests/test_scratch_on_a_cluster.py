@@ -28,6 +28,7 @@ NAMES = [
     "annual_summary_explicit_schema",
     "annual_summary_fractional_counts",
     "biennial_csv_roundtrip",
+    "biennial_summary",
 ]
 
 
