@@ -34,6 +34,7 @@ NAMES = [
     "biennial_summary_chronological_exact_median",
     "csv_infer_roundtrip",
     "csv_partitioned_roundtrip",
+    "delimited_load",
 ]
 
 
