@@ -36,6 +36,7 @@ NAMES = [
     "csv_partitioned_roundtrip",
     "delimited_load",
     "delimited_load_pipe",
+    "describe_table",
 ]
 
 
