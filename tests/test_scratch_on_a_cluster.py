@@ -38,6 +38,7 @@ NAMES = [
     "delimited_load_pipe",
     "describe_table",
     "incremental_summary",
+    "list_partitions",
 ]
 
 
