@@ -39,6 +39,7 @@ NAMES = [
     "describe_table",
     "incremental_summary",
     "list_partitions",
+    "load_new_files",
 ]
 
 
