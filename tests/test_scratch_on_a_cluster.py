@@ -44,6 +44,7 @@ NAMES = [
     "load_rerun_append",
     "load_rerun_overwrite",
     "median_of_wide_decimals",
+    "partial_reload",
 ]
 
 
