@@ -45,6 +45,7 @@ NAMES = [
     "load_rerun_overwrite",
     "median_of_wide_decimals",
     "partial_reload",
+    "not_null_filter",
 ]
 
 
