@@ -46,6 +46,7 @@ NAMES = [
     "median_of_wide_decimals",
     "partial_reload",
     "not_null_filter",
+    "op4_suffix_array_dedup",
 ]
 
 
