@@ -47,6 +47,7 @@ NAMES = [
     "partial_reload",
     "not_null_filter",
     "op4_suffix_array_dedup",
+    "op5_context_tree_scoring",
 ]
 
 
