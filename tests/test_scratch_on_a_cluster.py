@@ -48,6 +48,7 @@ NAMES = [
     "not_null_filter",
     "op4_suffix_array_dedup",
     "op5_context_tree_scoring",
+    "op7_benchmark_decontamination",
 ]
 
 
