@@ -49,6 +49,7 @@ NAMES = [
     "op4_suffix_array_dedup",
     "op5_context_tree_scoring",
     "op7_benchmark_decontamination",
+    "op8_ngram_jaccard_join",
 ]
 
 
