@@ -50,6 +50,7 @@ NAMES = [
     "op5_context_tree_scoring",
     "op7_benchmark_decontamination",
     "op8_ngram_jaccard_join",
+    "op9_substring_dedup",
 ]
 
 
