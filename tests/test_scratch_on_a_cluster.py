@@ -51,6 +51,7 @@ NAMES = [
     "op7_benchmark_decontamination",
     "op8_ngram_jaccard_join",
     "op9_substring_dedup",
+    "op12_vector_codes",
 ]
 
 
